@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import table
 from .near_duplicates import near_duplicates, record_groups, record_pairs
+from .overlap import overlap_pairs, overlap_report
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,16 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_groups(near_duplicates(table(spark, sf_dir, "fixture")))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_pairs(table(spark, sf_dir, "fixture"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(table(spark, sf_dir, "fixture"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p6_found": p6_found, "p6_report": p6_report}
 
 
 def oracle_sql() -> dict:
