@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import table
+from .group_splits import assign_splits, record_splits
+from .mixing import mix_sources
 from .near_duplicates import near_duplicates, record_groups, record_pairs
 from .overlap import overlap_pairs, overlap_report
+from .quota_sample import quota_sample
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +28,57 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "fixture"))
 
 
+def _mix(spark: SparkSession, sf_dir: str):
+    return mix_sources(table(spark, sf_dir, "fixture"), table(spark, sf_dir, "mix_targets"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report.where("short").select("source", "label_source")
+
+
+def p2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).chosen
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir).report
+
+
+def _sample(spark: SparkSession, sf_dir: str):
+    return quota_sample(*(table(spark, sf_dir, x) for x in ("fixture", "label_map", "category_targets")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark, sf_dir).report.where("short").select("source", "label", "arm")
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark, sf_dir).chosen
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark, sf_dir).report
+
+
+def _splits(spark: SparkSession, sf_dir: str):
+    return assign_splits(table(spark, sf_dir, "fixture"), table(spark, sf_dir, "split_targets"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _splits(spark, sf_dir).groups.where("linked").select("group_id", "root_group_id")
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_splits(table(spark, sf_dir, "fixture"), _splits(spark, sf_dir))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = _splits(spark, sf_dir).groups
+    return groups.groupBy("split").agg({"records": "sum", "group_id": "count"}).toDF("split", *(["records", "groups"]))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p6_found": p6_found, "p6_report": p6_report}
+    return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict:
