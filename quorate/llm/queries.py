@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import table
 from .group_splits import assign_splits, record_splits
+from .leakage import leaked_items
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates, record_groups, record_pairs
 from .overlap import overlap_pairs, overlap_report
 from .quota_sample import quota_sample
+from .tokenize import decode, encode
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +79,56 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.groupBy("split").agg({"records": "sum", "group_id": "count"}).toDF("split", *(["records", "groups"]))
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode(p7_ids(spark, sf_dir))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
+_RECORDS = """
+  SELECT row_id, lower(trim(any_value(source))) AS s, lower(trim(any_value(label_source))) AS l, coalesce(any_value(weight), 1.0) AS weight,
+         any_value(meta) AS meta
+  FROM fixture WHERE row_id IS NOT NULL GROUP BY row_id"""
+SQL = {
+    "p2_found": f"""
+WITH r AS ({_RECORDS}),
+m AS (SELECT t.source, t.label_source, t.target_share, t.max_repeat, coalesce(sum(r.weight), 0) AS w
+      FROM mix_targets t LEFT JOIN r ON r.s = lower(trim(t.source)) AND r.l = lower(trim(t.label_source)) GROUP BY ALL)
+SELECT source, label_source FROM m WHERE w * max_repeat < target_share * (SELECT sum(w) FROM m)""",
+    "p3_found": f"""
+WITH r AS ({_RECORDS}),
+c AS (SELECT r.row_id, r.s, lower(trim(k.label)) AS l, coalesce(nullif(lower(trim(r.meta->>'$.arm')), ''), 'plain') AS a
+      FROM r JOIN label_map k ON r.s = lower(trim(k.source)) AND lower(trim(r.meta->>'$.label')) = lower(trim(k.native_label))),
+m AS (SELECT t.source, t.label, t.arm, t.target_share, t.min_rows, count(DISTINCT c.row_id) AS n
+      FROM category_targets t LEFT JOIN c ON c.s = lower(trim(t.source)) AND c.l = lower(trim(t.label)) AND c.a = lower(trim(t.arm)) GROUP BY ALL)
+SELECT source, label, arm FROM m WHERE n < min_rows OR n < target_share * (0.25 * (SELECT sum(n) FROM m))""",
+    "p5_found": r"""
+WITH RECURSIVE c AS (
+  SELECT DISTINCT group_id AS g, trim(regexp_replace(lower(state->>'$.claim'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS k
+  FROM fixture WHERE group_id IS NOT NULL AND row_id IS NOT NULL AND json_valid(state) AND json_type(state) = 'OBJECT' AND state->>'$.claim' IS NOT NULL),
+e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM c x JOIN c y USING (k) WHERE x.g <> y.g AND k <> ''),
+w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a)
+SELECT a AS group_id, least(a, min(b)) AS root_group_id FROM w GROUP BY a""",
+}
+
+
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
