@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +15,24 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that workers find it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_quorate_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="quorate-"))  # on the driver, which serves it
+    with zipfile.ZipFile(folder / "quorate.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"quorate/{f.relative_to(root)}")
+    context.addPyFile(str(folder / "quorate.zip"))
+    context._quorate_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
