@@ -29,7 +29,7 @@ class Params:
     max_edits: int = 2
     samples: int = 10
     repeats: int = 8
-    min_share: float = 0.5
+    min_share: float = 0.8
     item_words: int = 2_000_000
     seed: int = 41
 
@@ -37,15 +37,18 @@ class Params:
 _FORMAT: dict[int, None] = {}
 
 
+def without_format(text: str) -> str:
+    """The text in NFKC, without invisible format characters (Cf)."""
+    if text.isascii():
+        return text
+    if not _FORMAT:
+        _FORMAT.update((c, None) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
+    return unicodedata.normalize("NFKC", text).translate(_FORMAT)
+
+
 def words_of(text: str | None) -> list[str]:
     """Maximal runs of letters and digits after NFKC and without format characters (Cf), lower-cased."""
-    if not text:
-        return []
-    if not text.isascii():
-        if not _FORMAT:
-            _FORMAT.update((c, None) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
-        text = unicodedata.normalize("NFKC", text).translate(_FORMAT)
-    found = WORD.findall(text)
+    found = WORD.findall(without_format(text)) if text else None
     return " ".join(found).lower().split(" ") if found else []
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import table
 from .group_splits import assign_splits, record_splits
+from .language import languages, wrong_labels
 from .leakage import leaked_items
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates, record_groups, record_pairs
@@ -99,6 +100,18 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrong_labels(table(spark, sf_dir, "documents"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))[0]
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))[1]
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
