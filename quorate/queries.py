@@ -1,55 +1,15 @@
-"""Queries of the core, and their SQL."""
+"""All queries of the core, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import metrics, nested
 
-from .operators.nested import children, flat_tables
-from .plans.runtime import table
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return children(table(spark, sf_dir, "fixture"))
-
-
-def _flat(name: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(flat_tables(table(spark, sf_dir, "fixture")), name)
-
-    return query
-
-
-QUERIES = {"p4_found": p4_found} | {f"p4_{x}": _flat(x) for x in ("records", "evidence", "questions", "criteria", "labels", "meta")}
-
-_STATE = "CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' THEN state END"
-_EVIDENCE = f"""
-  SELECT row_id, ord, i - 1 AS pos, CASE json_type(e) WHEN 'OBJECT' THEN e->>'$.title' END AS title,
-         CASE json_type(e) WHEN 'VARCHAR' THEN e->>'$' WHEN 'OBJECT' THEN e->>'$.text' END AS text, e
-  FROM (SELECT row_id, ord, unnest(l) AS e, generate_subscripts(l, 1) AS i
-        FROM (SELECT row_id, ord, from_json(json_extract({_STATE}, '$.evidence'), '["JSON"]') AS l FROM fixture
-              WHERE json_type({_STATE}, '$.evidence') = 'ARRAY'))"""
-_QUESTIONS = """
-  SELECT row_id, ord, i - 1 AS pos, q.key AS question_id, q.value.kind AS kind, q.value.instructions AS instructions, q.value.criteria AS criteria
-  FROM (SELECT row_id, ord, unnest(m) AS q, generate_subscripts(m, 1) AS i FROM (SELECT row_id, ord, map_entries(questions) AS m FROM fixture))"""
-_LABELS = """
-  SELECT row_id, ord, question_id, i - 1 AS pos, e.key AS label, e.value AS probability
-  FROM (SELECT row_id, ord, question_id, unnest(m) AS e, generate_subscripts(m, 1) AS i
-        FROM (SELECT row_id, ord, l.key AS question_id, map_entries(l.value) AS m
-              FROM (SELECT row_id, ord, unnest(map_entries(labels)) AS l FROM fixture)))"""
-SQL = {
-    "p4_found": f"""
-SELECT DISTINCT row_id, child, child_key FROM (
-  SELECT row_id, 'evidence' AS child, CAST(pos AS VARCHAR) AS child_key FROM ({_EVIDENCE}) WHERE text IS NOT NULL
-  UNION ALL SELECT row_id, 'question', question_id FROM ({_QUESTIONS})
-  UNION ALL SELECT row_id, 'label', question_id || '/' || label FROM ({_LABELS}))""",
-    "p4_questions": f"SELECT row_id, ord, CAST(pos AS INTEGER) AS pos, question_id, kind, instructions, criteria FROM ({_QUESTIONS})",
-    "p4_labels": f"SELECT row_id, ord, question_id, CAST(pos AS INTEGER) AS pos, label, probability FROM ({_LABELS})",
-}
+AREAS = (nested, metrics)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: f for a in AREAS for k, f in a.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return {k: s for a in AREAS for k, s in a.SQL.items()}
