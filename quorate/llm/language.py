@@ -91,6 +91,7 @@ class Pieces:
     """The vocabulary's word pieces, looked up along a word."""
 
     CHUNK = 40
+    STEP = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, path: str):
         import sentencepiece
@@ -101,38 +102,51 @@ class Pieces:
             piece = sp.id_to_piece(i).lower()
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and piece not in kept:
                 kept[piece] = len(kept)
-        self.row = kept
         self.size = len(kept) + 1  # the last row: a character that no piece has
-        self.begins = {p[:k] for p in kept for k in range(1, len(p) + 1)}
+        known = dict.fromkeys((p[:k] for p in kept for k in range(1, len(p))), -1) | kept  # -1: only begins a piece
+        text = "".join(known)
+        sizes = np.fromiter((len(p) for p in known), np.int64, len(known))
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        start, h = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(int(sizes.max())):
+                more = sizes > k
+                h[more] = h[more] * self.STEP + codes[start[more] + k]
+        order = np.argsort(h)
+        self.hashes, self.rows = h[order], np.fromiter(known.values(), np.int64, len(known))[order]
 
     def arcs(self, words: list[str]):
         """(word, from, to, row) of all pieces in the words, sorted by end and word; lengths; the words' chunks.
 
         A word begins with the word mark; one above CHUNK characters is cut into chunks.
         """
-        row, begins, unknown = self.row, self.begins, self.size - 1
-        of, lengths, out = [], [], []
+        cut, of = [], []
         for k, word in enumerate(words):
-            s = "▁" + word
-            for c in range(0, len(s), self.CHUNK):
-                t = s[c : c + self.CHUNK]
-                n, me = len(t), len(of)
+            for c in range(0, len(word) + 1, self.CHUNK):
+                cut.append(("▁" + word)[c : c + self.CHUNK])
                 of.append(k)
-                lengths.append(n)
-                for i in range(n):
-                    one = False
-                    for j in range(i + 1, n + 1):
-                        p = t[i:j]
-                        if p not in begins:
-                            break
-                        r = row.get(p)
-                        if r is not None:
-                            out.append((me, i, j, r))
-                            one = one or j == i + 1
-                    if not one:
-                        out.append((me, i, i + 1, unknown))
-        arcs = np.array(out, np.int32).reshape(-1, 4)
-        return arcs, np.array(lengths, np.int64), np.array(of, np.int64)
+        lengths = np.fromiter((len(t) for t in cut), np.int64, len(cut))
+        codes = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        me = np.repeat(np.arange(len(cut)), lengths)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        room = lengths[me] - place  # characters from here to the end
+        at, h, found = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+        size = 0
+        with np.errstate(over="ignore"):
+            while len(at):
+                h = h * self.STEP + codes[at + size]
+                size += 1
+                k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = self.hashes[k] == h
+                row = np.where(hit, self.rows[k], -1)
+                one = row >= 0
+                if size == 1:  # a character without a piece of its own still has an arc
+                    row, one = np.where(one, row, self.size - 1), np.ones(len(at), bool)
+                found.append(np.stack([me[at[one]], place[at[one]], place[at[one]] + size, row[one]], axis=1))
+                go = hit & (room[at] > size)
+                at, h = at[go], h[go]
+        arcs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+        return arcs, lengths, np.array(of, np.int64)
 
 
 def _forward(arcs: np.ndarray, lengths: np.ndarray, prob: np.ndarray, backward: bool = False) -> np.ndarray:

@@ -43,7 +43,8 @@ def without_format(text: str) -> str:
         return text
     if not _FORMAT:
         _FORMAT.update((c, None) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
-    return unicodedata.normalize("NFKC", text).translate(_FORMAT)
+    text = unicodedata.normalize("NFKC", text)
+    return text if _FORMAT.keys().isdisjoint(text) else text.translate(_FORMAT)
 
 
 def words_of(text: str | None) -> list[str]:
