@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,13 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 @dataclass(frozen=True)
 class Params:
     """ranks: the rank file, a public vocabulary. block_chars: characters of text whose words
-    are put together before the shuffle; a longer text is a block of its own.
+    are put together before the shuffle; a longer text is a block of its own. buckets: parts
+    of the hash range of words; a task holds the distinct words of one bucket at a time.
     """
 
     ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-    block_chars: int = 4_000_000
+    block_chars: int = 6_000_000
+    buckets: int = 2048
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,8 +39,34 @@ def _encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
-WORDS = "block bigint, word string, places binary, docs binary"
-CODED = "block bigint, ids binary, places binary, docs binary"
+#: A block's words of one bucket: the words (with their lengths in bytes), how often each stands in the block, and where (gaps).
+WORDS = "block bigint, bucket int, words binary, sizes binary, often binary, places binary, docs binary"
+#: The same with ids (and their numbers) in place of words.
+CODED = "block bigint, ids binary, sizes binary, often binary, places binary, docs binary"
+
+
+def varint(x: np.ndarray) -> bytes:
+    """Numbers below 2^35 as bytes of seven bits, the lowest first."""
+    x = x.astype(np.uint64)
+    n = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
+    start = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.uint8)
+    for k in range(5):
+        more = n > k
+        out[start[more] + k] = ((x[more] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((n[more] > k + 1).astype(np.uint8) << 7)
+    return out.tobytes()
+
+
+def unvarint(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    end = np.flatnonzero(b < 128)
+    start = np.concatenate([[0], end[:-1] + 1]).astype(np.int64) if len(end) else end
+    out = np.zeros(len(end), np.int64)
+    for k in range(5):
+        at = start + k
+        ok = at <= end
+        out[ok] |= (b[at[ok]] & 127).astype(np.int64) << (7 * k)
+    return out
 
 
 def _pack(batch: pa.RecordBatch) -> bytes:
@@ -51,10 +80,10 @@ def encode(documents: DataFrame, params: Params = Params(), id_col: str = "doc_i
     """(id_col, ids): the token ids of every text, without special tokens.
 
     Texts are cut into words in blocks of bounded size; a block sends each of its distinct
-    words once, with the places where it stands, so that a word that is everywhere makes one
-    row a block. The words meet in a global shuffle, each distinct word is encoded once, and
-    its ids go back to the blocks, which put the texts together by place. No text is joined
-    or sent itself.
+    words once, with the places where it stands, so that a word that is everywhere is sent
+    once a block. The words meet by hash bucket in a global shuffle, each distinct word is
+    encoded once, and its ids go back to the blocks, which put the texts together by place.
+    No text is joined or sent itself.
 
     Null and empty texts give the empty list; rows come out as often as they come in, with
     their id as it is, null too; other columns are ignored; an empty table gives an empty
@@ -82,37 +111,66 @@ def encode(documents: DataFrame, params: Params = Params(), id_col: str = "doc_i
                     found = cut(t) if t else ()
                     flat.extend(found)
                     sizes.append(len(found))
-                coded = pa.array(flat, pa.string()).dictionary_encode()
-                which = coded.indices.to_numpy(zero_copy_only=False)
-                order = np.argsort(which, kind="stable").astype(np.int32)
-                bounds = np.searchsorted(which[order], np.arange(len(coded.dictionary) + 1)) * 4
-                places = pa.Array.from_buffers(pa.binary(), len(coded.dictionary), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(order)])
                 docs = pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(sizes, pa.int64())], names=["id", "n"])
-                n = len(coded.dictionary)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), coded.dictionary, places, pa.nulls(n, pa.binary())], names=["block", "word", "places", "docs"])
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([_pack(docs)], pa.binary())], names=["block", "word", "places", "docs"])
+                rows = [(block, None, None, None, None, None, _pack(docs))]
+                if flat:
+                    coded = pa.array(flat, pa.string()).dictionary_encode()
+                    spelled = [w.encode() for w in coded.dictionary.to_pylist()]
+                    which = coded.indices.to_numpy(zero_copy_only=False)
+                    bucket = np.fromiter((xxhash.xxh32_intdigest(w) for w in spelled), np.int64, len(spelled)) % p.buckets
+                    by = np.argsort(bucket, kind="stable")  # words by bucket
+                    rank = np.empty(len(by), np.int64)
+                    rank[by] = np.arange(len(by))
+                    which = rank[which]
+                    order = np.argsort(which, kind="stable")
+                    often = np.bincount(which, minlength=len(by))
+                    ends = np.cumsum(often)
+                    gaps = np.diff(order, prepend=0)
+                    first = (ends - often)
+                    gaps[first] = order[first]
+                    lengths = np.array([len(w) for w in spelled], np.int64)[by]
+                    cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+                    for x, y in zip(cuts, np.append(cuts[1:], len(by))):
+                        words_here = b"".join(spelled[k] for k in by[x:y])
+                        rows.append((block, int(bucket[by[x]]), words_here, varint(lengths[x:y]), varint(often[x:y]), varint(gaps[first[x] : ends[y - 1]]), None))
+                for k in range(0, len(rows), 512):
+                    yield _batch(rows[k : k + 512], WORDS)
                 block += 1
                 at = end
 
     def codes(batches):
-        encoder, last, ids = None, None, b""
+        encoder, here, known = None, None, {}
         for batch in batches:
             out = []
-            for w in batch.column(1).to_pylist():
-                if w is not None and w != last:
-                    encoder = encoder or _encoding(p.ranks)
-                    last, ids = w, np.asarray(encoder.encode_ordinary(w), np.int32).tobytes()
-                out.append(None if w is None else ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2), batch.column(3)], names=["block", "ids", "places", "docs"])
+            for block, bucket, spelled, sizes, often, places, docs in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket is None:
+                    out.append((block, None, None, None, None, docs))
+                    continue
+                if bucket != here:
+                    here, known = bucket, {}
+                encoder = encoder or _encoding(p.ranks)
+                ids, numbers, a = [], [], 0
+                for n in unvarint(sizes).tolist():
+                    w = spelled[a : a + n]
+                    a += n
+                    found = known.get(w)
+                    if found is None:
+                        known[w] = found = encoder.encode_ordinary(w.decode())
+                    ids += found
+                    numbers.append(len(found))
+                out.append((block, varint(np.array(ids, np.int64)), varint(np.array(numbers, np.int64)), often, places, None))
+            if out:
+                yield _batch(out, CODED)
 
     def texts(batches):
         for table in _runs(batches):
             docs = next(x for x in table.column("docs").to_pylist() if x is not None)
             docs = pa.ipc.open_stream(docs).read_next_batch()
-            rows = table.filter(pa.compute.is_valid(table.column("ids")))
-            ids, size = _joined(rows.column("ids"))
-            places, often = _joined(rows.column("places"))
-            start = np.cumsum(size) - size
+            parts = [tuple(unvarint(x) for x in r) for r in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "often", "places"))) if r[0] is not None]
+            ids, size, often, gaps = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 4))
+            start, total = np.cumsum(size) - size, np.cumsum(gaps)
+            first = np.cumsum(often) - often
+            places = total - np.repeat(total[first] - gaps[first], often)
             row = np.empty(len(places), np.int64)
             row[places] = np.repeat(np.arange(len(size)), often)
             n = size[row]
@@ -121,17 +179,23 @@ def encode(documents: DataFrame, params: Params = Params(), id_col: str = "doc_i
             ends = by_word[np.concatenate([[0], np.cumsum(docs.column(1).to_numpy())])]
             for a in range(0, docs.num_rows, 2000):
                 part = ends[a : a + 2001]
-                lists = pa.ListArray.from_arrays((part - part[0]).astype(np.int32), pa.array(ids[at[part[0] : part[-1]]], pa.int32()))
+                lists = pa.ListArray.from_arrays((part - part[0]).astype(np.int32), pa.array(ids[at[part[0] : part[-1]]].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([docs.column(0).slice(a, 2000), lists], names=[id_col, "ids"])
 
     cut = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(words, WORDS)
-    # Rows without a word carry a block's documents; they are spread by block, not met on one key.
-    met = cut.repartition(F.coalesce("word", F.col("block").cast("string"))).sortWithinPartitions("word")
+    # Rows without a bucket carry a block's documents; they are spread by block, not met on one key.
+    met = cut.repartition(F.coalesce(F.col("bucket").cast("bigint"), -1 - F.col("block"))).sortWithinPartitions("bucket")
     coded = met.mapInArrow(codes, CODED)
     back = coded.repartition("block").sortWithinPartitions("block")
     return back.mapInArrow(texts, f"`{id_col}` {kind}, ids array<int>")
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
 def _runs(batches):
     """Tables of the rows of one block each, from batches sorted by block."""
     held: list[pa.RecordBatch] = []
@@ -149,12 +213,6 @@ def _runs(batches):
         yield pa.Table.from_batches(held)
 
 
-def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The int32 values of all cells, one after another, and the number in each cell."""
-    sizes = pa.compute.binary_length(column).to_numpy().astype(np.int64) // 4
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32), sizes
-
-
 def token_bytes(spark: SparkSession, params: Params = Params()) -> DataFrame:
     """(id, bytes): the table of the vocabulary, as large as that is and no larger."""
     return spark.createDataFrame([(i, bytearray(b)) for b, i in load_ranks(params.ranks).items()], "id int, bytes binary")
