@@ -45,16 +45,24 @@ WORDS = "block bigint, bucket int, words binary, sizes binary, often binary, pla
 CODED = "block bigint, ids binary, sizes binary, often binary, places binary, docs binary"
 
 
-def varint(x: np.ndarray) -> bytes:
-    """Numbers below 2^35 as bytes of seven bits, the lowest first."""
+def varints(x: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Numbers below 2^35 as bytes of seven bits, the lowest first, in parts that begin at cuts."""
     x = x.astype(np.uint64)
-    n = 1 + (x >= 1 << 7).astype(np.int64) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
-    start = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), np.uint8)
+    n = np.ones(len(x), np.int64)
+    for k in range(1, 5):
+        n += x >= 1 << 7 * k
+    end = np.cumsum(n)
+    start = end - n
+    out = np.zeros(int(end[-1]) if len(x) else 0, np.uint8)
+    at = np.arange(len(x))
     for k in range(5):
-        more = n > k
-        out[start[more] + k] = ((x[more] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((n[more] > k + 1).astype(np.uint8) << 7)
-    return out.tobytes()
+        if not len(at):
+            break
+        out[start[at] + k] = ((x[at] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | ((n[at] > k + 1).astype(np.uint8) << 7)
+        at = at[n[at] > k + 1]
+    data = out.tobytes()
+    bounds = np.append(np.append(start, len(data))[cuts], len(data)).tolist()
+    return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def unvarint(data: bytes) -> np.ndarray:
@@ -130,9 +138,10 @@ def encode(documents: DataFrame, params: Params = Params(), id_col: str = "doc_i
                     gaps[first] = order[first]
                     lengths = np.array([len(w) for w in spelled], np.int64)[by]
                     cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-                    for x, y in zip(cuts, np.append(cuts[1:], len(by))):
-                        words_here = b"".join(spelled[k] for k in by[x:y])
-                        rows.append((block, int(bucket[by[x]]), words_here, varint(lengths[x:y]), varint(often[x:y]), varint(gaps[first[x] : ends[y - 1]]), None))
+                    text, at_byte = b"".join([spelled[k] for k in by.tolist()]), np.concatenate([[0], np.cumsum(lengths)])
+                    edges = at_byte[np.append(cuts, len(by))].tolist()
+                    packed = (varints(lengths, cuts), varints(often, cuts), varints(gaps, first[cuts]))
+                    rows += [(block, k, text[x:y], *parts, None) for k, x, y, *parts in zip(bucket[by[cuts]].tolist(), edges[:-1], edges[1:], *packed)]
                 for k in range(0, len(rows), 512):
                     yield _batch(rows[k : k + 512], WORDS)
                 block += 1
@@ -141,16 +150,18 @@ def encode(documents: DataFrame, params: Params = Params(), id_col: str = "doc_i
     def codes(batches):
         encoder, here, known = None, None, {}
         for batch in batches:
-            out = []
+            rows, ids, numbers, cut_ids, cut_numbers = [], [], [], [], []
             for block, bucket, spelled, sizes, often, places, docs in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.append((block, often, places, docs))
+                cut_ids.append(len(ids))
+                cut_numbers.append(len(numbers))
                 if bucket is None:
-                    out.append((block, None, None, None, None, docs))
                     continue
                 if bucket != here:
                     here, known = bucket, {}
                 encoder = encoder or _encoding(p.ranks)
-                ids, numbers, a = [], [], 0
-                for n in unvarint(sizes).tolist():
+                a = 0
+                for n in sizes if max(sizes) < 128 else unvarint(sizes).tolist():
                     w = spelled[a : a + n]
                     a += n
                     found = known.get(w)
@@ -158,7 +169,8 @@ def encode(documents: DataFrame, params: Params = Params(), id_col: str = "doc_i
                         known[w] = found = encoder.encode_ordinary(w.decode())
                     ids += found
                     numbers.append(len(found))
-                out.append((block, varint(np.array(ids, np.int64)), varint(np.array(numbers, np.int64)), often, places, None))
+            coded = zip(varints(np.array(ids, np.int64), np.array(cut_ids, np.int64)), varints(np.array(numbers, np.int64), np.array(cut_numbers, np.int64)))
+            out = [(r[0], None, None, None, None, r[3]) if r[3] is not None else (r[0], i, n, r[1], r[2], None) for r, (i, n) in zip(rows, coded)]
             if out:
                 yield _batch(out, CODED)
 
@@ -166,8 +178,7 @@ def encode(documents: DataFrame, params: Params = Params(), id_col: str = "doc_i
         for table in _runs(batches):
             docs = next(x for x in table.column("docs").to_pylist() if x is not None)
             docs = pa.ipc.open_stream(docs).read_next_batch()
-            parts = [tuple(unvarint(x) for x in r) for r in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "often", "places"))) if r[0] is not None]
-            ids, size, often, gaps = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 4))
+            ids, size, often, gaps = (unvarint(b"".join(x for x in table.column(c).to_pylist() if x is not None)) for c in ("ids", "sizes", "often", "places"))
             start, total = np.cumsum(size) - size, np.cumsum(gaps)
             first = np.cumsum(often) - often
             places = total - np.repeat(total[first] - gaps[first], often)
