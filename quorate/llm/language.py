@@ -102,6 +102,7 @@ class Pieces:
             piece = sp.id_to_piece(i).lower()
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and piece not in kept:
                 kept[piece] = len(kept)
+        self.index = kept
         self.size = len(kept) + 1  # the last row: a character that no piece has
         known = dict.fromkeys((p[:k] for p in kept for k in range(1, len(p))), -1) | kept  # -1: only begins a piece
         text = "".join(known)
@@ -209,8 +210,9 @@ def fit(documents: DataFrame, params: Params = Params()) -> Model:
     Of each language up to `sample` documents, the first in order of a hash of their id, come
     to the driver. Expectation-maximisation over all segmentations gives the pieces' expected
     counts; then each sentence gets the language that the model finds, which puts right what
-    labels have wrong, and the counts are taken again. A language without a labelled
-    document keeps the pieces of all together.
+    labels have wrong, and the counts are taken again. Each language's pieces are drawn
+    towards those of all languages, which count alike. A language without a labelled document
+    is never found.
     """
     p = params
     codes = documents.sparkSession.createDataFrame(list(_CODES.items()), "name string, code string")
@@ -248,10 +250,12 @@ def fit(documents: DataFrame, params: Params = Params()) -> Model:
             expected = np.zeros_like(model.prob)
             np.add.at(expected, arcs[:, 3], share * counts[of[arcs[:, 0]]])
             expected[-1] = expected.sum(axis=1)[-1] / n  # a character without a piece speaks for no language
-            pool = expected.sum(1) + 0.01
+            size = expected.sum(0)
+            pool = (expected[:, size > 0] / size[size > 0]).mean(1) + 1e-7
             pool /= pool.sum()
-            prob = (expected + p.prior * pool[:, None]) / (expected.sum(0) + p.prior)
-            prob[-1] = prob[-1].mean()
+            prob = (expected + p.prior * pool[:, None]) / (size + p.prior)
+            prob[:, size == 0] = 1e-9
+            prob[-1] = prob[-1, size > 0].mean()
             model = Model(pieces, prob)
     return model
 
