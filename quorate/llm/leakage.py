@@ -35,7 +35,7 @@ class Params:
     seed: int = 41
 
 
-_FORMAT: dict[int, None] = {}
+_FORMAT: dict[str, None] = {}
 
 
 def without_format(text: str) -> str:
@@ -43,9 +43,9 @@ def without_format(text: str) -> str:
     if text.isascii():
         return text
     if not _FORMAT:
-        _FORMAT.update((c, None) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
+        _FORMAT.update((chr(c), None) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf")
     text = unicodedata.normalize("NFKC", text)
-    return text if _FORMAT.keys().isdisjoint(text) else text.translate(_FORMAT)
+    return text if _FORMAT.keys().isdisjoint(text) else "".join(c for c in text if c not in _FORMAT)
 
 
 def words_of(text: str | None) -> list[str]:

@@ -41,6 +41,10 @@ def test_varint_round_trip():
     assert tk.unvarint(b"").tolist() == [] and tk.varints(x[:0], np.array([0, 0])) == [b"", b""]
 
 
+def test_format_characters_are_no_words():
+    assert lk.words_of("l​o­ng ＷＯＲＤ x́ a_b \u2060") == ["long", "word", "x", "a", "b"]
+
+
 def exact_runs(docs, items):
     grams = {}
     for i, t in items:
