@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that aren't text in this data: what marks an empty evidence list (fixed value).
 EMPTY = "(none)"
@@ -17,7 +18,7 @@ def norm_claim(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 

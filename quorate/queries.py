@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .registry import metrics, nested
+from .registry import building, metrics, nested
 
-AREAS = (nested, metrics)
+AREAS = (nested, metrics, building)
 
 
 def queries() -> dict:

@@ -15,7 +15,7 @@ MODEL = ["model"]
 A, B = "clf-large", "clf-small"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
     """Doubles rounded, so that sums in another order give the same; -0.0 is 0.0."""
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -50,8 +50,8 @@ def _ensemble(spark: SparkSession, d: str) -> DataFrame:
     """The mean of the models' answers, label by label, then its first label."""
     rows = pairs(spark, d).select("row_id", "question_id", "gold", "model", F.posexplode("answer").alias("pos", "e"))
     mean = rows.groupBy("row_id", "question_id", "gold", F.col("e.label").alias("label")).agg((F.sum("e.p") / F.count_distinct("model")).alias("p"), F.min("pos").alias("pos"))
-    mean = mean.groupBy("row_id", "question_id", "gold").agg(F.array_sort(F.collect_list(F.struct("label", F.round("p", 9).alias("p")))).alias("answer"))
-    return mean.select("row_id", "question_id", "gold", dist.argmax(F.col("answer")).alias("pred"), F.round(dist.top(F.col("answer")), 6).alias("top"))
+    mean = mean.groupBy("row_id", "question_id", "gold").agg(F.array_sort(F.collect_list(F.struct("label", F.round("p", 10).alias("p")))).alias("answer"))
+    return mean.select("row_id", "question_id", "gold", dist.argmax(F.col("answer")).alias("pred"), F.round(dist.top(F.col("answer")), 10).alias("top"))
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _cost(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     seen = F.row_number().over(Window.partitionBy("key").orderBy("ord")) > 1
-    return rounded(m.cost(rows.select(seen.alias("cached"), "tokens")), 9)
+    return rounded(m.cost(rows.select(seen.alias("cached"), "tokens")), 10)
 
 
 def _covered(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ def _source_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mcnemar(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sig.mcnemar(both(spark, d)), 9)
+    return rounded(sig.mcnemar(both(spark, d)), 10)
 
 
 def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
@@ -191,67 +191,67 @@ def _edges(c: str, left_open: bool = False) -> str:
 
 
 def _ece(rows: str, by: str, conf: str, hit: str, bin_: str, name: str) -> str:
-    return f"""SELECT {by}, round(sum(CASE WHEN k IS NULL THEN 0 ELSE m * abs(a - c) END) / sum(m), 6) AS {name}
+    return f"""SELECT {by}, round(sum(CASE WHEN k IS NULL THEN 0 ELSE m * abs(a - c) END) / sum(m), 10) AS {name}
 FROM (SELECT {by}, {bin_} AS k, count(*) AS m, avg({conf}) AS c, avg({hit}::DOUBLE) AS a FROM {rows} GROUP BY ALL) GROUP BY ALL"""
 
 
 _LATENCY = "pr WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms)"
 SQL = {
-    "j01_pairs": BASE + "SELECT model, row_id, question_id, gold, pred, ok, round(conf, 6) AS conf, round(top, 6) AS top FROM b",
+    "j01_pairs": BASE + "SELECT model, row_id, question_id, gold, pred, ok, round(conf, 10) AS conf, round(top, 10) AS top FROM b",
     "j02_coverage": f"""WITH {GOLD.strip()},{PRED},
 w AS (SELECT row_id, question_id FROM gg WHERE question_id = 'verdict' AND lower(trim(split)) IN ('val', 'validation', 'dev', 'test'))
 SELECT model, (SELECT count(*) FROM w) AS gold, count(*) AS answers, count(w.row_id) AS matched, (SELECT count(*) FROM w) - count(w.row_id) AS missing,
   count(*) - count(w.row_id) AS extra FROM pr LEFT JOIN w USING (row_id, question_id) GROUP BY model""",
     "j03_side_by_side": BASE + "SELECT row_id, question_id, gold, pred_a, pred_b FROM ab",
-    "w02_last_predictions": f"WITH {PRED.strip()} SELECT row_id, question_id, model, round(confidence, 6) AS confidence, ord FROM pr",
-    "a01_accuracy": BASE + "SELECT model, count(*) AS n, round(avg(ok), 6) AS accuracy FROM b GROUP BY model",
+    "w02_last_predictions": f"WITH {PRED.strip()} SELECT row_id, question_id, model, round(confidence, 10) AS confidence, ord FROM pr",
+    "a01_accuracy": BASE + "SELECT model, count(*) AS n, round(avg(ok), 10) AS accuracy FROM b GROUP BY model",
     "a02_confusion": BASE + """SELECT g.model, g.label AS gold, p.label AS pred, count(b.row_id) AS n FROM dim g JOIN dim p USING (model)
 LEFT JOIN b ON b.model = g.model AND b.gold = g.label AND b.pred = p.label GROUP BY ALL""",
-    "a03_per_label": BASE + """SELECT model, label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1,
+    "a03_per_label": BASE + """SELECT model, label, round(p, 10) AS precision, round(r, 10) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 10) AS f1,
 support FROM prf1""",
-    "a04_macro_f1": BASE + "SELECT model, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1 FROM prf1 GROUP BY model",
-    "a05_losses": BASE + "SELECT model, round(avg(brier), 6) AS brier, round(avg(nll), 6) AS nll FROM r GROUP BY model",
+    "a04_macro_f1": BASE + "SELECT model, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 10) AS macro_f1 FROM prf1 GROUP BY model",
+    "a05_losses": BASE + "SELECT model, round(avg(brier), 10) AS brier, round(avg(nll), 10) AS nll FROM r GROUP BY model",
     "a07_ece_uniform": BASE + _ece("b", "model", "conf", "ok", _edges("conf"), "ece"),
     "a08_ece_soft": BASE + _ece("(SELECT b.model, b.top, r.mass FROM b JOIN r USING (model, row_id, question_id))", "model", "top", "mass", _edges("top", True), "ece_soft"),
     "a09_ece_adaptive": BASE + _ece("(SELECT *, ntile(10) OVER (PARTITION BY model ORDER BY conf, row_id, question_id) AS tile FROM b)", "model", "conf", "ok", "tile", "ece_adaptive"),
-    "a10_reliability": BASE + """SELECT model, CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n, round(c, 6) AS mean_confidence, round(a, 6) AS accuracy
+    "a10_reliability": BASE + """SELECT model, CAST(i AS INTEGER) AS bin, coalesce(n, 0) AS n, round(c, 10) AS mean_confidence, round(a, 10) AS accuracy
 FROM (SELECT DISTINCT model FROM b) CROSS JOIN range(10) AS x(i)
 LEFT JOIN (SELECT model, greatest(least(CAST(trunc(conf * 10) AS INTEGER), 9), 0) AS k, count(*) AS n, avg(conf) AS c, avg(ok) AS a FROM b GROUP BY ALL) USING (model) WHERE k = i OR k IS NULL
 UNION ALL SELECT model, CAST(i AS INTEGER), 0, NULL, NULL FROM (SELECT DISTINCT model FROM b) CROSS JOIN range(10) AS x(i)
 WHERE (model, i) NOT IN (SELECT (model, greatest(least(CAST(trunc(conf * 10) AS INTEGER), 9), 0)) FROM b)""",
     "a11_ece_one_vs_rest": BASE + _ece("t", "model, label", "q", "(gold = label)", _edges("q"), "ece"),
     "a13_selective_risk": BASE + """, k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY conf DESC) AS rk, count(*) OVER (PARTITION BY model) AS n FROM b)
-SELECT model, c AS target_coverage, round(min(conf), 6) AS threshold, count(*) AS selected, round(count(*) / max(n), 6) AS coverage, round(1 - avg(ok), 6) AS risk
+SELECT model, c AS target_coverage, round(min(conf), 10) AS threshold, count(*) AS selected, round(count(*) / max(n), 10) AS coverage, round(1 - avg(ok), 10) AS risk
 FROM k CROSS JOIN (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) AS v(c) WHERE rk <= ceil(c * n) GROUP BY model, c""",
-    "a14_recall_by_source": BASE + """SELECT model, source, gold AS label, count(*) AS n, round(avg(ok), 6) AS recall
+    "a14_recall_by_source": BASE + """SELECT model, source, gold AS label, count(*) AS n, round(avg(ok), 10) AS recall
 FROM (SELECT model, coalesce(lower(trim(source)), '?') AS source, gold, ok FROM b) GROUP BY GROUPING SETS ((model, source), (model, source, gold))""",
-    "a15_tie_sensitivity": BASE + """SELECT model, count(*) FILTER (nties > 1) AS ties, round(avg(ok), 6) AS accuracy, round(avg((pred_sorted = gold)::INTEGER), 6) AS accuracy_sorted
+    "a15_tie_sensitivity": BASE + """SELECT model, count(*) FILTER (nties > 1) AS ties, round(avg(ok), 10) AS accuracy, round(avg((pred_sorted = gold)::INTEGER), 10) AS accuracy_sorted
 FROM b GROUP BY model""",
-    "a16_agreement": BASE + """SELECT model, count(*) AS n, round(avg(ok), 6) AS top1, round(avg(tv), 6) AS mean_tv,
-CASE WHEN stddev_pop(conf) > 0 AND stddev_pop(ok) > 0 THEN round(corr(conf, ok), 6) END AS conf_match FROM b JOIN r USING (model, row_id, question_id) GROUP BY model""",
+    "a16_agreement": BASE + """SELECT model, count(*) AS n, round(avg(ok), 10) AS top1, round(avg(tv), 10) AS mean_tv,
+CASE WHEN stddev_pop(conf) > 0 AND stddev_pop(ok) > 0 THEN round(corr(conf, ok), 10) END AS conf_match FROM b JOIN r USING (model, row_id, question_id) GROUP BY model""",
     "a18_mcnemar": BASE + """, d AS (SELECT count(*) AS n, count(*) FILTER (ok_a = 1 AND ok_b = 0) AS x, count(*) FILTER (ok_a = 0 AND ok_b = 1) AS y FROM ab)
 SELECT n, x AS only_a, y AS only_b, round(CASE WHEN x + y = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(d.x + d.y + 1.0) - lgamma(i + 1.0) - lgamma(d.x + d.y - i + 1.0) - (d.x + d.y) * ln(2.0)))
-  FROM range(least(d.x, d.y) + 1) AS q(i))) END, 9) AS p_exact, round(abs(x - y) / sqrt(x + y), 9) AS z FROM d""",
+  FROM range(least(d.x, d.y) + 1) AS q(i))) END, 10) AS p_exact, round(abs(x - y) / sqrt(x + y), 10) AS z FROM d""",
     "a21_flips": BASE + """SELECT pred_a, pred_b, count(*) AS n, count(*) FILTER (ok_a = 0 AND ok_b = 1) AS fixed, count(*) FILTER (ok_a = 1 AND ok_b = 0) AS broke,
 count(*) FILTER (ok_a = ok_b) AS neither FROM ab WHERE pred_a <> pred_b GROUP BY ALL ORDER BY n DESC, pred_a, pred_b LIMIT 20""",
-    "a22_recall_change": BASE + """SELECT gold, count(*) AS n, round(avg(ok_a), 6) AS recall_a, round(avg(ok_b), 6) AS recall_b, round(avg(ok_b) - avg(ok_a), 6) AS delta,
+    "a22_recall_change": BASE + """SELECT gold, count(*) AS n, round(avg(ok_a), 10) AS recall_a, round(avg(ok_b), 10) AS recall_b, round(avg(ok_b) - avg(ok_a), 10) AS delta,
 sum(ok_b) - sum(ok_a) AS rows FROM ab GROUP BY gold""".replace("sum(ok_b) - sum(ok_a) AS rows", "CAST(sum(ok_b) - sum(ok_a) AS BIGINT) AS \"rows\""),
     "a24_source_labels": f"""WITH {GOLD.strip()}
 SELECT source, gold, count(*) AS n, CAST(grouping(source) AS INTEGER) AS all_outer, CAST(grouping(gold) AS INTEGER) AS all_inner
 FROM (SELECT coalesce(lower(trim(source)), '?') AS source, gold FROM gg WHERE question_id = 'verdict') GROUP BY ROLLUP (source, gold)""",
-    "a26_latency_percentiles": f"""WITH {PRED.strip()} SELECT model, count(*) AS n, round(quantile_disc(latency_ms, 0.5), 6) AS p50, round(quantile_disc(latency_ms, 0.95), 6) AS p95
+    "a26_latency_percentiles": f"""WITH {PRED.strip()} SELECT model, count(*) AS n, round(quantile_disc(latency_ms, 0.5), 10) AS p50, round(quantile_disc(latency_ms, 0.95), 10) AS p95
 FROM {_LATENCY} GROUP BY model""",
-    "a27_floor_percentile": f"""WITH {PRED.strip()} SELECT model, n, round(latency_ms, 6) AS value FROM (SELECT model, latency_ms, row_number() OVER (PARTITION BY model ORDER BY latency_ms) AS k,
+    "a27_floor_percentile": f"""WITH {PRED.strip()} SELECT model, n, round(latency_ms, 10) AS value FROM (SELECT model, latency_ms, row_number() OVER (PARTITION BY model ORDER BY latency_ms) AS k,
 count(*) OVER (PARTITION BY model) AS n FROM {_LATENCY}) WHERE k = least(n - 1, floor(n * 0.95::DOUBLE)) + 1""",
-    "a28_latency_spread": f"""WITH {PRED.strip()} SELECT model, round(median(latency_ms), 6) AS median, round(min(latency_ms), 6) AS least, round(max(latency_ms), 6) AS most,
-round(avg((latency_ms > 200)::INTEGER), 6) AS over FROM {_LATENCY} GROUP BY model""".replace(" AS over", " AS \"over\""),
-    "a32_without_shortcut": BASE + """SELECT model, count(*) AS n, round(avg(ok), 6) AS accuracy, count(*) FILTER (NOT s) AS n_rest, round(avg(ok) FILTER (NOT s), 6) AS accuracy_rest
+    "a28_latency_spread": f"""WITH {PRED.strip()} SELECT model, round(median(latency_ms), 10) AS median, round(min(latency_ms), 10) AS least, round(max(latency_ms), 10) AS most,
+round(avg((latency_ms > 200)::INTEGER), 10) AS over FROM {_LATENCY} GROUP BY model""".replace(" AS over", " AS \"over\""),
+    "a32_without_shortcut": BASE + """SELECT model, count(*) AS n, round(avg(ok), 10) AS accuracy, count(*) FILTER (NOT s) AS n_rest, round(avg(ok) FILTER (NOT s), 10) AS accuracy_rest
 FROM (SELECT model, ok, coalesce(lower(trim(meta->>'$.arm')) = 'no_evidence', false) AS s FROM b) GROUP BY model""",
-    "a33_over_claims": BASE + """SELECT model, round(coalesce(count(*) FILTER (gold = 'refuted' AND pred = 'supported') / nullif(count(*) FILTER (gold = 'refuted'), 0), 0), 6) AS refuted_as_supported,
-round(coalesce(count(*) FILTER (gold = 'not_enough_info' AND pred = 'supported') / nullif(count(*) FILTER (gold = 'not_enough_info'), 0), 0), 6) AS undecided_as_supported FROM b GROUP BY model""",
-    "a34_soft_loss": BASE + """SELECT model, round(avg(ce * coalesce(weight, 1.0) * CASE WHEN lower(trim(source)) = 'adversarial' THEN 2.0 ELSE 1.0 END), 6) AS loss
+    "a33_over_claims": BASE + """SELECT model, round(coalesce(count(*) FILTER (gold = 'refuted' AND pred = 'supported') / nullif(count(*) FILTER (gold = 'refuted'), 0), 0), 10) AS refuted_as_supported,
+round(coalesce(count(*) FILTER (gold = 'not_enough_info' AND pred = 'supported') / nullif(count(*) FILTER (gold = 'not_enough_info'), 0), 0), 10) AS undecided_as_supported FROM b GROUP BY model""",
+    "a34_soft_loss": BASE + """SELECT model, round(avg(ce * coalesce(weight, 1.0) * CASE WHEN lower(trim(source)) = 'adversarial' THEN 2.0 ELSE 1.0 END), 10) AS loss
 FROM b JOIN r USING (model, row_id, question_id) GROUP BY model""",
-    "a35_reward_terms": BASE + """SELECT model, round(avg(reward), 6) AS reward, round(avg(kl), 6) AS kl, round(avg(h), 6) AS entropy, round(avg((top > 0.99)::INTEGER), 6) AS saturated
+    "a35_reward_terms": BASE + """SELECT model, round(avg(reward), 10) AS reward, round(avg(kl), 10) AS kl, round(avg(h), 10) AS entropy, round(avg((top > 0.99)::INTEGER), 10) AS saturated
 FROM b JOIN r USING (model, row_id, question_id) JOIN (SELECT model, row_id, question_id, -sum(CASE WHEN pn > 0 THEN pn * ln(pn) ELSE 0 END) AS h FROM pn GROUP BY ALL) USING (model, row_id, question_id)
 GROUP BY model""",
 }
