@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .registry import building, metrics, nested
+from .registry import building, metrics, nested, serving
 
-AREAS = (nested, metrics, building)
+AREAS = (nested, metrics, building, serving)
 
 
 def queries() -> dict:
