@@ -115,8 +115,9 @@ def quota_sample(records: DataFrame, label_map: DataFrame, targets: DataFrame, p
         raise ValueError(f"more than {p.most_targets} target rows")
     keys = spark.createDataFrame([(r.s, r.l, r.a, k) for k, r in enumerate(plan)], "s string, l string, a string, target int")
     rows = categories(records, label_map).join(F.broadcast(keys), ["s", "l", "a"]).groupBy("row_id").agg(F.min("target").alias("target"))
+    ranges = min(p.ranges, max(1, 2_000_000 // max(1, len(plan))))  # so that the counts stay few for any number of targets
     place = F.xxhash64(F.lit(p.seed), "row_id")
-    rows = rows.select("target", "row_id", place.alias("place"), F.pmod(F.shiftrightunsigned(place, 20), F.lit(p.ranges)).cast("int").alias("range"))
+    rows = rows.select("target", "row_id", place.alias("place"), F.pmod(F.shiftrightunsigned(place, 20), F.lit(ranges)).cast("int").alias("range"))
     rows = materialize(rows, "sample_rows")
     counts: dict[int, dict[int, int]] = {}
     for r in rows.groupBy("target", "range").count().collect():
@@ -127,13 +128,13 @@ def quota_sample(records: DataFrame, label_map: DataFrame, targets: DataFrame, p
     bounds, lines = [], []
     for k, r in enumerate(plan):
         taken, end = 0, 0
-        for end in range(p.ranges):
+        for end in range(ranges):
             n = counts.get(k, {}).get(end, 0)
             if taken + n > quota[k]:
                 break
             taken += n
         else:
-            end = p.ranges
+            end = ranges
         bounds.append((k, end, quota[k] - taken))
         ask = max(float(r.least), float(r.share) * size)
         short = there[k] < r.least or there[k] < float(r.share) * size
