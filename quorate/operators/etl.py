@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,46 +67,59 @@ def claim_components(rows: DataFrame, claim: Column, group: str = "group_id") ->
 def greedy_splits(sizes: DataFrame, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42, key: str = "component", most: int = 2_000_000) -> DataFrame:
     """Components in hash order go one by one to the split that lacks most; the first of equal lacks.
 
-    The rule is sequential: the sizes of at most `most` components are folded in one row, and
-    above that an error points to the bulk rule of the llm split operator's kind. Rows are
-    never gathered, only (component, size).
+    The rule is sequential, so (component, size) of at most `most` components, and nothing
+    else, go through one task; above that it is an error.
     """
     total = sizes.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).first()
     if (total.c or 0) > most:
         raise ValueError(f"{total.c} components are more than a sequential fold takes; cap or group them first")
     if not total.c:
         return sizes.select(key, F.lit(None).cast("string").alias("split"))
-    targets = F.array(*(F.lit(r * total.t) for r in ratios))
-    items = F.array_sort(F.collect_list(F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"), F.col("n").cast("double").alias("n"))))
-    start = F.struct(F.array(*(F.lit(0.0) for _ in ratios)).alias("c"), F.array().cast("array<struct<k:string,s:int>>").alias("out"))
+    targets = [r * total.t for r in ratios]
 
-    def step(a: Column, x: Column) -> Column:
-        lacks = F.zip_with(targets, a["c"], lambda t, c: t - c)
-        i = (F.array_position(lacks, F.array_max(lacks)) - 1).cast("int")
-        counts = F.transform(a["c"], lambda c, k: F.when(k == i, c + x["n"]).otherwise(c))
-        return F.struct(counts.alias("c"), F.concat(a["out"], F.array(F.struct(x["k"].alias("k"), i.alias("s")))).alias("out"))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts, out = [0.0] * len(targets), []
+        pdf = pdf.sort_values(["h", "k"])
+        for n in pdf["n"].tolist():
+            lacks = [t - c for t, c in zip(targets, counts)]
+            i = lacks.index(max(lacks))
+            counts[i] += n
+            out.append(names[i])
+        return pd.DataFrame({key: pdf["k"], "split": out})
 
-    folded = sizes.select(F.col(key).cast("string").alias(key), "n").agg(items.alias("items")).select(F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias("e"))
-    return folded.select(F.col("e.k").alias(key), F.get(F.array(*(F.lit(n) for n in names)), F.col("e.s")).alias("split"))
+    return _in_hash_order(sizes, key, seed).applyInPandas(fold, f"`{key}` string, split string")
 
 
-def capped_groups(rows: DataFrame, most: int, seed: int = 42, group: str = "group_id", order: str = "ord") -> DataFrame:
+def _in_hash_order(sizes: DataFrame, key: str, seed: int):
+    """The sizes as one group (h, k, n): for rules that go through groups one by one; callers bound their number."""
+    return sizes.select(hash_order(seed, key).alias("h"), F.col(key).cast("string").alias("k"), F.col("n").cast("double").alias("n")).groupBy()
+
+
+def capped_groups(rows: DataFrame, most: int, seed: int = 42, group: str = "group_id", order: str = "ord", most_groups: int = 2_000_000) -> DataFrame:
     """At most `most` rows without splitting groups: in hash order a group that would overflow is skipped, unless it is the first.
 
-    An oversized first group is cut by order. Only group sizes are folded, in one row.
+    An oversized first group is cut by order. Only the sizes of at most most_groups groups go
+    through the sequential rule; above that it is an error.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    if total <= most:
+    total = sizes.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).first()
+    if (total.t or 0) <= most:
         return rows
-    items = F.array_sort(F.collect_list(F.struct(hash_order(seed, group).alias("h"), F.col(group).alias("k"), F.col("n"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        take = (a["n"] < most) & ((a["n"] + x["n"] <= most) | (F.size(a["out"]) == 0))
-        return F.struct(F.when(take, a["n"] + x["n"]).otherwise(a["n"]).alias("n"), F.when(take, F.concat(a["out"], F.array(x["k"].cast("string")))).otherwise(a["out"]).alias("out"))
-
-    kept = sizes.agg(items.alias("items")).select(F.explode(F.aggregate("items", start, step, lambda a: a["out"])).alias(group))
+    if total.c > most_groups:
+        raise ValueError(f"{total.c} groups are more than a sequential fold takes")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = 0.0, []
+        for k, n in pdf.sort_values(["h", "k"])[["k", "n"]].itertuples(index=False):
+            if out and taken + n > most:
+                continue
+            out.append(k)
+            taken += n
+            if taken >= most:
+                break
+        return pd.DataFrame({group: pd.Series(out, dtype=object)})
+
+    kept = _in_hash_order(sizes, group, seed).applyInPandas(fold, f"`{group}` string")
     return rows.join(kept, group, "left_semi").orderBy(order).limit(most)
 
 

@@ -92,9 +92,28 @@ def ece_soft(pairs: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 
 
 def ece_adaptive(pairs: DataFrame, by: list[str], conf: str = "conf", bins: int = 10) -> DataFrame:
-    """Bins of equal count by stable rank; ties may straddle."""
-    w = Window.partitionBy(*by).orderBy(conf, "row_id", "question_id")
-    return _ece(pairs.withColumn("tile", F.ntile(bins).over(w)), by, F.col(conf), F.col("ok"), F.col("tile"), "ece_adaptive")
+    """Bins of equal count by stable rank (row_id, question_id among ties); ties may straddle.
+
+    Ranks come from counts per distinct confidence; only the confidences at which a bin ends
+    are ranked row by row.
+    """
+    per = pairs.groupBy(*by, F.col(conf).alias("c")).agg(F.count(F.lit(1)).alias("m"), F.sum("ok").alias("hits"))
+    up = Window.partitionBy(*by).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.select(*by, "c", "m", "hits", (F.sum("m").over(up) - F.col("m")).alias("s"), F.sum("m").over(Window.partitionBy(*by)).alias("n"))
+
+    def tile(at: Column) -> Column:
+        """The bin of a place: the first n % bins bins are larger by one."""
+        size, more = F.floor(F.col("n") / bins), F.col("n") % bins
+        return F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+
+    per = per.withColumn("first", tile(F.col("s"))).withColumn("last", tile(F.col("s") + F.col("m") - 1))
+    whole = per.where("first = last").select(*by, F.col("first").alias("bin"), "n", "m", (F.col("m") * F.col("c")).alias("conf_sum"), "hits")
+    cut = per.where("first < last").select(*by, "c", "s", "n")
+    rows = pairs.select(*by, F.col(conf).alias("c"), "ok", "row_id", "question_id").join(F.broadcast(cut), [*by, "c"])  # fewer than bins rows a group
+    place = F.col("s") + F.row_number().over(Window.partitionBy(*by, "c").orderBy("row_id", "question_id")) - 1
+    split = rows.withColumn("at", place).select(*by, tile(F.col("at")).alias("bin"), "n", F.lit(1).cast("bigint").alias("m"), F.col("c").alias("conf_sum"), F.col("ok").cast("bigint").alias("hits"))
+    sums = whole.unionByName(split).groupBy(*by, "bin").agg(F.max("n").alias("n"), F.sum("conf_sum").alias("c"), F.sum("hits").alias("h"))
+    return sums.groupBy(*by).agg((F.sum(F.abs(F.col("h") - F.col("c"))) / F.max("n")).alias("ece_adaptive"))
 
 
 def ece_one_vs_rest(pairs: DataFrame, by: list[str], bins: int = 10) -> DataFrame:

@@ -20,8 +20,15 @@ def schema_splits(schemas: list[tuple[str, str]]) -> dict[str, str]:
 
 def every_kth(rows: DataFrame, k: int, order: str = "ord", variants: int = 5) -> DataFrame:
     """Every k-th row in order, from the first, with the number of its alternative wording."""
-    i = F.row_number().over(Window.orderBy(order)) - 1 if k else F.lit(0)
-    return rows.withColumn("i", i).where(F.col("i") % k == 0).withColumn("variant", F.floor(F.col("i") / k) % variants)
+    return numbered(rows, order).where(F.col("i") % k == 0).withColumn("variant", F.floor(F.col("i") / k) % variants)
+
+
+def numbered(rows: DataFrame, order: str = "ord", block: int = 10_000) -> DataFrame:
+    """rows with their place i (from 0) by a numeric order: counts of blocks of the order first, then ranks inside each."""
+    rows = rows.withColumn("_b", F.floor(F.col(order) / block))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("m")).withColumn("_s", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")  # a row a block
+    return rows.join(starts, "_b").withColumn("i", F.col("_s") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1).drop("_b", "_s")
 
 
 def cycle(offset: Column, n: int, k: int) -> Column:
