@@ -136,3 +136,38 @@ def count_gate(rows: DataFrame, split: Column, expected: dict[str, int]) -> Data
     have = rows.groupBy(split.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     both = want.join(have, "s", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))).where("n <> want")
     return both.select(F.concat(F.lit("count_"), "s").alias("code"), "n", F.col("want").cast("string").alias("sample"))
+
+
+def plan_gate(plan: DataFrame, allowed: list[str], eval_pairs: DataFrame, eval_states: DataFrame, share: tuple[float, float] = (0.1, 0.6)) -> DataFrame:
+    """Failures of a labelled plan (state_key, schema_id, target): wordings not allowed, (state, wording) pairs or states of the evaluation, sums off 1, label balance."""
+    from ..functions import dist
+
+    n = plan.count()
+    top = plan.groupBy(dist.argmax(F.col("target")).alias("label")).agg((F.count(F.lit(1)) / F.lit(max(1, n))).alias("share"))
+    return _union([
+        _bad(plan.where(~F.col("schema_id").isin(allowed)), "wording_not_allowed", F.col("schema_id")),
+        _bad(plan.join(eval_pairs.select("state_key", "schema_id").distinct(), ["state_key", "schema_id"], "left_semi"), "evaluated_pair", F.col("state_key")),
+        _bad(plan.join(eval_states.select("state_key").distinct(), "state_key", "left_semi"), "evaluated_state", F.col("state_key")),
+        _bad(plan.where(F.abs(dist.total(F.col("target")) - 1) > 1e-6), "sum", F.col("state_key")),
+        _bad(top.where(~F.col("share").between(*share)), "label_share", F.col("label")),
+    ])
+
+
+def training_rows(rows: DataFrame, split: str = "train", carved: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Chat records to train on: all must be of the split, or it is an error; with carved (groups, ids) those are left out and the rest checked again."""
+    from .etl import without_carve
+
+    check(_bad(rows.where(~F.coalesce(F.lower(F.trim("split")) == split, F.lit(False))), f"not_{split}", F.col("row_id")))
+    if carved is None:
+        return rows
+    kept = without_carve(rows, *carved)
+    check(_bad(kept.join(carved[0].select("group_id"), "group_id", "left_semi"), "carved_group", F.col("row_id")))
+    return kept
+
+
+def without_test(rows: DataFrame) -> DataFrame:
+    """Rows that aren't of the test split; asserts that none of their ids is."""
+    test = F.coalesce(F.lower(F.trim("split")) == "test", F.lit(False))
+    kept = rows.where(~test)
+    check(_bad(kept.join(rows.where(test).select("row_id").distinct(), "row_id", "left_semi"), "test_row", F.col("row_id")))
+    return kept

@@ -116,3 +116,23 @@ def within_budget(rows: DataFrame, budget: float, order: str = "ord", tokens: st
     spent = F.col("_s") + F.coalesce(F.sum("_t").over(inside), F.lit(0))
     rows = rows.join(starts, "_b").withColumn("_spent", spent)
     return rows.where((F.col("_spent") + fallback) * F.lit(price) <= F.lit(budget)).drop("_b", "_t", "_s", "_spent")
+
+
+def stopped_at(history: list[float], patience: int, least: float = 1e-4) -> int | None:
+    """The epoch at which training stops: after `patience` epochs without an improvement of more than least; None if it never does."""
+    best, waited = float("inf"), 0
+    for k, loss in enumerate(history):
+        if loss < best - least:
+            best, waited = loss, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                return k
+    return None
+
+
+def search_order(options: DataFrame, threshold: float) -> DataFrame:
+    """(puzzle_id, cell, value, p) in the order to try, most probable first; those below the threshold go, unless none passes it."""
+    passes = F.max((F.col("p") >= threshold).cast("int")).over(Window.partitionBy("puzzle_id", "cell"))
+    kept = options.withColumn("_any", passes).where((F.col("_any") == 0) | (F.col("p") >= threshold)).drop("_any")
+    return kept.withColumn("turn", F.row_number().over(Window.partitionBy("puzzle_id", "cell").orderBy(F.desc("p"), "value")))

@@ -95,8 +95,8 @@ def _chat_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    rows = _one(spark, d, "state", "source", "labels").withColumn("label", dist.argmax(dist.from_map(F.try_element_at("labels", F.lit("verdict")))))
-    states = rows.select(text.state_key(F.col("state")).alias("state_key"), "label", F.coalesce(F.lower(F.trim("source")) == "jev_synthetic", F.lit(False)).alias("synthetic"))
+    rows = _one(spark, d, "state", "label_source", "labels").withColumn("label", dist.argmax(dist.from_map(F.try_element_at("labels", F.lit("verdict")))))
+    states = rows.select(text.state_key(F.col("state")).alias("state_key"), "label", F.coalesce(F.lower(F.trim("label_source")) == "synthetic_oracle", F.lit(False)).alias("synthetic"))
     plan, _ = planning.quota_plan(states, [f"fc-c{k}" for k in range(6)], SPACE, states.count() // 3)
     return plan.groupBy("label", "synthetic", "schema_id").agg(F.count(F.lit(1)).alias("n"))
 

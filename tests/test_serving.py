@@ -82,3 +82,53 @@ def test_puzzles(spark):
     assert all(sorted(out[4][9 * k : 9 * k + 9]) == list("123456789") for k in range(9))
     options = puzzles.candidates(puzzles.cells(rows.where("puzzle_id = 1")))
     assert puzzles.fewest(options).first().n == 1 and puzzles.hidden_singles(options).count() > 0
+
+
+def test_more_gates(spark):
+    from quorate.operators import gates
+
+    plan = spark.createDataFrame([("a", "w1", 1.0), ("b", "w2", 0.9), ("c", "w9", 1.0)], "state_key string, schema_id string, p double").select("state_key", "schema_id", F.array(dist.entry(F.lit("x"), F.col("p"))).alias("target"))
+    pairs = spark.createDataFrame([("a", "w1")], "state_key string, schema_id string")
+    states = spark.createDataFrame([("b",)], "state_key string")
+    assert {r.code: r.n for r in gates.plan_gate(plan, ["w1", "w2"], pairs, states).collect()} == {"wording_not_allowed": 1, "evaluated_pair": 1, "evaluated_state": 1, "sum": 1, "label_share": 1}
+    rows = spark.createDataFrame([("a", "train", "g", None), ("b", "TRAIN ", "h", '{"gt_row_id": "z"}'), ("c", "train", None, None)], "row_id string, split string, group_id string, meta string")
+    groups, ids = spark.createDataFrame([("g",)], "group_id string"), spark.createDataFrame([("z",)], "row_id string")
+    assert [r.row_id for r in gates.training_rows(rows, carved=(groups, ids)).collect()] == ["c"]
+    with pytest.raises(ValueError, match="not_val"):
+        gates.training_rows(rows, "val")
+    assert gates.without_test(rows).count() == 3
+    with pytest.raises(ValueError, match="test_row"):
+        gates.without_test(rows.union(spark.createDataFrame([("a", "test", None, None)], rows.schema)))
+
+
+def test_scoring_helpers(spark):
+    import pandas as pd
+
+    from quorate.operators import scoring
+    from quorate.plans import planning
+
+    calls = []
+
+    def flaky(batches):
+        for b in batches:
+            calls.append(len(b))
+            if len(calls) < 3:
+                raise OSError("busy")
+            yield b
+
+    one = pd.DataFrame({"row_id": ["a", "b"]})
+    assert len(list(scoring.with_retries(flaky, sleep=lambda s: None)(iter([one])))) == 1 and calls == [2, 2, 2]
+
+    def bad(batches):
+        for b in batches:
+            if "b" in b["row_id"].tolist():
+                raise OSError("never")
+            yield b
+
+    with pytest.raises(RuntimeError, match="row b"):
+        list(scoring.with_retries(bad, attempts=2, sleep=lambda s: None)(iter([one])))
+    rows = scoring.probe_rows(spark)
+    assert rows.count() == len(scoring.PROBES) and scoring.throughput(scoring.requests(rows), scoring.lexical_scorer)["n"] == 9
+    assert planning.stopped_at([3, 2, 2, 2, 1], 2) == 3 and planning.stopped_at([3, 2, 1], 2) is None
+    options = spark.createDataFrame([(1, 0, 1, 0.2), (1, 0, 2, 0.9), (1, 1, 1, 0.1), (1, 1, 3, 0.1)], "puzzle_id int, cell int, value int, p double")
+    assert [(r.cell, r.value, r.turn) for r in planning.search_order(options, 0.5).orderBy("cell", "turn").collect()] == [(0, 2, 1), (1, 1, 1), (1, 3, 2)]
