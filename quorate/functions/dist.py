@@ -16,6 +16,11 @@ def entry(label: Column, p: Column) -> Column:
     return F.struct(label.cast("string").alias("label"), p.cast("double").alias("p"))
 
 
+def bind(x: Column, f) -> Column:
+    """f(x) with x computed once for each row, however often f uses it: inside a lambda, Spark computes it anew for every element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def from_map(m: Column | str) -> Column:
     """A map's entries in their order."""
     return F.transform(F.map_entries(m), lambda e: entry(e["key"], e["value"]))
@@ -41,9 +46,8 @@ def is_valid(d: Column) -> Column:
 
 def normalize(d: Column, strict: bool = False) -> Column:
     """Divided by its sum; a distribution without mass is null, or an error if strict."""
-    s = total(d)
-    out = F.when(s > 0, F.transform(d, lambda e: entry(e["label"], e["p"] / s)))
-    return out.when(d.isNotNull(), F.raise_error(F.lit("distribution without mass")).cast(NONE)) if strict else out
+    out = bind(d, lambda v: bind(total(v), lambda s: F.when(s > 0, F.transform(v, lambda e: entry(e["label"], e["p"] / s)))))
+    return F.coalesce(out, F.when(d.isNotNull(), F.raise_error(F.lit("distribution without mass")).cast(NONE))) if strict else out
 
 
 def p_of(d: Column, label: Column) -> Column:
@@ -57,17 +61,21 @@ def top(d: Column) -> Column:
 
 def argmax(d: Column) -> Column:
     """The first label of the highest probability."""
-    return F.get(F.filter(d, lambda e: e["p"] == top(d)), F.lit(0))["label"]
+    return bind(d, lambda v: F.get(_highest(v), F.lit(0))["label"])
+
+
+def _highest(d: Column) -> Column:
+    return bind(top(d), lambda m: F.filter(d, lambda e: e["p"] == m))
 
 
 def argmax_sorted(d: Column) -> Column:
     """The alternative rule for ties: the first in label order."""
-    return F.array_min(labels(F.filter(d, lambda e: e["p"] == top(d))))
+    return bind(d, lambda v: F.array_min(labels(_highest(v))))
 
 
 def ties(d: Column) -> Column:
     """How many labels share the highest probability."""
-    return F.size(F.filter(d, lambda e: e["p"] == top(d)))
+    return bind(d, lambda v: F.size(_highest(v)))
 
 
 def one_hot(space: Column, winner: Column) -> Column:
@@ -87,8 +95,7 @@ def confidence(stored: Column, d: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Of an array of (label, p) with logits in p; shifted by their maximum."""
-    m = top(logits)
-    return normalize(F.transform(logits, lambda e: entry(e["label"], F.exp(e["p"] - m))))
+    return normalize(bind(logits, lambda v: bind(top(v), lambda m: F.transform(v, lambda e: entry(e["label"], F.exp(e["p"] - m))))))
 
 
 def sequence_scores(token_logps: Column) -> Column:
@@ -163,9 +170,8 @@ def interpolate(x: Column, knots: Column) -> Column:
 def apply_isotonic(d: Column, knots: Column) -> Column:
     """Positive probabilities through the fitted map, renormalised; no mass left: uniform over them."""
     mapped = F.transform(d, lambda e: entry(e["label"], F.when(e["p"] > 0, interpolate(e["p"], knots)).otherwise(e["p"])))
-    n = F.size(F.filter(d, lambda e: e["p"] > 0))
-    flat = F.transform(d, lambda e: entry(e["label"], F.when(e["p"] > 0, F.lit(1.0) / n).otherwise(0.0)))
-    return F.when(knots.isNull(), normalize(d)).when(total(mapped) > 0, normalize(mapped)).otherwise(flat)
+    flat = bind(F.size(F.filter(d, lambda e: e["p"] > 0)), lambda n: F.transform(d, lambda e: entry(e["label"], F.when(e["p"] > 0, F.lit(1.0) / n).otherwise(0.0))))
+    return F.when(knots.isNull(), normalize(d)).otherwise(F.coalesce(normalize(mapped), flat))
 
 
 def over_space(d: Column, space: Column) -> Column:
@@ -203,15 +209,15 @@ def left_padded(ids: Column, length: Column, pad: int = 0) -> Column:
 
 def brier(d: Column, gold: Column) -> Column:
     """Squared distance over the gold labels, an absent one counting 0."""
-    return F.aggregate(gold, F.lit(0.0), lambda s, g: s + F.pow(p_of(d, g["label"]) - g["p"], F.lit(2.0)))
+    return bind(d, lambda v: F.aggregate(gold, F.lit(0.0), lambda s, g: s + F.pow(p_of(v, g["label"]) - g["p"], F.lit(2.0))))
 
 
 def total_variation(d: Column, gold: Column) -> Column:
-    return F.aggregate(gold, F.lit(0.0), lambda s, g: s + F.abs(p_of(d, g["label"]) - g["p"])) / 2
+    return bind(d, lambda v: F.aggregate(gold, F.lit(0.0), lambda s, g: s + F.abs(p_of(v, g["label"]) - g["p"]))) / 2
 
 
 def soft_cross_entropy(d: Column, gold: Column, eps: float = 1e-15) -> Column:
-    return F.aggregate(gold, F.lit(0.0), lambda s, g: s - g["p"] * F.ln(F.greatest(p_of(d, g["label"]), F.lit(eps))))
+    return bind(d, lambda v: F.aggregate(gold, F.lit(0.0), lambda s, g: s - g["p"] * F.ln(F.greatest(p_of(v, g["label"]), F.lit(eps)))))
 
 
 def entropy(d: Column) -> Column:
@@ -220,4 +226,4 @@ def entropy(d: Column) -> Column:
 
 def kl(d: Column, reference: Column, eps: float = 1e-15) -> Column:
     """KL divergence of d from reference over d's whole support."""
-    return F.aggregate(d, F.lit(0.0), lambda s, e: s + F.when(e["p"] > 0, e["p"] * (F.ln(e["p"]) - F.ln(F.greatest(p_of(reference, e["label"]), F.lit(eps))))).otherwise(0.0))
+    return bind(reference, lambda v: F.aggregate(d, F.lit(0.0), lambda s, e: s + F.when(e["p"] > 0, e["p"] * (F.ln(e["p"]) - F.ln(F.greatest(p_of(v, e["label"]), F.lit(eps))))).otherwise(0.0)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.runtime import materialize
 
 FORM = "code string, n bigint, sample string"
 
@@ -59,8 +60,10 @@ def train_eval_gate(pool: DataFrame, protected: DataFrame) -> DataFrame:
     """
     split = F.lower(F.trim("split"))
     kept = protected.where(F.coalesce(split.isin("val", "validation", "dev", "test"), F.lit(True)))
-    e = state_signatures(kept, F.col("state"))
-    t = prompt_signatures(pool, F.col("user"))
+    # Rendered, parsed and hashed once; the checks below read the hashes alone.
+    columns = ["row_id", "sig", "set_sig", "parsed"]
+    e = materialize(state_signatures(kept, F.col("state")).select(*columns), "eval_signatures")
+    t = materialize(prompt_signatures(pool, F.col("user")).select(*columns), "pool_signatures")
     none = lambda df, code: df.agg(F.count(F.lit(1)).alias("k")).where("k = 0").select(F.lit(code).alias("code"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("sample"))
     ids = kept.select(F.col("row_id").alias("gt")).where("gt is not null").distinct()
     gt = pool.select("row_id", F.coalesce("gt_row_id", "row_id").alias("gt"))
