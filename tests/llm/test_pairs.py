@@ -44,7 +44,7 @@ def truth(rows):
 
 @pytest.mark.parametrize("block", [256, 2])
 def test_near_duplicates_equal_brute_force(fixture_rows, rows, block):
-    found = nd.near_duplicates(fixture_rows(rows), nd.Params(block=block))
+    found = nd.near_duplicates(fixture_rows(rows), nd.Params(block=block, small=0 if block == 2 else 500_000))
     want, _ = truth(rows)
     assert {tuple(r) for r in nd.record_pairs(found).collect()} == want
     groups = {r.row_id: r.group_row_id for r in nd.record_groups(found).collect()}
