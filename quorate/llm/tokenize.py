@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The split of a text into words that the rank file's merges go with (fixed value).
@@ -224,19 +224,40 @@ def _runs(batches):
         yield pa.Table.from_batches(held)
 
 
-def token_bytes(spark: SparkSession, params: Params = Params()) -> DataFrame:
-    """(id, bytes): the table of the vocabulary, as large as that is and no larger."""
-    return spark.createDataFrame([(i, bytearray(b)) for b, i in load_ranks(params.ranks).items()], "id int, bytes binary")
-
-
 def decode(encoded: DataFrame, params: Params = Params(), id_col: str = "doc_id") -> DataFrame:
-    """(id_col, text) of (id_col, ids), by a join with the token-byte table (a vocabulary, so broadcast).
+    """(id_col, text) of (id_col, ids): ids are joined with the token-byte table where they are.
 
-    Empty and null lists give the empty text. An id that is not in the table fails.
+    The table is a vocabulary, so every worker has it whole and the join is a lookup by id
+    over Arrow batches; no token is a row of its own and nothing is shuffled. Empty and null
+    lists give the empty text. An id that is not in the table, or bytes that are no UTF-8,
+    fail.
     """
-    tokens = F.broadcast(token_bytes(encoded.sparkSession, params))
-    numbered = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), "ids")
-    rows = numbered.select("row", id_col, F.posexplode_outer("ids").alias("pos", "id"))
-    rows = rows.join(tokens, "id", "left").select("row", id_col, "pos", F.when(F.col("id").isNull(), "").when(F.col("bytes").isNull(), F.raise_error("unknown token id")).otherwise(F.hex("bytes")).alias("hex"))
-    whole = rows.groupBy("row").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
-    return whole.select(id_col, F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), "")), "UTF-8").alias("text"))
+    kind = encoded.schema[id_col].dataType.simpleString()
+    path = params.ranks
+
+    def run(batches):
+        ranks = load_ranks(path)
+        table = [b""] * (max(ranks.values()) + 1)
+        known = np.zeros(len(table), bool)
+        for b, i in ranks.items():
+            table[i] = b
+            known[i] = True
+        length = np.fromiter((len(b) for b in table), np.int64, len(table))
+        start, data = np.cumsum(length) - length, np.frombuffer(b"".join(table), np.uint8)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ok = (ids >= 0) & (ids < len(table))
+                if not (ok.all() and known[ids].all()):
+                    raise ValueError("unknown token id")
+                n = length[ids]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[ids], n)
+                sizes = np.array([x or 0 for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+                raw = data[at].tobytes()
+                texts = [raw[x:y].decode("utf-8") for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")

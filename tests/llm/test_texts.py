@@ -17,7 +17,7 @@ def documents(spark):
     return lambda texts, langs=None: spark.createDataFrame([(k, t, (langs or {}).get(k), "ids") for k, t in enumerate(texts)], "doc_id long, text string, lang string, ids string")
 
 
-def test_encoding_equals_the_library(documents):
+def test_encoding_equals_the_library(spark, documents):
     rng = random.Random(0)
     texts = ODD + [" ".join(rng.choices(["alpha", "beta", "γάμμα", "42", "the", "!"], k=rng.randint(0, 40))) for _ in range(300)]
     encoding = tk._encoding(tk.Params().ranks)
@@ -26,6 +26,10 @@ def test_encoding_equals_the_library(documents):
         assert got == {k: encoding.encode_ordinary(t or "") for k, t in enumerate(texts)}
     back = {r.doc_id: r.text for r in tk.decode(tk.encode(documents(texts))).collect()}
     assert back == {k: t or "" for k, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [64, 65])], "doc_id int, ids array<int>")
+    assert [r.text for r in tk.decode(odd).orderBy("doc_id").collect()] == ["", "", "ab"]
+    with pytest.raises(Exception, match="unknown token"):
+        tk.decode(spark.createDataFrame([(1, [10**6])], "doc_id int, ids array<int>")).collect()
 
 
 def test_encoding_keeps_rows_and_nothing(spark, documents):
