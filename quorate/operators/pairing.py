@@ -19,15 +19,18 @@ def last_by(rows: DataFrame, keys: list[str], order: str, columns: list[str]) ->
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("_r")).select(*keys, "_r.*")
 
 
-def gold_labels(rows: DataFrame) -> DataFrame:
-    """One row for each record and question, with the gold distribution normalised.
+EXTRAS = ("source", "split", "group_id", "label_source", "weight", "meta")
 
-    A record delivered twice counts once (its first ord); distributions without mass are left out.
+
+def gold_labels(rows: DataFrame, columns: tuple[str, ...] = EXTRAS) -> DataFrame:
+    """One row for each record and question, with the gold distribution normalised, and the named other columns.
+
+    Only those columns are read. A record delivered twice counts once (its first ord); distributions without mass are left out.
     """
     one = rows.where("row_id is not null and labels is not null").groupBy("row_id").agg(
-        F.min_by(F.struct("source", "split", "group_id", "label_source", "weight", "labels", "meta"), "ord").alias("r")
+        F.min_by(F.struct(*columns, "labels"), "ord").alias("r")
     )
-    long = one.select("row_id", "r.source", "r.split", "r.group_id", "r.label_source", "r.weight", "r.meta", F.explode("r.labels").alias("question_id", "m"))
+    long = one.select("row_id", *(f"r.{c}" for c in columns), F.explode("r.labels").alias("question_id", "m"))
     long = long.withColumn("target", dist.normalize(dist.from_map(F.col("m")))).drop("m").where("target is not null")
     return long.withColumn("gold", dist.argmax(F.col("target")))
 
@@ -89,7 +92,7 @@ def coverage(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def exact_pairs(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """The pairs of one model, or an error where keys are missing on either side."""
-    both = gold.select("row_id", "question_id", "target", "gold", "source").join(
+    both = gold.select("row_id", "question_id", "target", "gold").join(
         predictions.select("row_id", "question_id", "raw", "confidence").withColumn("there", F.lit(True)), ["row_id", "question_id"], "full"
     )
     wrong = F.when(F.col("gold").isNull(), F.concat(F.lit("answer without gold: "), F.col("row_id"))).when(F.col("there").isNull(), F.concat(F.lit("no answer: "), F.col("row_id")))
@@ -99,6 +102,6 @@ def exact_pairs(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 def side_by_side(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Rows that both models answered, one model's columns with _a, the other's with _b."""
     columns = ["pred", "ok", "conf", "answer"]
-    one = pairs.where(F.col("model") == a).select("row_id", "question_id", "gold", "source", "split", "target", *(F.col(c).alias(f"{c}_a") for c in columns))
+    one = pairs.where(F.col("model") == a).select("row_id", "question_id", "gold", "target", *(F.col(c).alias(f"{c}_a") for c in columns))
     two = pairs.where(F.col("model") == b).select("row_id", "question_id", *(F.col(c).alias(f"{c}_b") for c in columns))
     return one.join(two, ["row_id", "question_id"])

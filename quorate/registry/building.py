@@ -85,7 +85,7 @@ def _gate(spark: SparkSession, d: str) -> DataFrame:
 def _audit(spark: SparkSession, d: str) -> DataFrame:
     from .metrics import _gold, _preds
 
-    gold = _gold(spark, d).where("question_id = 'verdict' and lower(trim(split)) in ('val', 'validation', 'dev', 'test')")
+    gold = _gold(spark, d, "split").where("question_id = 'verdict' and lower(trim(split)) in ('val', 'validation', 'dev', 'test')")
     return gates.audit_input_gate(gold, _preds(spark, d).where("model = 'clf-large'"))
 
 

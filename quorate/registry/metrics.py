@@ -20,24 +20,24 @@ def rounded(df: DataFrame, digits: int = 10) -> DataFrame:
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _gold(spark: SparkSession, d: str) -> DataFrame:
-    return gold_labels(table(spark, d, "fixture"))
+def _gold(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return gold_labels(table(spark, d, "fixture"), columns)
 
 
 def _preds(spark: SparkSession, d: str) -> DataFrame:
     return last_predictions(table(spark, d, "predictions"))
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return paired(_gold(spark, d), _preds(spark, d))
+def pairs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return paired(_gold(spark, d, *columns), _preds(spark, d))
 
 
 def both(spark: SparkSession, d: str) -> DataFrame:
     return side_by_side(pairs(spark, d), A, B)
 
 
-def _of(f, *args, **kw):
-    return lambda spark, d: rounded(f(pairs(spark, d), MODEL, *args, **kw))
+def _of(f, *args, columns: tuple[str, ...] = ()):
+    return lambda spark, d: rounded(f(pairs(spark, d, *columns), MODEL, *args))
 
 
 def _malformed(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _decided(spark: SparkSession, d: str) -> DataFrame:
 
 def _strata(stratum: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = pairs(spark, d).withColumn(stratum, F.coalesce(F.lower(F.trim(stratum)), F.lit("?")))
+        rows = pairs(spark, d, stratum).withColumn(stratum, F.coalesce(F.lower(F.trim(stratum)), F.lit("?")))
         return rounded(m.recall_strata(rows, MODEL, stratum))
 
     return query
@@ -71,7 +71,7 @@ def _strata(stratum: str):
 
 def _shortcut(spark: SparkSession, d: str) -> DataFrame:
     arm = F.lower(F.trim(F.get_json_object("meta", "$.arm")))
-    return rounded(m.with_and_without(pairs(spark, d), MODEL, arm == "no_evidence"))
+    return rounded(m.with_and_without(pairs(spark, d, "meta"), MODEL, arm == "no_evidence"))
 
 
 def _cost(spark: SparkSession, d: str) -> DataFrame:
@@ -84,11 +84,11 @@ def _cost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _covered(spark: SparkSession, d: str) -> DataFrame:
-    return coverage(_gold(spark, d).where("question_id = 'verdict' and lower(trim(split)) in ('val', 'validation', 'dev', 'test')"), _preds(spark, d))
+    return coverage(_gold(spark, d, "split").where("question_id = 'verdict' and lower(trim(split)) in ('val', 'validation', 'dev', 'test')"), _preds(spark, d))
 
 
 def _source_labels(spark: SparkSession, d: str) -> DataFrame:
-    return m.rollup_counts(_gold(spark, d).where("question_id = 'verdict'").withColumn("source", F.coalesce(F.lower(F.trim("source")), F.lit("?"))), "source", "gold")
+    return m.rollup_counts(_gold(spark, d, "source").where("question_id = 'verdict'").withColumn("source", F.coalesce(F.lower(F.trim("source")), F.lit("?"))), "source", "gold")
 
 
 def _mcnemar(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ QUERIES = {
     "a30_cost": _cost,
     "a32_without_shortcut": _shortcut,
     "a33_over_claims": _of(m.over_claims),
-    "a34_soft_loss": _of(m.soft_loss, {"adversarial": 2.0}),
+    "a34_soft_loss": _of(m.soft_loss, {"adversarial": 2.0}, columns=("source", "weight")),
     "a35_reward_terms": _of(m.reward_terms),
     "a36_policy_terms": _of(m.policy_terms),
     "f09_decision_rule": _decided,

@@ -43,7 +43,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
     arm = F.coalesce(F.nullif(F.lower(F.trim(F.get_json_object("meta", "$.arm"))), F.lit("")), F.lit("plain"))
-    return reports.arm_accuracy(pairs(spark, d), arm, ["model"])
+    return reports.arm_accuracy(pairs(spark, d, "meta"), arm, ["model"])
 
 
 def _routed(spark: SparkSession, d: str) -> DataFrame:
