@@ -1,7 +1,8 @@
-"""Near-duplicate records: ProbMinHash signatures, banding, exact verification."""
+"""Near-duplicate records: an exact prefix filter over the rarest words, exact verification."""
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,20 +20,16 @@ from .text import WordHash, content_of, mix64, words_of
 class Params:
     """threshold: least Jaccard similarity of the distinct words.
 
-    bands x rows registers: a pair of probability Jaccard p shares a band with chance
-    1 - (1 - p^rows)^bands, 0.999 at p = 0.63. common: a word of document share f weighs
-    min(1, common / f). width: counters of the hashed document counts; collisions raise f by
-    (mean distinct words / width) on average, whatever the corpus size. block: nodes of a
-    bucket that are paired in one task; larger buckets are split into pairs of blocks.
-    small: as many nodes at most are broadcast (8 bytes each) to filter the word sets.
+    width: counters of the hashed document counts, which only order the words: collisions cost
+    time, never a pair. block: members of a word's list that are paired in one task; longer
+    lists are split into pairs of blocks. hits: pairs looked at together, a bound on memory
+    only. small: as many nodes at most are broadcast (8 bytes each) to filter the word sets.
     """
 
     threshold: float = 0.6
-    bands: int = 24
-    rows: int = 3
-    common: float = 0.003
-    width: int = 1 << 17
-    block: int = 256
+    width: int = 1 << 22
+    block: int = 8192
+    hits: int = 2_000_000
     small: int = 500_000
 
 
@@ -70,26 +67,39 @@ def flat_of(column) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]].astype(np.int32, copy=False).view(np.uint32), offsets - offsets[0]
 
 
-def word_weights(sets: DataFrame, p: Params) -> np.ndarray:
-    """Weights by hash bucket from document counts over all records; its size is p.width, fixed."""
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """(node, words): each word set once, without the empty one."""
+    return materialize(sets.where("size(words) > 0").groupBy("node").agg(F.any_value("words").alias("words")), "distinct_sets")
+
+
+def _buckets(values: np.ndarray, width: int) -> np.ndarray:
+    return (mix64(values.astype(np.uint64)) & np.uint64(width - 1)).astype(np.int64)
+
+
+def word_levels(distinct: DataFrame, p: Params) -> np.ndarray:
+    """How common the words of a hash bucket are over the distinct sets, in eighths of a doubling; 0: in one set at most."""
     width = p.width
+    parts = min(64, width)
 
     def run(batches):
-        counts, n = np.zeros(width, np.int64), 0
+        counts = np.zeros(width, np.uint32)
         for batch in batches:
-            values, _ = flat_of(batch.column(0))
-            counts += np.bincount((mix64(values.astype(np.uint64)) & np.uint64(width - 1)).astype(np.int64), minlength=width)
-            n += batch.num_rows
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], n))], names=["bucket", "n"])
+            counts += np.bincount(_buckets(flat_of(batch.column(0))[0], width), minlength=width).astype(np.uint32)
+        packed = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(parts, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def add(key, rows):
+        n = np.zeros(width // parts, np.int64)
+        for x in rows.column("counts"):
+            n += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        level = np.where(n > 1, 1 + 8 * np.log2(np.maximum(n, 2) / 2), 0).astype(np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
 
-    sums = sets.select("words").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    sums = materialize(sums, "counts")
-    total = max(1, sums.where("bucket = -1").agg(F.sum("n")).first()[0] or 0)
-    weights = np.ones(width, np.float32)
-    for r in sums.where((F.col("bucket") >= 0) & (F.col("n") > p.common * total)).toPandas().itertuples():
-        weights[r.bucket] = p.common * total / r.n
-    return weights
+    sums = distinct.select("words").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, levels binary")
+    levels = np.zeros((parts, width // parts), np.uint8)
+    for r in sums.collect():  # p.width bytes, whatever the corpus
+        levels[r.part] = np.frombuffer(r.levels, np.uint8)
+    return levels.reshape(-1)
 
 
 def probminhash(values: np.ndarray, offsets: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
@@ -126,139 +136,150 @@ def probminhash(values: np.ndarray, offsets: np.ndarray, weights: np.ndarray, m:
     return sig.reshape(n, m)
 
 
-def band_keys(sets: DataFrame, weights: np.ndarray, p: Params) -> DataFrame:
-    """(node, bands): one row for each distinct word set."""
-    bands, rows = p.bands, p.rows
+def least_common(threshold: float, a, b):
+    """Words that sets of a and b words share at least if their Jaccard similarity reaches the threshold."""
+    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
+
+
+def prefixes(distinct: DataFrame, levels: np.ndarray, p: Params) -> DataFrame:
+    """(key, size, left, node): the rarest words of each set, so many that no pair of the threshold goes without a common one.
+
+    Sets x and y share at least threshold * size(x) words, so the first of them in any fixed
+    order of all words is among the size - ceil(threshold * size) + 1 first of x, and
+    likewise of y. left counts the words of the set from this one on. Words of one set only
+    are left out, as they can't be shared.
+    """
+    t = p.threshold
+    shared = distinct.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
+        levels = shared.value
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
             values, offsets = flat_of(batch.column(1))
-            _, keep = np.unique(nodes, return_index=True)
-            keep = keep[np.diff(offsets)[keep] > 0]
-            for k in range(0, len(keep), 4096):
-                part = keep[k : k + 4096]
-                sizes = (offsets[1:] - offsets[:-1])[part]
-                own = np.concatenate([[0], np.cumsum(sizes)])
-                at = np.arange(own[-1]) - np.repeat(own[:-1], sizes) + np.repeat(offsets[:-1][part], sizes)
-                v = values[at]
-                w = weights[(mix64(v.astype(np.uint64)) & np.uint64(len(weights) - 1)).astype(np.int64)].astype(np.float64)
-                sig = probminhash(v, own, w, bands * rows).astype(np.uint64).reshape(len(part), bands, rows)
-                h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(part), bands))
-                with np.errstate(over="ignore"):
-                    for j in range(rows):
-                        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, j])
-                flat = pa.array(np.ascontiguousarray(h).reshape(-1).view(np.int64))
-                lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * bands, flat)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), lists], names=["node", "bands"])
-
-    return sets.select("node", "words").mapInArrow(run, "node bigint, bands array<bigint>").groupBy("node").agg(F.any_value("bands").alias("bands"))
-
-
-def _pairs_of_runs(keys: np.ndarray, nodes: np.ndarray, most: int):
-    """Pairs within runs of equal keys of up to `most` nodes; members of longer runs."""
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(starts, len(keys)))
-    a, b = [], []
-    for s in np.unique(sizes[(sizes > 1) & (sizes <= most)]):
-        at = starts[sizes == s]
-        i, j = np.triu_indices(s, 1)
-        a.append(nodes[(at[:, None] + i).ravel()])
-        b.append(nodes[(at[:, None] + j).ravel()])
-    long = sizes > most
-    member = np.repeat(long, sizes)
-    return np.concatenate(a or [nodes[:0]]), np.concatenate(b or [nodes[:0]]), keys[member], nodes[member]
+            sizes = np.diff(offsets).astype(np.int64)
+            rec = np.repeat(np.arange(len(sizes)), sizes)
+            level = levels[_buckets(values, len(levels))]
+            order = np.lexsort((level.astype(np.int64) << 32 | values, rec))
+            left = sizes[rec] - (np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            keep = (left >= np.ceil(t * sizes[rec] - 1e-9)) & (level[order] > 0)
+            at = rec[keep]
+            columns = (values[order[keep]].view(np.int32), sizes[at].astype(np.int32), left[keep].astype(np.int32), nodes[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "size", "left", "node"])
+
+    return distinct.select("node", "words").mapInArrow(run, "key int, size int, left int, node bigint")
+
+
+def _pairs_of_runs(runs: np.ndarray, size: np.ndarray, left: np.ndarray, node: np.ndarray, p: Params, side: np.ndarray | None = None):
+    """Pairs of nodes within runs (numbers, ascending, sizes ascending in each) that may reach the threshold, each once.
+
+    The words left from a pair's first common word on bound what it shares, and the smaller
+    set of a pair holds that word so early that few members need be compared with the others.
+    """
+    t = p.threshold
+    key = runs.astype(np.int64) << 32 | size
+    one = np.flatnonzero(left >= least_common(t, size, size))
+    lo = np.searchsorted(key, key[one], "left")
+    hi = np.searchsorted(key, runs[one].astype(np.int64) << 32 | np.floor(size[one] / t + 1e-9).astype(np.int64), "right")
+    total = np.cumsum(hi - lo)
+    bounds = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, p.hits)), len(one)))
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        n = hi[a:b] - lo[a:b]
+        x = np.repeat(one[a:b], n)
+        y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a:b], n)
+        keep = (np.minimum(left[x], left[y]) >= least_common(t, size[x], size[y])) & (node[x] != node[y])
+        if side is not None:
+            keep &= side[x] != side[y]
+        x, y = node[x[keep]], node[y[keep]]
+        out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+    found = np.unique(np.concatenate(out), axis=0)
+    return found[:, 0], found[:, 1]
 
 
 def candidate_pairs(keyed: DataFrame, p: Params) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a band key.
+    """Distinct pairs (a < b) of nodes that share a prefix word and, by its place in both, may reach the threshold.
 
-    One shuffle by key; sorted runs are paired as they stream by, so that no bucket is
-    gathered as a whole. The members of a bucket above p.block go to pairs of blocks, each
-    its own group, which spreads a hot bucket evenly and loses no pair.
+    One shuffle by word; sorted runs are paired as they stream by, so that no list is
+    gathered as a whole. The members of a list above p.block go to pairs of blocks, each
+    its own group, which spreads a hot list evenly and loses no pair.
     """
     most = p.block
+    names = ["a", "b", "key", "size", "left"]
+
+    def out(key, size, left, node):
+        """Pairs (a, b) of the runs of up to `most` members; the members (a, key, size, left) of longer ones."""
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        lengths = np.diff(np.append(starts, len(key)))
+        runs = np.repeat(np.arange(len(starts)), lengths)
+        hot = np.repeat(lengths > most, lengths)
+        a, b = _pairs_of_runs(runs[~hot], size[~hot], left[~hot], node[~hot], p)
+        n, m = len(a), int(hot.sum())
+        pair, member = np.arange(n + m) >= n, np.arange(n + m) < n
+        fill = lambda x, k: np.concatenate([np.zeros(n, x.dtype), x[hot]]) if k else np.concatenate([x, np.zeros(m, x.dtype)])
+        columns = [pa.array(np.concatenate([a, node[hot]])), pa.array(fill(b, False), mask=pair)]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(fill(x, True), mask=member) for x in (key, size, left)], names=names)
 
     def run(batches):
-        hold_k = hold_n = np.zeros(0, np.int64)
-        hot = None  # the key of the long run whose members have already gone out
-
-        def out(keys, nodes):
-            a, b, hk, hn = _pairs_of_runs(keys, nodes, most)
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            hot_part = len(hk)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([lo, hn])),
-                    pa.array(np.concatenate([hi, hn]), mask=np.concatenate([np.zeros(len(hi), bool), np.ones(hot_part, bool)])),
-                    pa.array(np.concatenate([lo, hk]), mask=np.concatenate([np.ones(len(lo), bool), np.zeros(hot_part, bool)])),
-                ],
-                names=["a", "b", "key"],
-            )
-
-        def members(key, nodes):
-            return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(np.full(len(nodes), key))], names=["a", "b", "key"])
-
+        hold = [np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.int64)]
+        hot = None  # the key of the long run whose members are going out
         for batch in batches:
-            if not batch.num_rows:
+            hold = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(hold, batch.columns)]
+            key = hold[0]
+            if not len(key):
                 continue
-            keys = np.concatenate([hold_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            nodes = np.concatenate([hold_n, batch.column(1).to_numpy(zero_copy_only=False)])
+            cut = len(key) - int(np.argmax(np.append((key != key[-1])[::-1], True)))  # where the last run begins
             if hot is not None:
-                k = int(np.searchsorted(keys != hot, True))
+                k = int(np.argmax(np.append(key != hot, True)))
                 if k:
-                    yield members(hot, nodes[:k])
-                keys, nodes = keys[k:], nodes[k:]
-                if len(keys):
-                    hot = None
-                else:
-                    hold_k, hold_n = keys, nodes
+                    yield members(*(x[:k] for x in hold))
+                hold, cut = [x[k:] for x in hold], max(0, cut - k)
+                if not len(hold[0]):
                     continue
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+                hot = None
             if cut:
-                yield out(keys[:cut], nodes[:cut])
-            hold_k, hold_n = keys[cut:], nodes[cut:]
-            if len(hold_k) > most:
-                hot = hold_k[0]
-                yield members(hot, hold_n)
-                hold_k, hold_n = hold_k[:0], hold_n[:0]
-        if len(hold_k):
-            yield out(hold_k, hold_n)
-
-    rows = keyed.select(F.explode("bands").alias("key"), "node").repartition("key").sortWithinPartitions("key")
-    found = materialize(rows.mapInArrow(run, "a bigint, b bigint, key bigint"), "bucketed")
+                yield out(*(x[:cut] for x in hold))
+            hold = [x[cut:] for x in hold]
+            if len(hold[0]) > most:
+                hot = hold[0][0]
+                yield members(*hold)
+                hold = [x[:0] for x in hold]
+        if len(hold[0]):
+            yield out(*hold)
+
+    def members(key, size, left, node):
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(key), pa.array(size), pa.array(left)], names=names)
+
+    rows = keyed.repartition("key").sortWithinPartitions("key", "size")
+    found = materialize(rows.mapInArrow(run, "a bigint, b bigint, key int, size int, left int"), "paired")
     pairs = found.where("b is not null").select("a", "b")
-    hot = found.where("b is null").select("key", F.col("a").alias("node"))
+    hot = found.where("b is null").select("key", "size", "left", F.col("a").alias("node"))
     blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("k"))
-    return pairs.unionByName(_block_pairs(hot.join(blocks, "key"))).distinct()
+    return pairs.unionByName(_block_pairs(hot.join(blocks, "key"), p)).distinct()
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of nodes of one key, from (key, node, k); each pair of the k blocks is a group."""
+def _block_pairs(members: DataFrame, p: Params) -> DataFrame:
+    """The pairs of nodes of one key, from (key, size, left, node, k); each pair of the k blocks is a group."""
 
     def run(pdf):
         import pandas as pd
 
-        x, y = pdf.node[pdf.mine == pdf.i].to_numpy(), pdf.node[pdf.mine == pdf.j].to_numpy()
-        if pdf.i.iloc[0] == pdf.j.iloc[0]:
-            i, j = np.triu_indices(len(x), 1)
-            x, y = x[i], x[j]
-        else:
-            x, y = np.repeat(x, len(y)), np.tile(y, len(x))
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        pdf = pdf.sort_values("size")
+        side = None if pdf.i.iloc[0] == pdf.j.iloc[0] else pdf.mine.to_numpy()
+        a, b = _pairs_of_runs(np.zeros(len(pdf), np.int64), pdf["size"].to_numpy(), pdf.left.to_numpy(), pdf.node.to_numpy(), p, side)
+        return pd.DataFrame({"a": a, "b": b})
 
     mine = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     spread = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node")
+    spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "size", "left", "node")
     return spread.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
 
 
-def verified_links(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+def verified_links(pairs: DataFrame, distinct: DataFrame, p: Params) -> DataFrame:
     """(a, b, similarity) of the candidate pairs whose word sets reach the threshold, computed exactly."""
     pairs = materialize(pairs, "candidates")
     nodes, n = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate_nodes", rows=True)
-    own = sets.select("node", "words").join(F.broadcast(nodes) if n <= p.small else nodes, "node", "left_semi")
-    own = materialize(own.groupBy("node").agg(F.any_value("words").alias("words")), "candidate_sets")
+    own = materialize(distinct.join(F.broadcast(nodes) if n <= p.small else nodes, "node", "left_semi"), "candidate_sets")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a").join(
         own.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b"
     )
@@ -274,7 +295,7 @@ class NearDuplicates:
 
 
 def near_duplicates(records: DataFrame, params: Params = Params(), id_col: str = "row_id", state_col: str = "state") -> NearDuplicates:
-    """Links between the distinct word sets of records by ProbMinHash, banding and an exact check.
+    """Links between the distinct word sets of records: all pairs of the threshold, by a prefix filter and an exact check.
 
     Equal contents share a node, so copies cost nothing beyond their own row. Null states and
     states without words link nothing; null ids are left out; rows repeated under one id count
@@ -282,8 +303,9 @@ def near_duplicates(records: DataFrame, params: Params = Params(), id_col: str =
     hashes (two words of one pair of records fall together with a chance of about 1e-7).
     """
     sets = materialize(word_sets(records, id_col, state_col), "word_sets")
-    weights = word_weights(sets, params)
-    links = verified_links(candidate_pairs(band_keys(sets, weights, params), params), sets, params)
+    distinct = distinct_sets(sets)
+    keyed = prefixes(distinct, word_levels(distinct, params), params)
+    links = verified_links(candidate_pairs(keyed, params), distinct, params)
     return NearDuplicates(sets, materialize(links, "links"))
 
 

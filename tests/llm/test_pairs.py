@@ -54,6 +54,24 @@ def test_near_duplicates_equal_brute_force(fixture_rows, rows, block):
     assert groups["e1"] == "e1" and groups["e2"] == "e2"
 
 
+@pytest.mark.parametrize("block", [8192, 16])
+def test_a_hot_family_of_edited_variants_keeps_all_its_pairs(fixture_rows, block):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    base = [word() for _ in range(41)]
+    texts = []
+    for _ in range(60):  # a third of all rows; one to five words replaced by words of their own
+        copy = list(base)
+        for i in rng.sample(range(41), rng.randint(1, 5)):
+            copy[i] = word()
+        texts.append(copy)
+    texts += [[word() for _ in range(41)] for _ in range(120)]
+    rows = [{"row_id": f"h{k:03d}", "state": " ".join(x)} for k, x in enumerate(texts)]
+    want, _ = truth(rows)
+    found = nd.near_duplicates(fixture_rows(rows), nd.Params(block=block))
+    assert len(want) > 1500 and {tuple(r) for r in nd.record_pairs(found).collect()} == want
+
+
 def test_near_duplicates_of_nothing(fixture_rows):
     found = nd.near_duplicates(fixture_rows([]))
     assert nd.record_pairs(found).count() == 0 and nd.record_groups(found).count() == 0
