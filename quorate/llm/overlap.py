@@ -1,4 +1,4 @@
-"""Cross-split overlaps: a compressed full-text index of the evaluation records, searched backward."""
+"""Cross-split overlaps: an index of the evaluation records' rarest words, an exact prefix filter and an exact check."""
 
 from __future__ import annotations
 
@@ -10,31 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize, scratch_path
-from .text import WordHash, content_of, mix64, words_of
+from .near_duplicates import least_common
+from .text import WordHash, content_of, words_of
 
 
 @dataclass(frozen=True)
 class Params:
     """threshold: least Jaccard similarity of the distinct words.
 
-    A pair becomes a candidate by any run of min_match words in common that at most `specific`
-    texts of a shard hold, or by any run of long_match words, however many texts hold it. So
-    stock phrases start nothing, while texts repeated very often are still found by their long
-    runs. Shorter texts have shorter runs between two edits: for those of fewer than `brief`
-    words a run of brief_match words will do, for those below `short` one of two words, each
-    held by at most `specific` texts; and below `short` any run of brief_match words.
-    shard_words: words of evaluation text in one index (some 30 bytes each
-    in a worker's memory). bits: size of the index's filter, 2^bits. hits: matches looked at
-    together, a bound on memory only.
+    min_match: words of a maximal match at least, in the report of a pair; it takes no part in
+    finding pairs. shard_words: words of evaluation text in one index. hits: places looked at
+    together, a bound on memory only. bits has no effect any more: it was the size of a filter.
     """
 
     threshold: float = 0.6
     min_match: int = 8
-    specific: int = 32
-    long_match: int = 16
-    brief: int = 48
-    brief_match: int = 5
-    short: int = 20
     shard_words: int = 3_000_000
     bits: int = 27
     hits: int = 500_000
@@ -88,31 +78,28 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def levels(p: Params):
-    """(words of a run, most texts that may hold it or 0, only for texts of fewer words, only where the level before found its run too common)."""
-    yield p.min_match, p.specific, 1 << 62, False
-    yield p.long_match, 0, 1 << 62, True
-    yield p.brief_match, p.specific, p.brief, False
-    yield 2, p.specific, p.short, False
-    yield p.brief_match, 0, p.short, True
+def rarest(rec: np.ndarray, word: np.ndarray, often: np.ndarray, sizes: np.ndarray, t: float):
+    """(rec, word, left, size) of the rarest of the records' distinct words, which any partner of similarity t shares one of.
 
-
-def grams(values: np.ndarray, m: int) -> np.ndarray:
-    """A 64-bit hash of the m words that end at each place (of no meaning before the m-th)."""
-    out = np.zeros(len(values), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(m, len(values))):
-            out[k:] += values[: len(values) - k] * np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-        return mix64(out + np.uint64(m))
+    Words are ordered by the texts that hold them; left counts a record's words from this one
+    on. Words that are not given, as no text has them, count in the sizes and come first.
+    """
+    order = np.lexsort((word, often[word], rec))
+    rec, word = rec[order], word[order]
+    n = np.bincount(rec, minlength=len(sizes))
+    left = n[rec] - (np.arange(len(rec)) - (np.cumsum(n) - n)[rec])
+    keep = left >= np.ceil(t * sizes[rec] - 1e-9)
+    return rec[keep], word[keep], left[keep], sizes[rec[keep]]
 
 
-def build_index(ids: list[str], docs: list[np.ndarray], p: Params) -> dict[str, np.ndarray]:
+def build_index(ids: list[str], docs: list[np.ndarray], p: Params, runs: bool = True) -> dict[str, np.ndarray]:
     """The arrays of one index; records of equal word sequences share a text and are listed in `owners`.
 
-    Symbols 0..D-1 end the D texts, the others are words in the order of `vocab`. `occ` holds,
-    symbol by symbol, the places of each word in the Burrows-Wheeler transform, ascending and
-    delta-coded: with the symbol's first suffix it is all that a backward step needs. `filter`
-    has a bit for every run of words that may start a candidate.
+    Symbols 0..D-1 end the D texts, the others are words in the order of `vocab`. `post_*`
+    lists, by word and size of the text, the texts that have the word among their rarest, and
+    the distinct words of the text from it on. With runs, `occ` holds, symbol by symbol, the
+    places of each word in the Burrows-Wheeler transform, ascending and delta-coded: with the
+    symbol's first suffix it is all that a backward step over runs of words needs.
     """
     by: dict[bytes, list[int]] = {}
     for k, x in enumerate(docs):
@@ -129,49 +116,42 @@ def build_index(ids: list[str], docs: list[np.ndarray], p: Params) -> dict[str,
     word[ends] = False
     text[word] = symbols + d
     text[ends] = np.arange(d)
-    sa = suffix_array(text)
-    bwt = text[sa.astype(np.int64) - 1]
-    order = np.argsort(bwt, kind="stable")
-    occ = order[bwt[order] >= d]
-    words = np.concatenate(texts) if d else np.zeros(0, np.uint32)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-    flags = np.zeros(1 << (p.bits - 3), np.uint8)
-    mixed = mix64(words.astype(np.uint64))
-    stock = np.zeros(len(words), bool)  # ends of runs too common for the level before
-    for m, most, below, rest in levels(p):
-        at = np.flatnonzero((place >= m) & (np.repeat(sizes, sizes) < below) & (stock | (not rest)))
-        g = grams(mixed, m)[at]
-        if most:
-            _, back, n = np.unique(g, return_inverse=True, return_counts=True)
-            rare = n[back] <= most
-            stock[:] = False
-            stock[at[~rare]] = True
-            g = g[rare]
-        bit = (g & np.uint64((1 << p.bits) - 1)).astype(np.int64)
-        np.bitwise_or.at(flags, bit >> 3, np.left_shift(1, bit & 7).astype(np.uint8))
     keys = np.unique((np.repeat(np.arange(d), sizes).astype(np.int64) << 32) | symbols)
+    made = {}
+    if runs:
+        sa = suffix_array(text)
+        bwt = text[sa.astype(np.int64) - 1]
+        order = np.argsort(bwt, kind="stable")
+        occ = order[bwt[order] >= d]
+        made = {"sa": sa, "occ": np.diff(occ, prepend=0).astype(np.int32)}
+    doc, word = keys >> 32, keys & 0xFFFFFFFF
+    doc, word, left, size = rarest(doc, word, np.bincount(word, minlength=len(vocab)), np.bincount(doc, minlength=d), p.threshold)
+    order = np.lexsort((size, word))
     return {
-        "vocab": vocab, "text": text.astype(np.uint32), "sa": sa, "start": start, "occ": np.diff(occ, prepend=0).astype(np.int32),
+        "vocab": vocab, "text": text.astype(np.uint32), "start": start,
         "set_doc": (keys >> 32).astype(np.int32), "set_word": (keys & 0xFFFFFFFF).astype(np.int32),
-        "filter": flags,
+        "post_word": word[order].astype(np.int32), "post_doc": doc[order].astype(np.int32), "post_left": left[order].astype(np.int32),
         "owner_doc": np.repeat(np.arange(d, dtype=np.int32), [len(v) for v in by.values()]) if d else np.zeros(0, np.int32),
-        "owners": np.array([ids[k] for v in by.values() for k in v], object),
+        "owners": np.array([ids[k] for v in by.values() for k in v], object), **made,
     }
 
 
 class Index:
-    """A loaded index: symbol lookup, backward search and location of matches."""
+    """A loaded index: symbol lookup, texts by their rarest words and, where it was built with runs, backward search."""
 
     def __init__(self, a: dict[str, np.ndarray]):
-        self.vocab, self.sa, self.start = a["vocab"], a["sa"], a["start"]
-        self.text, self.filter = a["text"], a["filter"]
+        self.vocab, self.start, self.text = a["vocab"], a["start"], a["text"]
         self.docs = d = len(self.start) - 1
-        counts = np.bincount(self.text, minlength=d + len(self.vocab))[d:]
-        self.counts = counts
-        self.keys = (np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(32)) | np.cumsum(a["occ"], dtype=np.int64).astype(np.uint64)
-        self.first = d + np.concatenate([[0], np.cumsum(counts)])
+        if "occ" in a:
+            counts = np.bincount(self.text, minlength=d + len(self.vocab))[d:]
+            self.keys = (np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(32)) | np.cumsum(a["occ"], dtype=np.int64).astype(np.uint64)
+            self.first = d + np.concatenate([[0], np.cumsum(counts)])
         self.set_word = a["set_word"]
         self.set_at = np.searchsorted(a["set_doc"], np.arange(d + 1))
+        self.often = np.bincount(self.set_word, minlength=len(self.vocab))
+        self.post_doc, self.post_left = a["post_doc"], a["post_left"]
+        self.post_size = np.diff(self.set_at)[self.post_doc]
+        self.post_key = a["post_word"].astype(np.int64) << 32 | self.post_size
         self.owners, self.owner_at = a["owners"], np.searchsorted(a["owner_doc"], np.arange(d + 1))
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
@@ -197,27 +177,21 @@ def _flat_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Batch:
     """Records to be searched for: what doesn't depend on an index is computed once."""
 
-    def __init__(self, values: np.ndarray, offsets: np.ndarray, p: Params):
+    def __init__(self, values: np.ndarray, offsets: np.ndarray):
         self.offsets, self.sizes, n = offsets, np.diff(offsets), len(offsets) - 1
         self.rec = np.repeat(np.arange(n, dtype=np.int64), self.sizes)
         self.vocab, self.word = np.unique(values, return_inverse=True)
         self.distinct_key = np.unique((self.rec << 32) | self.word)
         self.distinct = np.bincount(self.distinct_key >> 32, minlength=n)
-        place = np.arange(len(values)) - offsets[:-1][self.rec] + 1
-        mixed = mix64(values.astype(np.uint64))
-        self.runs = []
-        for m, most, below, _ in levels(p):
-            at = np.flatnonzero((place >= m) & (self.sizes[self.rec] < below / p.threshold))
-            self.runs.append((m, most, at, (grams(mixed, m)[at] & np.uint64((1 << p.bits) - 1)).astype(np.int64)))
-
 
 def search(index: Index, batch: Batch, p: Params):
     """Verified pairs of the batch's records with the texts of one index.
 
     Returns record, text, similarity, and of the pair's maximal matches the number, the words
-    covered after merging, and the longest. Runs that pass the index's filter are searched
-    backward and located; a record can only have a partner where the index knows enough of
-    its words.
+    covered after merging, and the longest. Two sets of the threshold share one of the rarest
+    words of each, and from their first common word on both have as many words left as they
+    must share; all texts that meet this are verified, however many hold the word. A record
+    can only have a partner where the index knows enough of its words.
     """
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if not len(batch.word) or not index.docs:
@@ -225,28 +199,22 @@ def search(index: Index, batch: Batch, p: Params):
     symbol = index.symbols(batch.vocab)
     known = np.bincount(batch.distinct_key >> 32, weights=symbol[batch.distinct_key & 0xFFFFFFFF] >= 0, minlength=len(batch.sizes))
     able = known >= p.threshold * batch.distinct - 1e-9
+    t = p.threshold
+    rec, word = batch.distinct_key >> 32, symbol[batch.distinct_key & 0xFFFFFFFF]
+    keep = (word >= 0) & able[rec]
+    rec, word, left, size = rarest(rec[keep], word[keep], index.often, batch.distinct, t)
+    # where the record is the smaller set of a pair, its word is among even fewer
+    most = np.where(left >= least_common(t, size, size), np.floor(size / t + 1e-9), size).astype(np.int64)
+    lo = np.searchsorted(index.post_key, word << 32 | np.ceil(t * size - 1e-9).astype(np.int64), "left")
+    hi = np.searchsorted(index.post_key, word << 32 | most, "right")
+    total = np.cumsum(hi - lo)
+    bounds = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, p.hits)), len(lo)))
     pairs = []
-    for m, most, at, bit in batch.runs:
-        end = at[(index.filter[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-        end = end[able[batch.rec[end]]]
-        sym = symbol[batch.word[end]]
-        end, sym = end[sym >= 0], sym[sym >= 0]
-        lo, hi = index.first[sym], index.first[sym + 1]
-        for k in range(1, m):
-            sym = symbol[batch.word[end - k]]
-            keep = sym >= 0
-            end, lo, hi = end[keep], *index.step(sym[keep], lo[keep], hi[keep])
-            keep = hi > lo
-            end, lo, hi = end[keep], lo[keep], hi[keep]
-        if most:
-            keep = hi - lo <= most
-            end, lo, hi = end[keep], lo[keep], hi[keep]
-        total = np.cumsum(hi - lo)
-        bounds = np.unique(np.append(np.searchsorted(total, np.arange(0, (total[-1] if len(total) else 0) + p.hits, p.hits)), len(lo)))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            flat, own = _flat_ranges(lo[a:b], hi[a:b])
-            doc = np.searchsorted(index.start, index.sa[flat].astype(np.int64), side="right") - 1
-            pairs.append(np.unique(batch.rec[end[a:b]][own] << 32 | doc))
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        flat, own = _flat_ranges(lo[a:b], hi[a:b])
+        own += a
+        keep = np.minimum(index.post_left[flat], left[own]) >= least_common(t, index.post_size[flat], size[own])
+        pairs.append(np.unique(rec[own[keep]] << 32 | index.post_doc[flat[keep]]))
     pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
     out = [_verify(index, batch, symbol, pair[k : k + 50_000], p) for k in range(0, len(pair), 50_000)]
     if not out:
@@ -331,7 +299,7 @@ def cross_split_overlaps(
         column = pa.concat_arrays(table.column("words").chunks)
         offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False).view(np.uint32)
         words = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        made = build_index([ids[k] for k in unique], [words[k] for k in unique], p)
+        made = build_index([ids[k] for k in unique], [words[k] for k in unique], p, runs=False)
         names = [k for k in made if k != "owners"]
         return pa.table(
             {
@@ -376,7 +344,7 @@ def cross_split_overlaps(
             for k in range(0, len(ids), 5000):
                 part = found[k : k + 5000]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64)
-                r, d, similarity, count, covered, longest = search(index, Batch(np.concatenate(part), offsets, p), p)
+                r, d, similarity, count, covered, longest = search(index, Batch(np.concatenate(part), offsets), p)
                 flat, own = _flat_ranges(index.owner_at[d], index.owner_at[d + 1])
                 yield pa.RecordBatch.from_arrays(
                     [

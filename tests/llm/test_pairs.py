@@ -106,6 +106,20 @@ def test_overlaps_equal_brute_force(fixture_rows, rows):
     assert sum(r.pairs for r in report) == len(want)
 
 
+@pytest.mark.parametrize("gap", [4, 5, 6, 8])
+def test_overlaps_of_texts_with_an_edit_every_few_words(fixture_rows, gap):
+    rng = random.Random(gap)
+    rows = []
+    for k, n in enumerate([60, 61, 100, 200, 35, 19]):
+        words = [f"g{k}x{i}" for i in range(n)]
+        edited = [w if i % gap != gap - 1 else "new" + w for i, w in enumerate(words)]
+        mixed = rng.sample(words, n)  # the same words in another order
+        rows += [{"row_id": f"{x}{k}", "state": " ".join(w), "split": s} for x, w, s in (("a", words, "test"), ("b", edited, "train"), ("c", mixed, "train"))]
+    want = {p for p in truth(rows)[0] if p[0][0] == "a"}
+    assert len(want) == (12 if gap > 4 else 6 + sum(jaccard(rows[3 * k]["state"], rows[3 * k + 1]["state"]) >= 0.6 for k in range(6)))
+    assert {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params(bits=16)).collect()} == want
+
+
 def test_overlaps_of_nothing(fixture_rows, rows):
     assert ov.cross_split_overlaps(fixture_rows([])).count() == 0
     assert ov.cross_split_overlaps(fixture_rows([r for r in rows if r["split"] == "train"])).count() == 0
