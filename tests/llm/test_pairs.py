@@ -120,6 +120,16 @@ def test_overlaps_of_texts_with_an_edit_every_few_words(fixture_rows, gap):
     assert {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params(bits=16)).collect()} == want
 
 
+def test_overlaps_of_a_family_of_many_evaluation_texts(fixture_rows):
+    rng = random.Random(2)
+    base = [f"f{i}" for i in range(60)]
+    variants = [[w if (i + k) % 12 else f"v{k}x{i}" for i, w in enumerate(base)] for k in range(12)]  # no twelve words in a row are left
+    texts = [[w if i != j else f"e{k}" for i, w in enumerate(variants[k % 12])] for k in range(90) for j in [rng.randrange(60)]]
+    rows = [{"row_id": f"{'t' if k < 6 else 'e'}{k:02d}", "state": " ".join(x), "split": "train" if k < 6 else "test"} for k, x in enumerate(texts)]
+    want = {p for p in truth(rows)[0] if p[0][0] != p[1][0]}
+    assert len(want) > 400 and {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params(bits=16)).collect()} == want
+
+
 def test_overlaps_of_nothing(fixture_rows, rows):
     assert ov.cross_split_overlaps(fixture_rows([])).count() == 0
     assert ov.cross_split_overlaps(fixture_rows([r for r in rows if r["split"] == "train"])).count() == 0
