@@ -61,7 +61,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def sentences(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, whole) of the sentences of a text; headings, table rows and user names are left out.
+    """(start, end, whole) of the sentences of a text; lines of headings and table rows, and user names, are left out.
 
     Whole ones begin with a capital and end with a mark, and do not go on from a block that
     ended without one, as at a page's end.
@@ -71,7 +71,10 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
     for block in [*_BLOCK.finditer(text), None]:
         end = block.start() if block else len(text)
         part = text[at:end]
-        if part.strip() and part.lstrip()[0] not in "#|":
+        if part.lstrip()[:1] in ("#", "|"):  # only its line is left out, not the text on the next
+            line = part.find("\n", len(part) - len(part.lstrip()))
+            at, part = (end, "") if line < 0 else (at + line + 1, part[line + 1 :])
+        if part.strip():
             skip = _PREFIX.match(part).end()
             for m in _SENTENCE.finditer(part, skip):
                 found = m.group()

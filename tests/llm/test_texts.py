@@ -137,6 +137,19 @@ def test_languages(documents):
     assert row.lang == "en" and row.confidence > 0.9 and docs.count() == len(texts)
 
 
+def test_text_right_after_a_heading_or_table_row_is_scored(documents):
+    for head in ("# Title", "| 801 | 0.295 | 0.0667 |", "| n | acc |\n| 1 | 0.5 |", "  ## Title"):
+        text = f"{EN[0]}\n\n{head}\n{DE[0]} {DE[1]}"
+        assert [text[a:b] for a, b, whole in lg.sentences(text) if whole] == [EN[0], DE[0], DE[1]]
+        assert [text[a:b] for a, b, _ in lg.sentences(f"{EN[0]}\n{head}")] == [EN[0]]
+    pools = {"en": EN, "de": DE, "ru": RU}
+    texts = [" ".join(random.Random(k).choices(pools[x], k=4)) for k in range(20) for x in pools]
+    langs = {k: list(pools)[k % 3] for k in range(60)}
+    texts += [f"{EN[0]} {EN[1]}\n\n| 801 | 0.295 | 0.0667 |\n{DE[0]}", f"# Title\n{EN[0]} {EN[1]} {RU[0]} {RU[1]}"]
+    langs |= {60: "en", 61: "en"}
+    assert {(r.doc_id, r.lang) for r in lg.wrong_labels(documents(texts, langs)).collect()} == {(60, "en"), (60, "de"), (61, "en"), (61, "ru")}
+
+
 def test_languages_of_nothing(documents):
     assert lg.wrong_labels(documents([])).count() == 0
     assert lg.wrong_labels(documents(["Some words without any label at all."])).count() <= 1
