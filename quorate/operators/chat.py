@@ -59,7 +59,5 @@ def option_rows(rows: DataFrame) -> DataFrame:
 
 
 def multi_question(rows: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Every record with every extra question of a small table (schema_id, kind, instructions, criteria), by an array of them in each row."""
-    many = [r.asDict() for r in schemas.limit(1000).collect()]
-    each = F.array(*(F.struct(*(F.lit(m[c]).alias(c) for c in ("schema_id", "kind", "instructions", "criteria"))) for m in many))
-    return rows.select("*", F.inline(each))
+    """Every record with every extra question of a table (schema_id, kind, instructions, criteria), however many."""
+    return rows.crossJoin(schemas.select("schema_id", "kind", "instructions", "criteria"))

@@ -284,3 +284,14 @@ def test_registry(spark):
     names, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(names) and all(callable(f) for f in names.values())
     assert e.entry(spark).count() > 0
+
+
+def test_every_record_meets_every_extra_question(spark):
+    from quorate.operators import chat
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "row_id string, state string")
+    schemas = spark.range(1200).selectExpr("concat('s', id) AS schema_id", "'choice' AS kind", "'pick' AS instructions", "'c' AS criteria")
+    found = chat.multi_question(rows, schemas)
+    assert found.columns == ["row_id", "state", "schema_id", "kind", "instructions", "criteria"]
+    assert found.distinct().count() == 2400
+    assert chat.multi_question(rows, schemas.where("false")).count() == 0
