@@ -1,4 +1,4 @@
-"""Near-duplicate records: an exact prefix filter over the rarest words, exact verification."""
+"""Near-duplicate records: ProbMinHash bands, an exact completion for frequent words, exact verification."""
 
 from __future__ import annotations
 
@@ -20,16 +20,27 @@ from .text import WordHash, content_of, mix64, words_of
 class Params:
     """threshold: least Jaccard similarity of the distinct words.
 
-    width: counters of the hashed document counts, which only order the words: collisions cost
-    time, never a pair. block: members of a word's list that are paired in one task; longer
-    lists are split into pairs of blocks. hits: pairs looked at together, a bound on memory
-    only. small: as many nodes at most are broadcast (8 bytes each) to filter the word sets.
+    bands, rows: bands of a ProbMinHash signature and registers in each. A word that a share f
+    of the distinct sets has weighs min(1, cap / f). complete: whether the pairs that bands may
+    miss are looked for too, by an exact prefix filter; without it, a pair of weighted
+    similarity w goes unfound with a chance of (1 - w ** rows) ** bands.
+
+    width: counters of the hashed document counts, which weigh and order the words: collisions
+    cost time, never a pair. block: members of a bucket (of a band or a word) that are paired
+    in one task; longer ones are split into pairs of blocks. hits: pairs looked at together, a
+    bound on memory only. copies: records of one word set that are expanded in one task; more
+    are split. small: as many nodes at most are broadcast (8 bytes each) to filter the word sets.
     """
 
     threshold: float = 0.6
+    bands: int = 24
+    rows: int = 3
+    cap: float = 0.003
+    complete: bool = True
     width: int = 1 << 22
     block: int = 8192
     hits: int = 2_000_000
+    copies: int = 4096
     small: int = 500_000
 
 
@@ -76,30 +87,38 @@ def _buckets(values: np.ndarray, width: int) -> np.ndarray:
     return (mix64(values.astype(np.uint64)) & np.uint64(width - 1)).astype(np.int64)
 
 
-def word_levels(distinct: DataFrame, p: Params) -> np.ndarray:
-    """How common the words of a hash bucket are over the distinct sets, in eighths of a doubling; 0: in one set at most."""
+def word_levels(distinct: DataFrame, p: Params) -> tuple[np.ndarray, int]:
+    """How common the words of a hash bucket are, in eighths of a doubling (0: in one set at most), and the number of sets."""
     width = p.width
     parts = min(64, width)
 
     def run(batches):
-        counts = np.zeros(width, np.uint32)
+        counts, sets = np.zeros(width, np.uint32), 0
         for batch in batches:
+            sets += batch.num_rows
             counts += np.bincount(_buckets(flat_of(batch.column(0))[0], width), minlength=width).astype(np.uint32)
         packed = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(parts, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array(packed, pa.binary())], names=["part", "counts"])
+        columns = [pa.array(np.arange(parts, dtype=np.int32)), pa.array(packed, pa.binary()), pa.array(np.full(parts, sets))]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "counts", "sets"])
 
     def add(key, rows):
         n = np.zeros(width // parts, np.int64)
         for x in rows.column("counts"):
             n += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
         level = np.where(n > 1, 1 + 8 * np.log2(np.maximum(n, 2) / 2), 0).astype(np.uint8)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([level.tobytes()], pa.binary()), "sets": pa.array([sum(rows.column("sets").to_pylist())])})
 
-    sums = distinct.select("words").mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, levels binary")
-    levels = np.zeros((parts, width // parts), np.uint8)
+    sums = distinct.select("words").mapInArrow(run, "part int, counts binary, sets bigint").groupBy("part").applyInArrow(add, "part int, levels binary, sets bigint")
+    levels, sets = np.zeros((parts, width // parts), np.uint8), 0
     for r in sums.collect():  # p.width bytes, whatever the corpus
         levels[r.part] = np.frombuffer(r.levels, np.uint8)
-    return levels.reshape(-1)
+        sets = r.sets
+    return levels.reshape(-1), sets
+
+
+def level_weights(sets: int, cap: float) -> np.ndarray:
+    """The weight of a word of each level: min(1, cap / its share of the sets)."""
+    return np.minimum(1.0, cap * max(1, sets) / np.concatenate([[1.0], 2 * 2 ** (np.arange(255) / 8)]))
 
 
 def probminhash(values: np.ndarray, offsets: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
@@ -107,32 +126,33 @@ def probminhash(values: np.ndarray, offsets: np.ndarray, weights: np.ndarray, m:
 
     Every element has a Poisson process of arrivals whose rate is its weight; each arrival
     falls on a random register, and a register keeps its earliest element. An element stops
-    once its arrival is later than all registers of its set (early termination).
+    once its arrival is later than all registers of its set (early termination). Two sets
+    agree on a register with the probability Jaccard similarity of their weights.
     """
     sizes = np.diff(offsets)
-    n = len(sizes)
+    n, registers = len(sizes), np.uint64(m)
     rec = np.repeat(np.arange(n), sizes)
     first = np.full(n * m, np.inf)
     sig = np.zeros(n * m, np.uint32)
     key = mix64(values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    at = np.zeros(len(values))
-    live, t = np.arange(len(values)), 0
+    mean, at, t = -1.0 / weights, np.zeros(len(values)), 0
     latest = np.full(n, np.inf)
     with np.errstate(over="ignore"):
-        while len(live):
+        while len(rec):
             t += 1
-            h = mix64(key[live] + np.uint64(t) * np.uint64(0xD1342543DE82EF95))
-            reg = ((h & np.uint64(0xFFFFF)) * np.uint64(m)) >> np.uint64(20)
-            u = ((h >> np.uint64(20)).astype(np.float64) + 1.0) * 2.0**-44
-            x = at[live] - np.log(u) / weights[live]
-            at[live] = x
-            slot = rec[live] * m + reg.astype(np.int64)
-            np.minimum.at(first, slot, x)
-            won = first[slot] == x
-            sig[slot[won]] = values[live[won]]
-            owners = np.unique(rec[live])
+            h = mix64(key + np.uint64(t) * np.uint64(0xD1342543DE82EF95))
+            at = at + np.log(((h >> np.uint64(20)).astype(np.float64) + 1.0) * 2.0**-44) * mean
+            if t > 1:
+                live = at < latest[rec]
+                key, mean, at, values, rec, h = (x[live] for x in (key, mean, at, values, rec, h))
+                if not len(rec):
+                    break
+            slot = rec * m + (((h & np.uint64(0xFFFFF)) * registers) >> np.uint64(20)).astype(np.int64)
+            np.minimum.at(first, slot, at)
+            won = np.flatnonzero(first[slot] == at)
+            sig[slot[won]] = values[won]
+            owners = rec[np.flatnonzero(np.diff(rec, prepend=-1))]
             latest[owners] = first.reshape(n, m)[owners].max(axis=1)
-            live = live[x < latest[rec[live]]]
     return sig.reshape(n, m)
 
 
@@ -141,33 +161,53 @@ def least_common(threshold: float, a, b):
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def prefixes(distinct: DataFrame, levels: np.ndarray, p: Params) -> DataFrame:
-    """(key, size, left, node): the rarest words of each set, so many that no pair of the threshold goes without a common one.
-
-    Sets x and y share at least threshold * size(x) words, so the first of them in any fixed
-    order of all words is among the size - ceil(threshold * size) + 1 first of x, and
-    likewise of y. left counts the words of the set from this one on. Words of one set only
-    are left out, as they can't be shared.
+def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
+    """The 64-bit keys (n x bands) of a signature's bands."""
+    rows = signature.astype(np.uint64).reshape(len(signature), bands, -1)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), rows.shape[:2])
+    with np.errstate(over="ignore"):
+        for k in range(rows.shape[2]):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
+    return key.view(np.int64)
+
+
+def keyed_sets(distinct: DataFrame, levels: np.ndarray, sets: int, p: Params) -> DataFrame:
+    """(key, size, left, node): what sets that may reach the threshold have in common.
+
+    The bands of each set's signature come first: they find pairs that share rare words and
+    hardly any others, but can miss a pair whose common words are all frequent, such as two
+    variants in a family that holds a large part of the rows. For these the rarest words of
+    the set follow, so many that no pair of the threshold goes without a common one: sets x
+    and y share at least threshold * size(x) words, so the first of them in any fixed order
+    of all words is among the size - ceil(threshold * size) + 1 first of x, and likewise of y.
+    left counts the words of the set from this one on (all, for a band). Words of one set
+    only are left out, as they can't be shared.
     """
-    t = p.threshold
-    shared = distinct.sparkSession.sparkContext.broadcast(levels)
+    t, step = p.threshold, 1000
+    shared = distinct.sparkSession.sparkContext.broadcast((levels, level_weights(sets, p.cap)))  # p.width bytes, whatever the corpus
 
     def run(batches):
-        levels = shared.value
-        for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            values, offsets = flat_of(batch.column(1))
+        levels, weights = shared.value
+        for part in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
+            nodes = part.column(0).to_numpy(zero_copy_only=False)
+            values, offsets = flat_of(part.column(1))
             sizes = np.diff(offsets).astype(np.int64)
-            rec = np.repeat(np.arange(len(sizes)), sizes)
             level = levels[_buckets(values, len(levels))]
-            order = np.lexsort((level.astype(np.int64) << 32 | values, rec))
-            left = sizes[rec] - (np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-            keep = (left >= np.ceil(t * sizes[rec] - 1e-9)) & (level[order] > 0)
-            at = rec[keep]
-            columns = (values[order[keep]].view(np.int32), sizes[at].astype(np.int32), left[keep].astype(np.int32), nodes[at])
+            keys = band_keys(probminhash(values, offsets, weights[level], p.bands * p.rows), p.bands).reshape(-1)
+            size, node = np.repeat(sizes, p.bands), np.repeat(nodes, p.bands)
+            left = size
+            if p.complete:
+                rec = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((level.astype(np.int64) << 32 | values, rec))
+                after = sizes[rec] - (np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+                keep = (after >= np.ceil(t * sizes[rec] - 1e-9)) & (level[order] > 0)
+                at = rec[keep]
+                keys = np.concatenate([keys, values[order[keep]].astype(np.int64)])
+                size, left, node = (np.concatenate(x) for x in ((size, sizes[at]), (left, after[keep]), (node, nodes[at])))
+            columns = (keys, size.astype(np.int32), left.astype(np.int32), node)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "size", "left", "node"])
 
-    return distinct.select("node", "words").mapInArrow(run, "key int, size int, left int, node bigint")
+    return distinct.select("node", "words").mapInArrow(run, "key bigint, size int, left int, node bigint")
 
 
 def _pairs_of_runs(runs: np.ndarray, size: np.ndarray, left: np.ndarray, node: np.ndarray, p: Params, side: np.ndarray | None = None):
@@ -198,11 +238,11 @@ def _pairs_of_runs(runs: np.ndarray, size: np.ndarray, left: np.ndarray, node: n
 
 
 def candidate_pairs(keyed: DataFrame, p: Params) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a prefix word and, by its place in both, may reach the threshold.
+    """Distinct pairs (a < b) of nodes that share a key and, by its place in both, may reach the threshold.
 
-    One shuffle by word; sorted runs are paired as they stream by, so that no list is
-    gathered as a whole. The members of a list above p.block go to pairs of blocks, each
-    its own group, which spreads a hot list evenly and loses no pair.
+    One shuffle by key; sorted runs are paired as they stream by, so that no bucket is
+    gathered as a whole. The members of a bucket above p.block go to pairs of blocks, each
+    its own group, which spreads a hot bucket evenly and loses no pair.
     """
     most = p.block
     names = ["a", "b", "key", "size", "left"]
@@ -221,7 +261,7 @@ def candidate_pairs(keyed: DataFrame, p: Params) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns + [pa.array(fill(x, True), mask=member) for x in (key, size, left)], names=names)
 
     def run(batches):
-        hold = [np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.int64)]
+        hold = [np.zeros(0, np.int64)] + [np.zeros(0, np.int32)] * 2 + [np.zeros(0, np.int64)]
         hot = None  # the key of the long run whose members are going out
         for batch in batches:
             hold = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(hold, batch.columns)]
@@ -251,7 +291,7 @@ def candidate_pairs(keyed: DataFrame, p: Params) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(key), pa.array(size), pa.array(left)], names=names)
 
     rows = keyed.repartition("key").sortWithinPartitions("key", "size")
-    found = materialize(rows.mapInArrow(run, "a bigint, b bigint, key int, size int, left int"), "paired")
+    found = materialize(rows.mapInArrow(run, "a bigint, b bigint, key bigint, size int, left int"), "paired")
     pairs = found.where("b is not null").select("a", "b")
     hot = found.where("b is null").select("key", "size", "left", F.col("a").alias("node"))
     blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("k"))
@@ -292,10 +332,11 @@ def verified_links(pairs: DataFrame, distinct: DataFrame, p: Params) -> DataFram
 class NearDuplicates:
     sets: DataFrame  #: (row_id, node, words)
     links: DataFrame  #: (a, b, similarity) between different word sets
+    params: Params
 
 
 def near_duplicates(records: DataFrame, params: Params = Params(), id_col: str = "row_id", state_col: str = "state") -> NearDuplicates:
-    """Links between the distinct word sets of records: all pairs of the threshold, by a prefix filter and an exact check.
+    """Links between the distinct word sets of records: candidates by bands and their completion, checked exactly.
 
     Equal contents share a node, so copies cost nothing beyond their own row. Null states and
     states without words link nothing; null ids are left out; rows repeated under one id count
@@ -304,20 +345,28 @@ def near_duplicates(records: DataFrame, params: Params = Params(), id_col: str =
     """
     sets = materialize(word_sets(records, id_col, state_col), "word_sets")
     distinct = distinct_sets(sets)
-    keyed = prefixes(distinct, word_levels(distinct, params), params)
+    keyed = keyed_sets(distinct, *word_levels(distinct, params), params)
     links = verified_links(candidate_pairs(keyed, params), distinct, params)
-    return NearDuplicates(sets, materialize(links, "links"))
+    return NearDuplicates(sets, materialize(links, "links"), params)
 
 
 def record_pairs(found: NearDuplicates) -> DataFrame:
-    """(row_id_a, row_id_b): all pairs of records of linked or equal word sets."""
-    members = found.sets.where("size(words) > 0").select("node", "row_id").distinct()
-    copies = members.groupBy("node").count().where("count > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    links = found.links.select("a", "b").unionByName(copies)
-    rows = links.join(members.select(F.col("node").alias("a"), F.col("row_id").alias("ra")), "a").join(
-        members.select(F.col("node").alias("b"), F.col("row_id").alias("rb")), "b"
-    )
-    rows = rows.where("a <> b or ra < rb")
+    """(row_id_a, row_id_b): all pairs of records of linked or equal word sets.
+
+    A word set that many records have is split into parts of some `copies` records, and links
+    are repeated for each pair of parts, so that no task gets all pairs of a hot set.
+    """
+    members = materialize(found.sets.where("size(words) > 0").select("node", "row_id").distinct(), "members")
+    parts = members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = materialize(parts.select("node", "n", F.ceil(F.col("n") / found.params.copies).cast("int").alias("k")), "parts")
+    split = members.join(parts.where("k > 1").select("node", "k"), "node", "left")
+    split = split.select("node", "row_id", F.pmod(F.xxhash64("row_id"), F.coalesce("k", F.lit(1))).cast("int").alias("part"))
+    links = found.links.select("a", "b").unionByName(parts.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    for end in "ab":
+        many = parts.where("k > 1").select(F.col("node").alias(end), "k")
+        links = links.join(many, end, "left").withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+        links = links.join(split.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"), F.col("row_id").alias(f"r{end}")), [end, f"part_{end}"])
+    rows = links.where("a <> b or ra < rb")
     return rows.select(F.least("ra", "rb").alias("row_id_a"), F.greatest("ra", "rb").alias("row_id_b")).where("row_id_a <> row_id_b").distinct()
 
 
