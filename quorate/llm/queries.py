@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans.runtime import table
-from .group_splits import assign_splits, record_splits
+from ..plans.runtime import scratch_path, table
+from .group_splits import State, adopt_splits, assign_splits, record_splits
 from .language import languages, wrong_labels
 from .leakage import leaked_items
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates, record_groups, record_pairs
-from .overlap import overlap_pairs, overlap_report
+from .overlap import overlap_pairs, overlap_report, split_name
 from .quota_sample import quota_sample
 from .tokenize import decode, encode
 
@@ -76,8 +77,42 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of the records that each split got, in whole percents."""
     groups = _splits(spark, sf_dir).groups
-    return groups.groupBy("split").agg({"records": "sum", "group_id": "count"}).toDF("split", *(["records", "groups"]))
+    total = groups.agg(F.sum("records").alias("total"))
+    per = groups.groupBy("split").agg(F.sum("records").alias("records"))
+    return per.crossJoin(F.broadcast(total)).select("split", F.round(F.col("records") / F.col("total"), 2).alias("share"))  # one row
+
+
+def _early(rows: DataFrame) -> DataFrame:
+    """The rows of the first half of the time of ingestion."""
+    at = F.unix_micros("ingested_at")
+    ends = rows.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    return rows.where(at < F.lit(((ends.a or 0) + (ends.b or 0)) // 2))
+
+
+def _reloaded(state: State, spark: SparkSession) -> State:
+    path = scratch_path(spark, "split_state")
+    state.save(path)
+    return State.load(spark, path)
+
+
+def p5_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the rows, then all of them: records of each group, and whether known ones kept their split."""
+    rows, targets = table(spark, sf_dir, "fixture"), table(spark, sf_dir, "split_targets")
+    first = _reloaded(assign_splits(_early(rows), targets), spark)
+    second = assign_splits(rows, targets, first)
+    before = first.groups.select("group_id", F.col("split").alias("before"))
+    return second.groups.join(before, "group_id", "left").select("group_id", "records", F.col("before").isNotNull().alias("known"), F.coalesce(F.col("before") == F.col("split"), F.lit(False)).alias("same_split"))
+
+
+def p5_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splits that the first half of the rows name are taken over, then all rows come: what joins, and what is quarantined."""
+    rows = table(spark, sf_dir, "fixture")
+    first = _reloaded(adopt_splits(_early(rows), split_name(F.col("split"))), spark)
+    groups = assign_splits(rows, table(spark, sf_dir, "split_targets"), first).groups
+    kept = groups.groupBy("root_group_id").agg(F.max(F.when(F.col("status") == "kept", F.col("split"))).alias("known_split"))
+    return groups.join(kept, "root_group_id").select("group_id", "root_group_id", "status", "known_split", "records")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +155,34 @@ _RECORDS = """
   SELECT row_id, lower(trim(any_value(source))) AS s, lower(trim(any_value(label_source))) AS l, coalesce(any_value(weight), 1.0) AS weight,
          any_value(meta) AS meta
   FROM fixture WHERE row_id IS NOT NULL GROUP BY row_id"""
+_CLAIMS = r"""
+  SELECT row_id, coalesce(group_id, row_id) AS g, epoch_us(ingested_at) < (SELECT (epoch_us(min(ingested_at)) + epoch_us(max(ingested_at))) // 2 FROM fixture) AS early,
+    CASE WHEN lower(trim(split)) IN ('validation', 'dev') THEN 'val' ELSE lower(trim(split)) END AS split,
+    CASE WHEN group_id IS NOT NULL AND json_valid(state) AND json_type(state) = 'OBJECT' THEN nullif(trim(regexp_replace(lower(state->>'$.claim'), '[^\p{L}\p{N}_]+', ' ', 'g')), '') END AS k
+  FROM fixture WHERE row_id IS NOT NULL"""
+# The fill of a first run: components of several records one by one, those of one record by hash parts (small tables: more than 1 / 16,384 of all records is several).
+_FILLED = f"""
+r AS ({_CLAIMS}),
+c AS (SELECT DISTINCT g, k FROM r WHERE k IS NOT NULL),
+e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM c x JOIN c y USING (k) WHERE x.g <> y.g),
+w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+root AS (SELECT z.g, least(z.g, coalesce(min(w.b), z.g)) AS croot FROM (SELECT DISTINCT g FROM r) z LEFT JOIN w ON w.a = z.g GROUP BY z.g),
+z AS (SELECT croot, count(DISTINCT (r.g, r.row_id)) AS n FROM r JOIN root USING (g) GROUP BY croot),
+t AS (SELECT list(split ORDER BY split) AS names, list(target_share / (SELECT sum(target_share) FROM split_targets) * (SELECT sum(n)::DOUBLE FROM z) ORDER BY split) AS want FROM split_targets),
+big AS (SELECT croot, n, row_number() OVER (ORDER BY n DESC, md5(croot)) AS i FROM z WHERE n > greatest(1.0, (SELECT sum(n) FROM z) / 16384.0)),
+f(i, croot, s, lacks) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, want FROM t
+  UNION ALL SELECT big.i, big.croot, p.s, list_transform(lacks, lambda x, j: CASE WHEN j = p.s THEN x - big.n ELSE x END)
+  FROM f JOIN big ON big.i = f.i + 1, LATERAL (SELECT len(lacks) + 1 - list_position(list_reverse(lacks), list_max(lacks)) AS s) p),
+last AS (SELECT names, lacks FROM f, t ORDER BY i DESC LIMIT 1),
+o AS (SELECT list(x.s ORDER BY x.l DESC, x.s) AS names, list(greatest(x.l, 0) ORDER BY x.l DESC, x.s) AS lacks FROM (SELECT unnest(names) AS s, unnest(lacks) AS l FROM last) x),
+b AS (SELECT bucket, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY bucket) AS i FROM (SELECT ('0x' || substr(md5('split:' || croot), 1, 3))::INT AS bucket FROM z ANTI JOIN big USING (croot)) GROUP BY bucket),
+h(i, bucket, k, lacks) AS (
+  SELECT 0::BIGINT, -1, 1, lacks FROM o
+  UNION ALL SELECT b.i, b.bucket, p.k, list_transform(lacks, lambda x, j: CASE WHEN j = p.k THEN x - b.n ELSE x END)
+  FROM h JOIN b ON b.i = h.i + 1, LATERAL (SELECT CASE WHEN h.k < 2 AND lacks[1] < b.n / 2 THEN CASE WHEN lacks[2] < b.n / 2 THEN 3 ELSE 2 END WHEN h.k = 2 AND lacks[2] < b.n / 2 THEN 3 ELSE h.k END AS k) p),
+s AS (SELECT croot, names[s] AS split FROM f, last WHERE i > 0
+  UNION ALL SELECT croot, o.names[h.k] FROM z ANTI JOIN big USING (croot) JOIN h ON h.bucket = ('0x' || substr(md5('split:' || croot), 1, 3))::INT, o)"""
 SQL = {
     "p2_found": f"""
 WITH r AS ({_RECORDS}),
@@ -133,13 +196,35 @@ c AS (SELECT r.row_id, r.s, lower(trim(k.label)) AS l, coalesce(nullif(lower(tri
 m AS (SELECT t.source, t.label, t.arm, t.target_share, t.min_rows, count(DISTINCT c.row_id) AS n
       FROM category_targets t LEFT JOIN c ON c.s = lower(trim(t.source)) AND c.l = lower(trim(t.label)) AND c.a = lower(trim(t.arm)) GROUP BY ALL)
 SELECT source, label, arm FROM m WHERE n < min_rows OR n < target_share * (0.25 * (SELECT sum(n) FROM m))""",
-    "p5_found": r"""
-WITH RECURSIVE c AS (
-  SELECT DISTINCT group_id AS g, trim(regexp_replace(lower(state->>'$.claim'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS k
-  FROM fixture WHERE group_id IS NOT NULL AND row_id IS NOT NULL AND json_valid(state) AND json_type(state) = 'OBJECT' AND state->>'$.claim' IS NOT NULL),
-e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM c x JOIN c y USING (k) WHERE x.g <> y.g AND k <> ''),
+    "p5_found": f"""
+WITH RECURSIVE c AS (SELECT DISTINCT g, k FROM ({_CLAIMS}) WHERE k IS NOT NULL),
+e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM c x JOIN c y USING (k) WHERE x.g <> y.g),
 w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a)
 SELECT a AS group_id, least(a, min(b)) AS root_group_id FROM w GROUP BY a""",
+    "p5_splits": f"""WITH RECURSIVE {_FILLED.strip()}
+SELECT r.row_id, s.split FROM (SELECT DISTINCT row_id, g FROM r) r JOIN root USING (g) JOIN s USING (croot)""",
+    "p5_shares": "SELECT split, round(target_share / sum(target_share) OVER (), 2) AS share FROM split_targets",
+    "p5_second_run": f"""WITH r AS ({_CLAIMS})
+SELECT g AS group_id, count(DISTINCT row_id) AS records, bool_or(early) AS known, bool_or(early) AS same_split FROM r GROUP BY g""",
+    "p5_quarantine": f"""
+WITH RECURSIVE r AS ({_CLAIMS}),
+old AS (SELECT g, min(split) AS split FROM r WHERE early GROUP BY g HAVING min(split) = max(split)),
+sc AS (SELECT DISTINCT k, g, old.split FROM r JOIN old USING (g) WHERE early AND k IS NOT NULL),
+own AS (SELECT DISTINCT k, g, old.split FROM r LEFT JOIN old USING (g) WHERE k IS NOT NULL),
+contested AS (SELECT k FROM sc GROUP BY k HAVING min(split) <> max(split)),
+clashing AS (SELECT k FROM (SELECT k, split FROM sc UNION ALL SELECT k, split FROM own WHERE split IS NOT NULL) GROUP BY k HAVING min(split) <> max(split)),
+known AS (SELECT * FROM sc UNION SELECT * FROM own WHERE split IS NULL OR k NOT IN (SELECT k FROM clashing)),
+tainted AS (SELECT DISTINCT g FROM known WHERE split IS NULL AND k IN (SELECT k FROM contested)),
+free AS (SELECT * FROM known WHERE k NOT IN (SELECT k FROM contested) AND g NOT IN (SELECT g FROM tainted)),
+e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM free x JOIN free y USING (k) WHERE x.g <> y.g),
+w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+n AS (SELECT z.g, any_value(z.split) AS split, least(z.g, coalesce(min(w.b), z.g)) AS comp FROM (SELECT DISTINCT r.g, old.split FROM r LEFT JOIN old USING (g)) z LEFT JOIN w ON w.a = z.g GROUP BY z.g),
+p AS (SELECT comp, min(split) AS lo, max(split) AS hi FROM n GROUP BY comp),
+touched AS (SELECT DISTINCT n.comp FROM free JOIN n USING (g) WHERE k IN (SELECT k FROM known WHERE g IN (SELECT g FROM tainted))),
+q AS (SELECT n.g, n.split, n.comp, p.lo, p.lo <> p.hi AS clash, n.split IS NULL AND (n.g IN (SELECT g FROM tainted) OR coalesce(p.lo <> p.hi, false) OR (p.lo IS NULL AND n.comp IN (SELECT comp FROM touched))) AS out
+      FROM n JOIN p USING (comp))
+SELECT q.g AS group_id, CASE WHEN out OR coalesce(clash, false) THEN q.g ELSE comp END AS root_group_id, CASE WHEN out THEN 'quarantined' WHEN q.split IS NOT NULL THEN 'kept' ELSE 'new' END AS status,
+  CASE WHEN out THEN NULL WHEN q.split IS NOT NULL THEN q.split ELSE lo END AS known_split, c.records FROM q JOIN (SELECT g, count(DISTINCT row_id) AS records FROM r GROUP BY g) c USING (g)""",
 }
 
 

@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quorate.llm import group_splits as gs
 from quorate.llm import mixing as mx
 from quorate.llm import quota_sample as qs
@@ -115,5 +117,33 @@ def test_incremental_splits_keep_and_quarantine(spark, fixture_rows, targets, st
     assert all(last[g].split == s for g, s in before.items())
 
 
+def test_a_quarantine_lasts_and_loses_no_link(spark, fixture_rows, targets, state, tmp_path):
+    row = lambda r, g, *claims: [{"row_id": f"{r}{k}", "group_id": g, "state": state(c)} for k, c in enumerate(claims)]
+    start = [dict(x, split=s) for s, rows in (("train", row("A", "gA", "one")), ("test", row("B", "gB", "two")), ("train", row("C", "gC", "three"))) for x in rows]
+    first = gs.adopt_splits(fixture_rows(start), F.col("split"))
+    look = lambda s: {r.group_id: (r.split, r.status, r.records, r.root_group_id) for r in s.groups.collect()}
+    assert look(first)["gA"] == ("train", "kept", 1, "gA")
+    second = gs.assign_splits(fixture_rows(row("q", "a0", "one", "two") + row("A", "gA", "one")), targets, first)
+    assert look(second)["a0"] == (None, "quarantined", 2, "a0")
+    assert look(second)["gA"] == ("train", "kept", 1, "gA") and look(second)["gB"][0] == "test"  # A0 came again and counts once
+    second.save(str(tmp_path / "two"))
+    third = gs.assign_splits(fixture_rows(row("u", "zz", "alone") + row("n", "gN", "one") + row("m", "gM", "two") + row("q", "a0", "one")), targets, gs.State.load(spark, str(tmp_path / "two")))
+    got = look(third)
+    assert got["a0"] == (None, "quarantined", 2, "a0") and got["zz"][1] == "new" and got["zz"][0]
+    assert (got["gN"][0], got["gN"][3]) == ("train", "gA") and (got["gM"][0], got["gM"][3]) == ("test", "gB")
+    # what is tied to a quarantined group alone stays with it; components of one split join; clashing new records are held
+    fourth = gs.assign_splits(fixture_rows(row("p", "a0", "five") + row("o", "gO", "five") + row("j", "gJ", "one", "three") + row("h", "gA", "nine", "two")), targets, third)
+    got = look(fourth)
+    assert got["gO"][:2] == (None, "quarantined") and got["a0"][2] == 3
+    assert got["gJ"][0] == "train" and {got[g][3] for g in ("gA", "gC", "gJ", "gN")} == {"gA"}
+    splits = {r.row_id: r.split for r in gs.record_splits(fixture_rows(row("h", "gA", "nine", "two") + start + row("q", "a0", "one", "two")), fourth).collect()}
+    assert splits == {"h0": "train", "h1": None, "A0": "train", "B0": "test", "C0": "train", "q0": None, "q1": None}
+    fifth = gs.assign_splits(fixture_rows(row("i", "gI", "two")), targets, fourth)
+    assert look(fifth)["gI"][0] == "test"  # the held record of gA gave it no claim
+    free = gs.released(fifth, spark.createDataFrame([("a0",), ("gA",)], "group_id string"))
+    assert "a0" not in look(free) and "gA" in look(free)
+    assert look(gs.assign_splits(fixture_rows(row("q", "a0", "one")), targets, free))["a0"][0] == "train"
+
+
 def test_splits_of_nothing(fixture_rows, targets):
     assert gs.assign_splits(fixture_rows([]), targets).groups.count() == 0
