@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .dist import bind
+
 #: Words that aren't text in this data: what marks an empty evidence list (fixed value).
 EMPTY = "(none)"
 
@@ -45,20 +47,51 @@ def dedupe_key(claim: Column, texts: Column) -> Column:
     return F.concat_ws("\u0000", F.array(norm_claim(F.coalesce(claim, F.lit("")))), norm)
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
+def _first_line(lines: Column, fits) -> Column:
+    """The number of the first line (from 0) that fits(line, number); null if none does."""
+    return F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(fits(x, i), i)), lambda i: i.isNotNull()))
+
+
+def _from_line(lines: Column, number: Column) -> Column:
+    return F.array_join(F.slice(lines, number + 1, F.greatest(F.size(lines) - number, F.lit(0))), "\n")
+
+
 def parse_state(text: Column) -> Column:
-    """struct(claim, evidence) of a rendered state; null if it doesn't begin with a claim and an evidence list."""
-    pattern = r"(?s)^\s*Claim:[ \t]*(.*?)\n[ \t]*Evidence:[ \t]*\n?(.*)$"
-    claim = F.trim(F.regexp_extract(text, pattern, 1))
-    body = F.regexp_extract(text, pattern, 2)
-    items = F.filter(F.transform(F.split(F.concat(F.lit("\n"), body), r"\n[ \t]*\d+\.[ \t]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    items = F.when((F.size(items) == 1) & (F.get(items, F.lit(0)) == EMPTY), F.array().cast("array<string>")).otherwise(items)
-    return F.when(F.regexp_like(text, F.lit(pattern)) & (claim != ""), F.struct(claim.alias("claim"), items.alias("evidence")))
+    """struct(claim, evidence) of a rendered state; null if it doesn't begin with a claim and go on with an evidence list.
+
+    The claim stands behind the heading of the first line and up to the line that the heading
+    of the evidence begins. A line that starts with a number and a dot begins a passage.
+    """
+
+    def parsed(lines: Column) -> Column:
+        head = _first_line(lines, lambda x, i: (i > 0) & F.ltrim(F.translate(x, "\t", " ")).startswith("Evidence:"))
+
+        def parts(at: Column) -> Column:
+            claim = stripped(F.substring(F.array_join(F.slice(lines, F.lit(1), F.greatest(at, F.lit(0))), "\n"), F.lit(len("Claim:") + 1), F.lit(2**31 - 1)))
+            body = F.split(F.regexp_replace(_from_line(lines, at), r"^[ \t]*Evidence:", ""), "\n")
+            marked = F.array_join(F.transform(body, lambda x: F.regexp_replace(x, r"^[ \t]*[0-9]+\.[ \t]+", "\u0001")), "\n")
+            items = F.filter(F.transform(F.split(marked, "\u0001"), stripped), lambda s: s != "")
+            nothing = (F.size(items) == 1) & (F.get(items, F.lit(0)) == EMPTY)
+            return F.when(claim != "", F.struct(claim.alias("claim"), F.when(nothing, F.array().cast("array<string>")).otherwise(items).alias("evidence")))
+
+        return F.when(F.get(lines, F.lit(0)).startswith("Claim:") & head.isNotNull(), bind(head, parts))
+
+    return bind(F.split(F.regexp_replace(text, r"(?U)^\s+", ""), "\n"), parsed)
 
 
 def parse_prompt(user: Column) -> Column:
-    """The state behind the State: header of a prompt, parsed."""
-    header = r"(?s)^(?:.*?\n)??[ \t]*State:[ \t]*\n(.*)$"
-    return F.when(F.regexp_like(user, F.lit(header)), parse_state(F.regexp_extract(user, header, 1)))
+    """The state behind the first line that is the heading State:, parsed."""
+
+    def behind(lines: Column) -> Column:
+        at = _first_line(lines, lambda x, i: F.trim(F.translate(x, "\t", " ")) == "State:")
+        return F.when(at + 1 < F.size(lines), parse_state(_from_line(lines, at + 1)))
+
+    return bind(F.split(user, "\n"), behind)
 
 
 def rubric(text: Column) -> Column:
@@ -138,7 +171,8 @@ def state_text(state: Column) -> Column:
     lines = evidence_lines(state)
     numbered = F.when(F.size(lines) == 0, F.array(F.lit(EMPTY))).otherwise(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)))
     rest = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: ~k.isin("claim", "evidence"))
-    more = F.when(F.size(rest) > 0, F.array(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(rest, lambda _, x: F.to_json(x)))))))).otherwise(F.array().cast("array<string>"))
+    fields = F.transform(F.array_sort(F.map_keys(rest)), lambda k: F.concat(quoted(k), F.lit(":"), F.to_json(F.try_element_at(rest, k))))
+    more = F.when(F.size(rest) > 0, F.array(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))).otherwise(F.array().cast("array<string>"))
     whole = F.array_join(F.concat(F.array(F.concat(F.lit("Claim: "), claim), F.lit("Evidence:")), numbered, more), "\n")
     return F.when(_is_object(state) & claim.isNotNull(), whole).when(_is_object(state), F.to_json(v)).otherwise(state)
 
@@ -152,6 +186,12 @@ def eval_prompt(instructions: Column, kind: Column, criteria: Column, state: Col
     return F.concat(user_text(instructions, kind, criteria, state), F.lit("\n\nVerdict:"))
 
 
+def quoted(x: Column) -> Column:
+    """A string as JSON text; null is null."""
+    one = F.to_json(F.array(x))
+    return F.when(x.isNull(), "null").otherwise(F.substring(one, F.lit(2), F.length(one) - 2))
+
+
 def premise(state: Column) -> Column:
     """All evidence lines of a state, one under another."""
     return F.array_join(evidence_lines(state), "\n")

@@ -39,25 +39,29 @@ def fit_temperature(pairs: DataFrame, passes: int = 4, points: int = 17) -> floa
     return best
 
 
+#: Steps of the probabilities in the isotonic fit; what it keeps is as long as this, whatever the rows.
+STEPS = 4096
+
+
 def isotonic_knots(pairs: DataFrame, question: str) -> list[tuple[float, float]]:
     """Knots (x, y) of a monotone map from probability to target probability for one question.
 
-    Positive probabilities only; fewer than three points or all of one value give the
-    identity. Equal probabilities are summed up before the parallel pool-adjacent-violators
-    fit of Spark ML.
+    Positive probabilities only, rounded to 1 / STEPS; fewer than three points or all of one
+    value give the identity. Points of one step are summed up where they are; the sums, at
+    most STEPS + 1, are pooled (adjacent violators) on the driver.
     """
     long = pairs.where(F.col("question_id") == question).select("target", F.explode("answer").alias("e"))
-    long = long.select(F.col("e.p").alias("x"), dist.p_of(F.col("target"), F.col("e.label")).alias("y")).where("x > 0")
-    rows = long.groupBy("x").agg(F.avg("y").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    seen = rows.agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    if (seen.n or 0) < 3 or seen.k < 2:
+    long = long.where("e.p > 0").select(F.round(F.col("e.p") * STEPS).alias("k"), dist.p_of(F.col("target"), F.col("e.label")).alias("y"))
+    rows = long.groupBy("k").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("k").collect()
+    if sum(r.n for r in rows) < 3 or len(rows) < 2:
         return [(0.0, 0.0), (1.0, 1.0)]
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    model = IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(vectors)
-    return [(float(x), float(y)) for x, y in zip(model.boundaries, model.predictions)]
+    blocks: list[list[float]] = []  # first x, last x, sum of y, points
+    for r in rows:
+        blocks.append([r.k / STEPS, r.k / STEPS, r.y, r.n])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, last, y, n = blocks.pop()
+            blocks[-1][1:] = [last, blocks[-1][2] + y, blocks[-1][3] + n]
+    return [(x, y / n) for lo, hi, y, n in blocks for x in ((lo,) if lo == hi else (lo, hi))]
 
 
 def with_isotonic(pairs: DataFrame, knots: dict[str, list[tuple[float, float]]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.runtime import materialize
 from .components import connected_components
 
 
@@ -36,23 +37,38 @@ def claim_and_texts(state: Column) -> tuple[Column, Column]:
 
 
 def deduplicated(rows: DataFrame, key: Column, order: str = "ord", row_id: str = "row_id") -> DataFrame:
-    """The first row of each key, with dup_count (null if alone) and the ids it replaces, in order.
+    """The first row of each key by (order, row_id), with dup_count (null if alone) and the ids it replaces, in order.
 
-    Counts and ids are aggregated before the shuffle and joined to the survivor; a key that
-    holds a large part of the rows makes one long list of ids, as it is asked for.
+    One aggregation: of equal rows one stays. A key that holds a large part of the rows makes
+    one long list of ids, as it is asked for.
     """
-    keyed = rows.withColumn("_k", F.sha2(key, 256))
-    groups = keyed.groupBy("_k").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    first = keyed.join(groups, "_k").where(F.col(order) == F.col("_first"))
-    rest = keyed.join(groups.where("_n > 1"), "_k").where(F.col(order) > F.col("_first"))
-    dropped = rest.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(row_id).alias("r")))), lambda x: x["r"]).alias("dropped_row_ids"))
-    out = first.join(dropped, "_k", "left").withColumn("dup_count", F.when(F.col("_n") > 1, F.col("_n")))
-    return out.drop("_k", "_first", "_n")
+    place = F.struct(F.col(order).alias("o"), F.col(row_id).alias("r"))
+    groups = rows.groupBy(F.sha2(key, 256).alias("_k")).agg(F.min_by(F.struct(*rows.columns), place).alias("_first"), F.array_sort(F.collect_list(place)).alias("_all"))
+    n = F.size("_all")
+    dropped = F.when(n > 1, F.transform(F.slice("_all", F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x: x["r"]))
+    return groups.select("_first.*", dropped.alias("dropped_row_ids"), F.when(n > 1, n.cast("bigint")).alias("dup_count"))
 
 
-def dedupe_key(state: Column) -> Column:
+def dedupe_key(state: Column, row_id: Column) -> Column:
+    """Claim and evidence texts of a JSON state, else the text, normalised; the row's own id where nothing is left to compare."""
     claim, texts = claim_and_texts(state)
-    return F.when(claim.isNotNull(), text.dedupe_key(claim, texts)).otherwise(F.concat(F.lit("text "), text.norm_claim(F.coalesce(state, F.lit("")))))
+    plain = F.nullif(text.norm_claim(F.coalesce(state, F.lit(""))), F.lit(""))
+    return F.when(claim.isNotNull(), text.dedupe_key(claim, texts)).when(plain.isNotNull(), F.concat(F.lit("text "), plain)).otherwise(F.concat(F.lit("row "), row_id))
+
+
+def claim_evidence(rows: DataFrame) -> DataFrame:
+    """rows with claim and evidence texts; a state without a claim is an error that names the row."""
+    claim, texts = claim_and_texts(F.col("state"))
+    told = F.when(claim.isNull(), F.raise_error(F.concat(F.lit("no claim and evidence: "), F.coalesce("row_id", F.lit("?"))))).otherwise(claim)
+    return rows.withColumn("claim", told).withColumn("texts", texts)
+
+
+def selected(rows: DataFrame, **wanted: str | list[str] | None) -> DataFrame:
+    """Rows whose columns (split, source, label_source, ...) have one of the wanted values, trimmed and lower-cased; None asks for nothing."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.where(F.lower(F.trim(column)).isin([value] if isinstance(value, str) else list(value)))
+    return rows
 
 
 def claim_components(rows: DataFrame, claim: Column, group: str = "group_id") -> DataFrame:
@@ -64,63 +80,88 @@ def claim_components(rows: DataFrame, claim: Column, group: str = "group_id") ->
     return keyed.select("g").distinct().join(roots, F.col("g") == F.col("node"), "left").select(F.col("g").alias(group), F.coalesce("root", "g").alias("component"))
 
 
+def _folded(sizes: DataFrame, key: str, seed: int, most: int, fold, schema: str, state: list):
+    """Goes through (key, n) in hash order in a sequence of hash ranges of about `most` keys, one task each; yields each range's rows.
+
+    fold(pdf of h, k, n; state) gives the rows and the state for the next range, or None to
+    stop. Only the state crosses the driver, so the rule is exact for any number of keys and
+    no task holds more than a range.
+    """
+    spark = sizes.sparkSession
+    keyed = sizes.select(hash_order(seed, key).alias("h"), F.col(key).cast("string").alias("k"), F.col("n").cast("double").alias("n"))
+    keyed, count = materialize(keyed.withColumn("p", F.conv(F.substring("h", 1, 6), 16, 10).cast("bigint")), "keyed", rows=True)
+    parts = max(1, -(-count // most))
+    for i in range(parts):
+        part = keyed if parts == 1 else keyed.where((F.col("p") >= i * 2**24 // parts) & (F.col("p") < (i + 1) * 2**24 // parts))
+        at = list(state)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows, after = fold(pdf.sort_values(["h", "k"]), at)
+            end = pd.DataFrame([{"_state": None if after is None else [float(x) for x in after]}])
+            return pd.concat([rows.assign(_state=None), end], ignore_index=True)
+
+        done = materialize(part.drop("p").groupBy().applyInPandas(run, schema + ", _state array<double>"), "folded")
+        yield done.where("_state is null").drop("_state")
+        last = done.where("_state is not null").select("_state").first()
+        if last is None:
+            if part.isEmpty():
+                continue
+            return
+        state = list(last[0])
+
+
 def greedy_splits(sizes: DataFrame, ratios: tuple[float, ...] = (0.8, 0.1, 0.1), names: tuple[str, ...] = ("train", "val", "test"), seed: int = 42, key: str = "component", most: int = 2_000_000) -> DataFrame:
     """Components in hash order go one by one to the split that lacks most; the first of equal lacks.
 
-    The rule is sequential, so (component, size) of at most `most` components, and nothing
-    else, go through one task; above that it is an error.
+    The rule is sequential: (component, size), and nothing else, pass in hash ranges of about
+    `most` components, and the splits' counts are handed from range to range.
     """
-    total = sizes.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).first()
-    if (total.c or 0) > most:
-        raise ValueError(f"{total.c} components are more than a sequential fold takes; cap or group them first")
-    if not total.c:
-        return sizes.select(key, F.lit(None).cast("string").alias("split"))
-    targets = [r * total.t for r in ratios]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts, out = [0.0] * len(targets), []
-        pdf = pdf.sort_values(["h", "k"])
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    targets = [r * total for r in ratios]
+
+    def fold(pdf: pd.DataFrame, counts: list[float]):
+        out = []
         for n in pdf["n"].tolist():
             lacks = [t - c for t, c in zip(targets, counts)]
             i = lacks.index(max(lacks))
             counts[i] += n
             out.append(names[i])
-        return pd.DataFrame({key: pdf["k"], "split": out})
-
-    return _in_hash_order(sizes, key, seed).applyInPandas(fold, f"`{key}` string, split string")
+        return pd.DataFrame({key: pdf["k"], "split": out}), counts
 
+    out = None
+    for part in _folded(sizes, key, seed, most, fold, f"`{key}` string, split string", [0.0] * len(targets)):
+        out = part if out is None else out.unionByName(part)
+    return out
 
-def _in_hash_order(sizes: DataFrame, key: str, seed: int):
-    """The sizes as one group (h, k, n): for rules that go through groups one by one; callers bound their number."""
-    return sizes.select(hash_order(seed, key).alias("h"), F.col(key).cast("string").alias("k"), F.col("n").cast("double").alias("n")).groupBy()
 
-
-def capped_groups(rows: DataFrame, most: int, seed: int = 42, group: str = "group_id", order: str = "ord", most_groups: int = 2_000_000) -> DataFrame:
+def capped_groups(rows: DataFrame, most: int, seed: int = 42, group: str = "group_id", order: str = "ord", at_once: int = 2_000_000) -> DataFrame:
     """At most `most` rows without splitting groups: in hash order a group that would overflow is skipped, unless it is the first.
 
-    An oversized first group is cut by order. Only the sizes of at most most_groups groups go
-    through the sequential rule; above that it is an error.
+    An oversized first group is cut by order. Only the groups' sizes pass through the
+    sequential rule, in hash ranges of about at_once groups, and none once the cap is reached.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).first()
-    if (total.t or 0) <= most:
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    if total <= most:
         return rows
-    if total.c > most_groups:
-        raise ValueError(f"{total.c} groups are more than a sequential fold takes")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = 0.0, []
-        for k, n in pdf.sort_values(["h", "k"])[["k", "n"]].itertuples(index=False):
-            if out and taken + n > most:
+    def fold(pdf: pd.DataFrame, state: list[float]):
+        taken, out = state[0], []
+        for k, n in pdf[["k", "n"]].itertuples(index=False):
+            if taken and taken + n > most:
                 continue
             out.append(k)
             taken += n
             if taken >= most:
-                break
-        return pd.DataFrame({group: pd.Series(out, dtype=object)})
-
-    kept = _in_hash_order(sizes, group, seed).applyInPandas(fold, f"`{group}` string")
-    return rows.join(kept, group, "left_semi").orderBy(order).limit(most)
+                return pd.DataFrame({group: pd.Series(out, dtype=object)}), None
+        return pd.DataFrame({group: pd.Series(out, dtype=object)}), [taken]
+
+    kept = None
+    for part in _folded(sizes, group, seed, at_once, fold, f"`{group}` string", [0.0]):
+        kept = part if kept is None else kept.unionByName(part)
+    # A null group is a group too.
+    out = rows.join(kept.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    return out.orderBy(order).limit(most) if out.count() > most else out
 
 
 def ratio_splits(keys: DataFrame, key: str, ratios: tuple[float, float] = (0.8, 0.1), seed: int = 43) -> DataFrame:

@@ -49,10 +49,11 @@ def _signed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sig", F.when(seen, text.signature(claim, rest))).withColumn("set_sig", F.when(seen, text.set_signature(claim, rest))).withColumn("parsed", seen).drop("_p")
 
 
-def train_eval_gate(pool: DataFrame, protected: DataFrame) -> DataFrame:
+def train_eval_gate(pool: DataFrame, protected: DataFrame, assets: tuple[str, ...] = ()) -> DataFrame:
     """Failures of a training pool (row_id, split, user, group_id, gt_row_id) against protected rows (row_id, asset, split, state, group_id).
 
-    Coverage: no protected rows, bad ids, unknown splits, states or prompts that don't parse,
+    Coverage: no protected rows, a named asset of `assets` without any, bad ids or groups,
+    unknown splits, states or prompts that don't parse,
     rows that aren't train, an empty pool. Overlaps: same state, same claim with the same
     evidence in another order, same group, same ground-truth row. A shared claim with other
     evidence, or a shared passage, is allowed. Of an asset with splits only val and test are
@@ -73,7 +74,9 @@ def train_eval_gate(pool: DataFrame, protected: DataFrame) -> DataFrame:
     return _union([
         none(kept, "no_protected_rows"),
         none(pool, "empty_pool"),
+        *(none(kept.where(F.col("asset") == a), f"empty_asset_{a}") for a in assets),
         _bad(kept.where("row_id is null or row_id = ''"), "protected_row_id", F.lit("?")),
+        _bad(kept.where("group_id is null or group_id = ''"), "protected_group_id", F.col("row_id")),
         _bad(protected.where(~F.coalesce(split.isin("train", "val", "validation", "dev", "test"), F.lit(True))), "unknown_split", F.col("row_id")),
         _bad(e.where(~F.col("parsed")), "unparsed_state", F.col("row_id")),
         _bad(t.where(~F.col("parsed")), "unparsed_prompt", F.col("row_id")),

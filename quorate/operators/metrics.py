@@ -1,7 +1,7 @@
 """Classification and calibration metrics over paired rows (pairing.paired), grouped by `by`.
 
-Every metric is one aggregation with map-side combine unless it ranks; ranking metrics
-window by group and so need a group per task: pass the model in `by`.
+Every metric is one aggregation with map-side combine unless it ranks; ranks come from
+counts of distinct values, in ranges of them (`below`), so no task sorts a whole group.
 """
 
 from __future__ import annotations
@@ -19,6 +19,25 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def below(per: DataFrame, by: list[str], value: str, sums: list[str], ranges: int = 256) -> DataFrame:
+    """per (by, value, sums; values distinct in a group) with each sum over the smaller values (below_x) and over all (all_x).
+
+    Approximate percentiles cut each group's values into even ranges; the ranges' sums are
+    added up first, then the values inside each, so that a group is spread over many tasks.
+    """
+    grid = [k / ranges for k in range(1, ranges)]
+    edges = per.groupBy(*by).agg(F.percentile_approx(value, grid, 4 * ranges).alias("_e"))
+    cut = per.join(edges, by) if by else per.crossJoin(edges)  # one row of edges a group
+    cut = cut.withColumn("_r", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    tops = cut.groupBy(*by, "_r").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
+    before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # `ranges` rows a group
+    whole = Window.partitionBy(*by)
+    tops = tops.select(*by, "_r", *(F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums), *(F.sum(f"_t_{s}").over(whole).alias(f"all_{s}") for s in sums))
+    inside = Window.partitionBy(*by, "_r").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(tops, [*by, "_r"])
+    return out.select(*per.columns, *(f"all_{s}" for s in sums), *((F.col(f"_b_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"below_{s}") for s in sums))
+
+
 def accuracy(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("accuracy"))
 
@@ -98,8 +117,7 @@ def ece_adaptive(pairs: DataFrame, by: list[str], conf: str = "conf", bins: int
     are ranked row by row.
     """
     per = pairs.groupBy(*by, F.col(conf).alias("c")).agg(F.count(F.lit(1)).alias("m"), F.sum("ok").alias("hits"))
-    up = Window.partitionBy(*by).orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    per = per.select(*by, "c", "m", "hits", (F.sum("m").over(up) - F.col("m")).alias("s"), F.sum("m").over(Window.partitionBy(*by)).alias("n"))
+    per = below(per, by, "c", ["m"]).select(*by, "c", "m", "hits", F.col("below_m").alias("s"), F.col("all_m").alias("n"))
 
     def tile(at: Column) -> Column:
         """The bin of a place: the first n % bins bins are larger by one."""
@@ -123,6 +141,11 @@ def ece_one_vs_rest(pairs: DataFrame, by: list[str], bins: int = 10) -> DataFram
     return _ece(long, [*by, "label"], F.col("p"), F.col("hit"), _bin(F.col("p"), bins), "ece")
 
 
+def ece_macro(pairs: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """The mean of the labels' errors."""
+    return ece_one_vs_rest(pairs, by, bins).groupBy(*by).agg(F.avg("ece").alias("ece_macro"))
+
+
 def confidence_gap(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Stored confidence against highest probability: both calibration errors, greatest and mean difference."""
     kept = pairs.where(F.col("confidence").isNotNull() & ~F.isnan("confidence"))
@@ -145,15 +168,11 @@ def reliability(pairs: DataFrame, by: list[str], bins: int = 10, least: int = 0)
 def selective_risk(pairs: DataFrame, by: list[str], targets: tuple[float, ...] = (0.5, 0.8, 0.9)) -> DataFrame:
     """Risk among the most confident share of rows; all rows tied with the last one are kept.
 
-    Ranks come from counts per distinct confidence, which are combined before the shuffle, so
-    that a group of any size is ranked by its distinct values and not by its rows.
+    Ranks come from counts per distinct confidence, which are combined before the shuffle.
     """
-    per = pairs.groupBy(*by, "conf").agg(F.count(F.lit(1)).alias("m"), F.sum("ok").alias("hits"))
-    down = Window.partitionBy(*by).orderBy(F.desc("conf"))
-    before = down.rowsBetween(Window.unboundedPreceding, -1)
-    upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.select(*by, "conf", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("above"), F.sum("m").over(upto).alias("k"), F.sum("hits").over(upto).alias("h"), F.sum("m").over(Window.partitionBy(*by)).alias("n"))
-    rows = per.withColumn("target", F.explode(F.array(*(F.lit(float(t)) for t in targets))))
+    per = below(pairs.groupBy(*by, "conf").agg(F.count(F.lit(1)).alias("m"), F.sum("ok").alias("hits")), by, "conf", ["m", "hits"])
+    n, k, h = F.col("all_m"), F.col("all_m") - F.col("below_m"), F.col("all_hits") - F.col("below_hits")
+    rows = per.select("*", n.alias("n"), k.alias("k"), h.alias("h"), (k - F.col("m")).alias("above"), F.explode(F.array(*(F.lit(float(t)) for t in targets))).alias("target"))
     want = F.ceil(F.col("target") * F.col("n"))
     rows = rows.where((F.col("above") < want) & (F.col("k") >= want))
     return rows.select(*by, F.col("target").alias("target_coverage"), F.col("conf").alias("threshold"), F.col("k").alias("selected"), (F.col("k") / F.col("n")).alias("coverage"), (1 - F.col("h") / F.col("k")).alias("risk"))
@@ -194,6 +213,12 @@ def flips(both: DataFrame, most: int = 20) -> DataFrame:
     return moved.orderBy(F.desc("n"), "pred_a", "pred_b").limit(most)
 
 
+def headroom(both: DataFrame) -> DataFrame:
+    """What an oracle that picks the better of two answers would add: rows that a, b, either and neither got right."""
+    a, b = F.col("ok_a") == 1, F.col("ok_b") == 1
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(a).alias("right_a"), F.count_if(b).alias("right_b"), F.count_if(a | b).alias("either"), F.count_if(~a & ~b).alias("neither"))
+
+
 def recall_change(both: DataFrame) -> DataFrame:
     """Recall of each class for two models, the difference, and how many rows that is."""
     rows = both.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok_a").cast("double")).alias("recall_a"), F.avg(F.col("ok_b").cast("double")).alias("recall_b"))
@@ -220,23 +245,38 @@ def rollup_counts(rows: DataFrame, outer: str, inner: str) -> DataFrame:
     return out
 
 
+def at_places(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(by, n, one column a place): the values at places (from 0, expressions over n) of each group's ascending order; nulls are left out."""
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
+    per = below(per, by, value, ["m"]).withColumn("n", F.col("all_m"))
+    held = lambda at: (F.col("below_m") <= at) & (at < F.col("below_m") + F.col("m"))
+    return per.groupBy(*by).agg(F.max("n").alias("n"), *(F.max(F.when(held(at), F.col(value))).alias(name) for name, at in places.items()))
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Nearest-rank percentiles: the value at place ceil(p n)."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(100 * p)}") for p in shares))
+    return at_places(rows, by, value, {f"p{round(100 * p)}": F.greatest(F.ceil(F.col("n") * F.lit(float(p))), F.lit(1)) - 1 for p in shares})
 
 
 def floor_rank(rows: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
     """The value at index min(n - 1, int(p n)), a different definition."""
-    w = Window.partitionBy(*by)
-    rows = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(share)))) + 1
-    return rows.where(F.col("k") == at).select(*by, "n", F.col(value).alias("value"))
+    return at_places(rows, by, value, {"value": F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(share))))})
 
 
 def spread(rows: DataFrame, by: list[str], value: str, limit: float) -> DataFrame:
     """Median, least, greatest, and the share above a limit."""
     v = F.col(value)
-    return rows.groupBy(*by).agg(F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg((v > limit).cast("double")).alias("over"))
+    middle = at_places(rows, by, value, {"lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2)})
+    ends = rows.groupBy(*by).agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg((v > limit).cast("double")).alias("over"))
+    return ends.join(middle, by).select(*by, ((F.col("lo") + F.col("hi")) / 2).alias("median"), "least", "most", "over")
+
+
+def length_stats(rows: DataFrame, by: list[str], length: Column, limit: int) -> DataFrame:
+    """Rows, mean, median and 95 % place (nearest rank), greatest length, and how many are above a limit."""
+    sized = rows.select(*by, length.cast("bigint").alias("length")).where("length is not null")
+    ranks = nearest_rank(sized, by, "length")
+    sums = sized.groupBy(*by).agg(F.avg("length").alias("mean"), F.max("length").alias("most"), F.count_if(F.col("length") > limit).alias("over"))
+    return sums.join(ranks, by).select(*by, "n", "mean", "p50", "p95", "most", "over")
 
 
 def cost(answers: DataFrame, price: float = 0.042 / 1e6, fallback: int = 450) -> DataFrame:

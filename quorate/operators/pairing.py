@@ -63,13 +63,18 @@ def strict_unique(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
     return rows.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.concat_ws(" ", F.lit(f"duplicate {what}:"), *keys))).otherwise(F.lit(True))).drop("_n")
 
 
-def paired(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+def paired(gold: DataFrame, predictions: DataFrame, unique: bool = False) -> DataFrame:
     """Inner join of gold and answers by record and question; both distributions normalised.
 
+    Two answers of one model to one question are an error, even if no gold asks for them;
+    unique says that there are none, as after last_predictions.
+
     Answers that are no distribution (not finite, negative, without mass) are left out. ok is
     1 where the first label of highest probability is the gold one; conf is the stored
     confidence or else the highest probability.
     """
+    keys = ["row_id", "question_id", *(["model"] if "model" in predictions.columns else [])]
+    predictions = predictions if unique else strict_unique(predictions, keys, "answer")
     fine = predictions.where(dist.is_valid(F.col("raw"))).withColumn("answer", dist.normalize(F.col("raw"))).drop("raw")
     rows = gold.join(fine, ["row_id", "question_id"])
     rows = rows.withColumn("pred", dist.argmax(F.col("answer"))).withColumn("top", dist.top(F.col("answer")))
@@ -90,6 +95,44 @@ def coverage(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     return extra.select("model", F.lit(n).cast("bigint").alias("gold"), "answers", "matched", (F.lit(n) - F.col("matched")).alias("missing"), "extra")
 
 
+def key_differences(gold: DataFrame, predictions: DataFrame, samples: int = 3) -> DataFrame:
+    """(model, side, n, sample): gold keys that a model didn't answer and answers without gold, with the first few of each."""
+    want = gold.select("row_id", "question_id").distinct()
+    have = predictions.select("model", "row_id", "question_id").distinct()
+    models = have.select("model").distinct()
+    missing = models.crossJoin(want).join(have, ["model", "row_id", "question_id"], "left_anti").withColumn("side", F.lit("missing"))  # models x keys, models are few
+    extra = have.join(want, ["row_id", "question_id"], "left_anti").withColumn("side", F.lit("extra")).select("model", "row_id", "question_id", "side")
+    both = missing.unionByName(extra).withColumn("key", F.concat_ws("/", "row_id", "question_id"))
+    counts = both.groupBy("model", "side").agg(F.count(F.lit(1)).alias("n"))
+    # The smallest few by rounds of minima, so that no task sorts a side.
+    found, left = None, both.select("model", "side", "key")
+    for k in range(samples):
+        least = left.groupBy("model", "side").agg(F.min("key").alias(f"k{k}"))
+        found = least if found is None else found.join(least, ["model", "side"], "left")
+        left = left.join(least, ["model", "side"]).where(F.col("key") > F.col(f"k{k}")).drop(f"k{k}")
+    return counts.join(found, ["model", "side"]).select("model", "side", "n", F.concat_ws(" ", *(f"k{k}" for k in range(samples))).alias("sample"))
+
+
+def raw_pairs(gold: DataFrame, predictions: DataFrame, question: str) -> DataFrame:
+    """Answers to one question that have a gold label, probabilities as they are: what a plot draws."""
+    rows = predictions.where((F.col("question_id") == question) & F.col("raw").isNotNull())
+    rows = rows.join(gold.where(F.col("question_id") == question).select("row_id", "gold"), "row_id")
+    return rows.select("model", "row_id", "gold", F.col("raw").alias("answer"), dist.p_of(F.col("raw"), F.col("gold")).alias("p_gold"))
+
+
+def exact_three(gold: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(row_id, question_id, target, gold, raw_a, raw_b), or an error where the keys of the three are not the same."""
+    first = exact_pairs(gold, a).withColumnsRenamed({"raw": "raw_a", "confidence": "confidence_a"})
+    second = exact_pairs(gold, b).select("row_id", "question_id", F.col("raw").alias("raw_b"), F.col("confidence").alias("confidence_b"))
+    return first.join(second, ["row_id", "question_id"])
+
+
+def joined_back(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Option rows (row_id, options, label) with a scorer's answers over option numbers (row_id, answer): pred is a number, ok compares it with label."""
+    pred = dist.argmax(F.col("answer")).cast("int")
+    return rows.join(answers, "row_id").withColumn("pred", pred).withColumn("ok", (F.col("pred") == F.col("label")).cast("int"))
+
+
 def exact_pairs(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """The pairs of one model, or an error where keys are missing on either side."""
     both = gold.select("row_id", "question_id", "target", "gold").join(

@@ -10,6 +10,14 @@ from . import gates, metrics, significance
 from .pairing import paired, side_by_side
 
 
+def arms(files: DataFrame, file: str = "file") -> DataFrame:
+    """(arm, file) of prediction files; two files of one arm name are an error."""
+    from ..functions.text import arm_name
+    from .pairing import strict_unique
+
+    return strict_unique(files.select(arm_name(F.col(file)).alias("arm"), F.col(file).alias("file")).distinct(), ["arm"], "arm")
+
+
 def label_counts(gold: DataFrame) -> DataFrame:
     """First labels, counted within each answer space."""
     space = F.array_join(F.array_sort(dist.labels(F.col("target"))), ",")

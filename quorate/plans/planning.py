@@ -56,41 +56,57 @@ def runs(rows: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     return flagged.withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
 
 
-def quota_plan(states: DataFrame, schemas: list[str], labels: list[str], target: int, synthetic_share: float = 0.1, caps: tuple[int, int] = (6, 3), seed: int = 42) -> tuple[DataFrame, list[dict]]:
-    """A plan of about `target` (state, wording) pairs, near equal by label, and what each stratum got.
-
-    states: (state_key, label, synthetic). Each label's quota is what remains over the labels
-    left, so that a shortfall rolls on; a share comes from synthetic states (at most caps[1]
-    pairs a state), the rest from the others (at most caps[0]). A state takes consecutive
-    wordings of the cycle, each at most once. Only the number of states of each stratum
-    reaches the driver; pairs are taken in hash order by a rank within hash prefixes.
+def stratum_quotas(counts: DataFrame, labels: list[str], target: int, wordings: int, synthetic_share: float, caps: tuple[int, int]) -> DataFrame:
+    """(label, synthetic, want, per): pairs that each stratum gives and how many wordings a state takes, from (label, synthetic, states).
+
+    One expression over the labels in their order: each gets an even part of what is still to
+    be had over the labels still to come, so what one cannot give goes to the next ones.
+    """
+    spark = counts.sparkSession
+    names = spark.createDataFrame([(k, x) for k, x in enumerate(labels)], "place int, label string")
+    ends = counts.groupBy("label").agg(*(F.coalesce(F.sum(F.when(F.col("synthetic") == flag, F.col("states"))), F.lit(0)).alias(c) for c, flag in (("made", True), ("found", False))))
+    held = names.join(ends, "label", "left").fillna(0, ["made", "found"])
+    row = held.agg(F.array_sort(F.collect_list(F.struct("place", "label", "made", "found"))).alias("labels"))  # a handful of labels
+    most_found, most_made = (min(c, wordings) for c in caps)
+    each = lambda want, states, most: F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(want / F.greatest(states, F.lit(1))))).cast("bigint")
+
+    def give(past: Column, x: Column) -> Column:
+        part = F.floor(past["open"] / (F.lit(len(labels)) - x["place"])).cast("bigint")
+        made = F.least(F.bround(part * F.lit(synthetic_share)).cast("bigint"), x["made"] * most_made)
+        found = F.least(part - made, x["found"] * most_found)
+        line = F.struct(x["label"].alias("label"), made.alias("made"), each(made, x["made"], most_made).alias("per_made"), found.alias("found"), each(part - made, x["found"], most_found).alias("per_found"))
+        return F.struct((past["open"] - made - found).alias("open"), F.concat(past["lines"], F.array(line)).alias("lines"))
+
+    start = F.struct(F.lit(target).cast("bigint").alias("open"), F.array().cast("array<struct<label:string,made:bigint,per_made:bigint,found:bigint,per_found:bigint>>").alias("lines"))
+    lines = row.select(F.inline(F.aggregate("labels", start, give, lambda s: s["lines"])))
+    made, found = lines.select("label", F.lit(True).alias("synthetic"), F.col("made").alias("want"), F.col("per_made").alias("per")), lines.select("label", F.lit(False).alias("synthetic"), F.col("found").alias("want"), F.col("per_found").alias("per"))
+    return made.unionByName(found)
+
+
+def quota_plan(states: DataFrame, schemas: list[str], labels: list[str], target: int, synthetic_share: float = 0.1, caps: tuple[int, int] = (6, 3), seed: int = 42) -> DataFrame:
+    """(state_key, label, synthetic, schema_id, shuffle): about `target` pairs of a state and a wording, near equal by label, no pair twice.
+
+    states: (state_key, label, synthetic). A state that stands under several labels, or is
+    both found and synthetic, counts once: found before synthetic, then in the order of the
+    labels. A share of each label's quota comes from synthetic states (at most caps[1]
+    wordings a state), the rest from the others (at most caps[0]). A state takes consecutive
+    wordings of the cycle. Pairs are taken in hash order, by ranks within hash prefixes.
     """
-    distinct = states.where("state_key is not null and label is not null").groupBy("state_key", "label", "synthetic").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    counts = {(r.label, r.synthetic): r["count"] for r in distinct.groupBy("label", "synthetic").count().collect()}
-    remaining, stats, wants = target, [], []
-    for k, label in enumerate(labels):
-        quota = remaining // (len(labels) - k)
-        n_syn, n_gt = counts.get((label, True), 0), counts.get((label, False), 0)
-        syn = min(int(round(quota * synthetic_share)), n_syn * min(caps[1], len(schemas)))
-        per_syn = min(caps[1], len(schemas), max(1, -(-syn // max(1, n_syn))))
-        gt = min(quota - syn, n_gt * min(caps[0], len(schemas)))
-        per_gt = min(caps[0], len(schemas), max(1, -(-(quota - syn) // max(1, n_gt))))
-        gt = min(gt, n_gt * per_gt)
-        wants += [(label, True, syn, per_syn), (label, False, gt, per_gt)]
-        stats.append({"label": label, "quota": quota, "planned": syn + gt, "ground_truth": gt, "synthetic": syn})
-        remaining -= syn + gt
-    spark = states.sparkSession
-    want = spark.createDataFrame(wants, "label string, synthetic boolean, want int, per int")
-    rows = distinct.join(F.broadcast(want), ["label", "synthetic"]).withColumn("h", hash_order(seed, "state_key")).withColumn("p", F.substring("h", 1, 3))
+    order = F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("label"))
+    known = states.where("state_key is not null").where(F.col("label").isin(labels)).withColumn("synthetic", F.coalesce("synthetic", F.lit(False)))
+    distinct = known.groupBy("state_key").agg(F.min_by(F.struct("label", "synthetic"), F.struct("synthetic", order)).alias("s")).select("state_key", "s.*")
+    counts = distinct.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("states"))
+    want = stratum_quotas(counts, labels, target, len(schemas), synthetic_share, caps)
+    rows = distinct.join(F.broadcast(want), ["label", "synthetic"]).withColumn("h", hash_order(seed, "state_key")).withColumn("p", F.substring("h", 1, 3))  # two rows a label
     sizes = rows.groupBy("label", "synthetic", "p").agg(F.count(F.lit(1)).alias("m"))
     before = Window.partitionBy("label", "synthetic").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("s", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")  # at most 4096 rows a stratum
     inside = Window.partitionBy("label", "synthetic", "p").orderBy("h", "state_key")
-    rows = rows.join(F.broadcast(sizes), ["label", "synthetic", "p"]).withColumn("i", (F.col("s") + F.row_number().over(inside) - 1).cast("int"))
+    rows = rows.join(F.broadcast(sizes), ["label", "synthetic", "p"]).withColumn("i", F.col("s") + F.row_number().over(inside) - 1)
     ids = F.array(*(F.lit(s) for s in schemas))
-    places = F.transform(F.sequence(F.lit(0), F.col("per") - 1), lambda j: F.struct((F.col("i") * F.col("per") + j).alias("place"), F.get(ids, (F.col("i") + j) % len(schemas)).alias("schema_id")))
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("per") - 1), lambda j: F.struct((F.col("i") * F.col("per") + j).alias("place"), F.get(ids, ((F.col("i") + j) % len(schemas)).cast("int")).alias("schema_id")))
     plan = rows.select("state_key", "label", "synthetic", "want", F.inline(places)).where("place < want")
-    return plan.select("state_key", "label", "synthetic", "schema_id", F.md5(F.concat_ws(":", F.lit(str(seed)), "state_key", "schema_id")).alias("shuffle")), stats
+    return plan.select("state_key", "label", "synthetic", "schema_id", F.md5(F.concat_ws(":", F.lit(str(seed)), "state_key", "schema_id")).alias("shuffle"))
 
 
 def eval_plan(states: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -103,6 +119,23 @@ def estimate(rows: DataFrame, tokens: int = 450, price: float = 0.042 / 1e6) ->
     return rows.count() * tokens * price
 
 
+def affordable(rows: DataFrame, budget: float, tokens: int = 450, price: float = 0.042 / 1e6) -> DataFrame:
+    """The rows of a plan, or an error before anything runs if it would cost more than the budget."""
+    cost = estimate(rows, tokens, price)
+    if cost > budget:
+        raise ValueError(f"the plan costs {cost:.4f}, the budget is {budget:.4f}")
+    return rows
+
+
+def written_within_budget(answers: DataFrame, path: str, budget: float, **kinds) -> int:
+    """Writes answers (ord, tokens, ...) if all of them fit the budget; else an error, and nothing is written. Returns their number."""
+    n, kept = answers.count(), within_budget(answers, budget, **kinds).count()
+    if kept < n:
+        raise ValueError(f"the budget ends after {kept} of {n} answers; nothing was written")
+    answers.write.mode("errorifexists").parquet(path)
+    return n
+
+
 def within_budget(rows: DataFrame, budget: float, order: str = "ord", tokens: str = "tokens", fallback: int = 450, price: float = 0.042 / 1e6, block: int = 10_000) -> DataFrame:
     """Rows in order up to where one more could pass the budget (spent so far and a fallback for the next).
 
@@ -131,6 +164,19 @@ def stopped_at(history: list[float], patience: int, least: float = 1e-4) -> int
     return None
 
 
+def stopping_epoch(history: Column, patience: int, least: float = 1e-4) -> Column:
+    """stopped_at over a column of loss histories (array of doubles), as one fold; null where training goes on to the end."""
+    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("waited"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("stop"))
+
+    def step(s: Column, loss: Column) -> Column:
+        better = loss < s["best"] - least
+        waited = F.when(better, 0).otherwise(s["waited"] + 1)
+        stop = F.coalesce(s["stop"], F.when(waited >= patience, s["k"]))
+        return F.struct(F.when(better, loss).otherwise(s["best"]).alias("best"), waited.alias("waited"), (s["k"] + 1).alias("k"), stop.alias("stop"))
+
+    return F.aggregate(history, start, step, lambda s: s["stop"])
+
+
 def search_order(options: DataFrame, threshold: float) -> DataFrame:
     """(puzzle_id, cell, value, p) in the order to try, most probable first; those below the threshold go, unless none passes it."""
     passes = F.max((F.col("p") >= threshold).cast("int")).over(Window.partitionBy("puzzle_id", "cell"))

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +37,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a local folder is made and set.
+    Only where that is unset on a local master (tests on one machine) a local folder is made
+    and set; on a cluster it is an error, as no other machine would see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quorate-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -72,6 +76,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def scratch_scope():
+    """Removes the scratch tables made inside it at its end; results must be used or written inside."""
+    before = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        while len(_SCRATCH) > before:
+            delete_path(*_SCRATCH.pop())
+
+
 def drop_scratch() -> None:
     """Removes the scratch tables of this process; also done at its end."""
     while _SCRATCH:

@@ -54,8 +54,7 @@ def _native(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deduplicated(spark: SparkSession, d: str) -> DataFrame:
-    rows = _one(spark, d, "state").where("try_parse_json(state) is not null")
-    out = etl.deduplicated(rows, etl.dedupe_key(F.col("state")))
+    out = etl.deduplicated(_one(spark, d, "state"), etl.dedupe_key(F.col("state"), F.col("row_id")))
     return out.select("row_id", F.coalesce("dup_count", F.lit(1)).alias("dup_count"), F.coalesce(F.array_join("dropped_row_ids", ","), F.lit("")).alias("dropped"))
 
 
@@ -96,8 +95,8 @@ def _chat_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
     rows = _one(spark, d, "state", "label_source", "labels").withColumn("label", dist.argmax(dist.from_map(F.try_element_at("labels", F.lit("verdict")))))
-    states = rows.select(text.state_key(F.col("state")).alias("state_key"), "label", F.coalesce(F.lower(F.trim("label_source")) == "synthetic_oracle", F.lit(False)).alias("synthetic"))
-    plan, _ = planning.quota_plan(states, [f"fc-c{k}" for k in range(6)], SPACE, states.count() // 3)
+    states = rows.select(F.coalesce(F.get_json_object("state", "$.claim"), "state").alias("state_key"), "label", F.coalesce(F.lower(F.trim("label_source")) == "synthetic_oracle", F.lit(False)).alias("synthetic"))
+    plan = planning.quota_plan(states, [f"fc-c{k}" for k in range(6)], SPACE, states.count() // 3)
     return plan.groupBy("label", "synthetic", "schema_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,10 +133,6 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", "question_id", F.array_join(text.label_space(F.col("q.kind"), F.col("q.criteria")), ",").alias("labels"), text.question_text(F.col("q.instructions"), F.col("q.kind"), F.col("q.criteria")).alias("text"))
 
 
-def _prompts(spark: SparkSession, d: str) -> DataFrame:
-    return chat.parsed_prompts(table(spark, d, "sft_rows")).select("row_id", "question_id", "claim", F.coalesce(F.size("evidence"), F.lit(-1)).alias("passages"))
-
-
 def _chats(spark: SparkSession, d: str) -> DataFrame:
     rows = _one(spark, d, "split", "source", "group_id", "state", "questions", "labels", "weight", "label_source", "meta").where("lower(trim(split)) = 'train'")
     out = chat.chat_records(rows)
@@ -198,7 +193,6 @@ QUERIES = {
     "p08_option_rows": _options,
     "p18_chat_records": _chats,
     "p04x_native_labels": _native,
-    "r05_parse_prompts": _prompts,
     "w01_deduplicated": _deduplicated,
     "w04_every_kth": lambda s, d: planning.every_kth(_one(s, d), 3).select("row_id", "variant"),
     "w07_length_batches": _batches,

@@ -78,11 +78,6 @@ def _extremes(spark: SparkSession, d: str) -> DataFrame:
     return ends.unionByName(mid)
 
 
-def _signatures(spark: SparkSession, d: str) -> DataFrame:
-    rows = gates.state_signatures(_one(spark, d, "state"), F.col("state"))
-    return rows.where("parsed").groupBy("set_sig").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sig").alias("orders")).where("n > 1")
-
-
 def _knots(spark: SparkSession, d: str) -> DataFrame:
     found = cal.isotonic_knots(pairs(spark, d).where("model = 'clf-large'"), "verdict")
     return rounded(spark.createDataFrame(found, "x double, y double"))
@@ -116,13 +111,11 @@ QUERIES = {
     "p20_request_problems": _requests,
     "p21_answers": _answers,
     "p22_flattened": lambda s, d: serving.flattened(table(s, d, "fixture").select("row_id", "ord", F.struct(F.col("source"), F.struct("split", "weight").alias("more")).alias("of"))),
-    "p24_cache_keys": lambda s, d: _one(s, d, "state").groupBy(text.cache_key(F.lit("m"), F.col("state"), F.lit("{}")).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"),
     "a23_arm_accuracy": _arms,
     "a25_label_counts": lambda s, d: reports.label_counts(_gold(s, d)),
     "g06_counts": _counts,
     "j07_routed": _routed,
     "o05_extremes": _extremes,
-    "r03_signatures": _signatures,
     "s17_checksums": lambda s, d: checksums(s, f"{d}/*_targets.parquet"),
     "s23_audit_report": _audit,
 }

@@ -87,10 +87,11 @@ LOADERS = {"fever": fever, "vitaminc": vitaminc, "scifact": scifact, "climate_fe
 def load(spark: SparkSession, sources: dict[str, tuple], label_map: DataFrame, most: int | None = None, seed: int = 42) -> DataFrame:
     """All named sources as one table, each capped without splitting a group, with ord in the order given; an unknown name is an error."""
     out = None
-    for name, tables in sources.items():
+    for k, (name, tables) in enumerate(sources.items()):
         if name not in LOADERS:
             raise ValueError(f"unknown source: {name}")
-        rows = LOADERS[name](*tables, label_map).withColumn("ord", F.xxhash64("row_id"))
+        # Sources in the order given; inside one a hash order, as tables have none of their own.
+        rows = LOADERS[name](*tables, label_map).withColumn("ord", F.lit(k).cast("bigint") * 2**56 + F.shiftrightunsigned(F.xxhash64("row_id"), 8))
         rows = rows if most is None else capped_groups(rows, most, seed)
         out = rows if out is None else out.unionByName(rows)
     if out is None:

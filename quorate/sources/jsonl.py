@@ -7,9 +7,12 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import arm_name, quoted
+from ..plans.runtime import materialize
+
 DECISION = (
     "row_id string, source string, split string, group_id string, state string, questions map<string,struct<kind:string,instructions:string,criteria:string>>, "
     "labels map<string,map<string,double>>, weight double, label_source string, meta string"
@@ -23,7 +26,7 @@ CACHE = "key string, answer struct<distributions:map<string,map<string,double>>,
 
 
 def lines(spark: SparkSession, paths: list[str] | str, missing_ok: bool = False) -> DataFrame:
-    """(file, ord, value) of the lines that aren't blank; ord grows along each file, in the order of the files' names.
+    """(file, ord, line, value) of the lines that aren't blank; ord counts along the files in the order of their paths, line from 1 in each.
 
     A missing path is an error, or skipped with missing_ok.
     """
@@ -38,16 +41,22 @@ def lines(spark: SparkSession, paths: list[str] | str, missing_ok: bool = False)
                 there.append(p)
         wanted = there
     if not wanted:
-        return spark.createDataFrame([], "file string, ord bigint, value string")
-    rows = spark.read.text(wanted).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
+        return spark.createDataFrame([], "file string, ord bigint, line bigint, value string")
+    scan = spark.read.text(wanted).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    # Blocks in the order of paths and places give every line its number; there are as many as input splits.
+    blocks = scan.groupBy("path", "at").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    ahead = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("path", "at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("path", "at", "first", ahead().alias("before"), ahead("path").alias("above"))
+    rows = scan.join(blocks, ["path", "at"])
+    rows = rows.select("file", (F.col("before") + F.col("id") - F.col("first")).alias("ord"), (F.col("above") + F.col("id") - F.col("first") + 1).alias("line"), "value")
     return rows.where(F.trim("value") != "")
 
 
 def _strict(rows: DataFrame, schema: str, ok: Column) -> DataFrame:
-    """Parsed rows, with an error that names file and place of the first bad one met."""
+    """Parsed rows, with an error that names file and line of the first bad one met."""
     parsed = rows.withColumn("r", F.from_json("value", schema))
     fine = F.coalesce(ok, F.lit(False))
-    told = F.when(fine, F.lit(True)).otherwise(F.raise_error(F.concat_ws(":", "file", F.col("ord").cast("string"), F.substring("value", 1, 80))))
+    told = F.when(fine, F.lit(True)).otherwise(F.raise_error(F.concat_ws(":", "file", F.col("line").cast("string"), F.substring("value", 1, 80))))
     return parsed.where(told).select("r.*", "ord")
 
 
@@ -85,12 +94,6 @@ def cache_view(cache_lines: DataFrame) -> DataFrame:
     return good.groupBy(F.col("r.key").alias("key")).agg(F.max_by("r.answer", "ord").alias("answer"), F.max("ord").alias("ord"))
 
 
-def quoted(x: Column) -> Column:
-    """A string as JSON text; null is null."""
-    one = F.to_json(F.array(x))
-    return F.when(x.isNull(), "null").otherwise(F.substring(one, F.lit(2), F.length(one) - 2))
-
-
 def decision_line(c: str = "") -> Column:
     """A decision row as one JSON object, keys in the contract's order, labels in theirs; state, criteria and meta unfold if they are JSON."""
     raw = lambda x: F.when(_object(x), x).otherwise(quoted(x))
@@ -105,15 +108,41 @@ def decision_line(c: str = "") -> Column:
 
 def write_rows(rows: DataFrame, path: str, mode: str = "overwrite") -> int:
     """Writes decision rows as JSON lines (mode append adds to them) and returns how many."""
-    out = rows.select(decision_line().alias("value"))
-    out.write.mode(mode).text(path)
-    return rows.count()
+    seen = Observation("rows")
+    rows.select(decision_line().alias("value")).observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).text(path)
+    return seen.get["n"]
 
 
 def write_predictions(rows: DataFrame, path: str, mode: str = "overwrite") -> int:
     names = [f.split(" ")[0] for f in PREDICTION.split(", ")]
-    rows.select(*names).write.mode(mode).json(path, ignoreNullFields=False)
-    return rows.count()
+    seen = Observation("predictions")
+    rows.select(*names).observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).json(path, ignoreNullFields=False)
+    return seen.get["n"]
+
+
+def append_rows(rows: DataFrame, path: str) -> int:
+    """Adds decision rows to JSON lines that may be there already."""
+    return write_rows(rows, path, "append")
+
+
+def scored_resumable(rows: DataFrame, done_path: str, model: str, score, part: int = 100_000) -> int:
+    """Scores what a model hasn't answered in done_path yet, and appends the answers part by part, so that a stopped run loses one part at most.
+
+    score(rows) gives predictions of rows with row_id. Parts are hash ranges of the ids of about `part` rows.
+    """
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(done_path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    left = unscored(rows, read_predictions(spark, done_path), model) if there else rows
+    left = materialize(left, "unscored")
+    parts = max(1, -(-left.count() // part))
+    return sum(write_predictions(score(left.where(F.pmod(F.xxhash64("row_id"), F.lit(parts)) == k)), done_path, "append") for k in range(parts))
+
+
+def file_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(file, arm, lines) of all files of a glob: a report over files by their names."""
+    return lines(spark, pattern).groupBy("file").agg(F.count(F.lit(1)).alias("lines")).select("file", arm_name(F.col("file")).alias("arm"), "lines")
 
 
 def unscored(rows: DataFrame, done: DataFrame, model: str) -> DataFrame:
@@ -121,9 +150,27 @@ def unscored(rows: DataFrame, done: DataFrame, model: str) -> DataFrame:
     return rows.join(done.where(F.col("model") == model).select("row_id"), "row_id", "left_anti")
 
 
-def checksums(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file, sha256, bytes) of whole files (each below 2 GB)."""
-    return spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+def checksums(spark: SparkSession, pattern: str, block: int = 1 << 20) -> DataFrame:
+    """(file, sha256, bytes) of files of any size, each hashed block by block in its task; the folder must be readable by path from the executors."""
+    import pyarrow as pa
+
+    names = spark.read.format("binaryFile").load(pattern).select("path", "length")
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                files, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                h = hashlib.sha256()
+                with files.open_input_stream(at) as f:
+                    while part := f.read(block):
+                        h.update(part)
+                found.append((at.rpartition("/")[2], h.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), batch.column(1)], names=["file", "sha256", "bytes"])
+
+    return names.mapInArrow(run, "file string, sha256 string, bytes bigint")
 
 
 def checksum(path: str, block: int = 1 << 20) -> str:
