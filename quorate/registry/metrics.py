@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dist
+from ..functions import dist, text
 from ..operators import metrics as m
 from ..operators import significance as sig
-from ..operators.pairing import coverage, gold_labels, last_predictions, paired, problems, side_by_side
+from ..operators.pairing import coverage, exact_pairs, exact_three, gold_labels, key_differences, last_predictions, paired, problems, raw_pairs, side_by_side
 from ..plans.runtime import table
 
 MODEL = ["model"]
@@ -29,7 +29,7 @@ def _preds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return paired(_gold(spark, d, *columns), _preds(spark, d))
+    return paired(_gold(spark, d, *columns), _preds(spark, d), unique=True)
 
 
 def both(spark: SparkSession, d: str) -> DataFrame:
@@ -48,12 +48,21 @@ def _malformed(spark: SparkSession, d: str) -> DataFrame:
 
 def _ensemble(spark: SparkSession, d: str) -> DataFrame:
     """The mean of the models' answers, label by label, then its first label."""
-    rows = pairs(spark, d).select("row_id", "question_id", "gold", "model", F.posexplode("answer").alias("pos", "e"))
-    mean = rows.groupBy("row_id", "question_id", "gold", F.col("e.label").alias("label")).agg((F.sum("e.p") / F.count_distinct("model")).alias("p"), F.min("pos").alias("pos"))
-    mean = mean.groupBy("row_id", "question_id", "gold").agg(F.array_sort(F.collect_list(F.struct("label", F.round("p", 10).alias("p")))).alias("answer"))
+    mean = m.ensemble(pairs(spark, d), ["row_id", "question_id", "gold"], "model")
     return mean.select("row_id", "question_id", "gold", dist.argmax(F.col("answer")).alias("pred"), F.round(dist.top(F.col("answer")), 10).alias("top"))
 
 
+def _wordings(spark: SparkSession, d: str) -> DataFrame:
+    """A model's answers averaged over the wordings of one claim: what it says of records with the same claim and another question text."""
+    rows = table(spark, d, "fixture").where("row_id is not null").groupBy("row_id").agg(F.min_by(F.struct("state", "questions"), "ord").alias("r"))
+    rows = rows.select("row_id", F.coalesce(F.get_json_object("r.state", "$.claim"), "r.state").alias("claim"), F.try_element_at("r.questions", F.lit("verdict"))["instructions"].alias("wording"))
+    answers = pairs(spark, d).where("question_id = 'verdict'").join(rows.where("wording is not null"), "row_id")
+    per = m.ensemble(answers, ["model", "claim", "wording"], "row_id").withColumn("answer", F.col("answer"))
+    mean = m.ensemble(per, ["model", "claim"], "wording")
+    out = mean.select("model", F.md5("claim").alias("claim"), F.explode("answer").alias("e"))
+    return rounded(out.select("model", "claim", "e.label", F.round("e.p", 8).alias("p")))
+
+
 def _decided(spark: SparkSession, d: str) -> DataFrame:
     """Answers after a temperature of 1.5 and label factors."""
     hot = dist.label_bias(dist.temperature(F.col("answer"), 1.5), {"not_enough_info": 1.2, "refuted": 0.9})
@@ -100,16 +109,80 @@ def _bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([x], "difference double, low double, high double")
 
 
+def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two runs of one model: its first and its last answer to every question."""
+    rows = table(spark, d, "predictions").where((F.col("model") == A) & F.col("row_id").isNotNull())
+    keys = ["row_id", "question_id"]
+    run = lambda pick: rows.groupBy(*keys).agg(pick("probs", "ord").alias("m")).select(*keys, dist.from_map(F.col("m")).alias("raw")).where(dist.is_valid(F.col("raw"))).select(*keys, dist.normalize(F.col("raw")).alias("answer"))
+    return run(F.min_by), run(F.max_by)
+
+
 def _regression(spark: SparkSession, d: str) -> DataFrame:
-    rows = pairs(spark, d)
-    return rounded(sig.prediction_regression(rows.where(F.col("model") == A), rows.where(F.col("model") == B)))
+    return rounded(sig.prediction_regression(*_runs(spark, d)))
+
+
+def _asymptotic(spark: SparkSession, d: str) -> DataFrame:
+    r = sig.mcnemar(both(spark, d)).first()
+    return rounded(spark.createDataFrame([(r.n, r.z, sig.asymptotic_p(r.z))], "n bigint, z double, p double"))
+
+
+def _by_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Recall by the number of passages of the record."""
+    counts = table(spark, d, "fixture").where("row_id is not null").groupBy("row_id").agg(F.min_by("state", "ord").alias("state"))
+    counts = counts.select("row_id", F.size(text.evidence_lines(F.col("state"))).alias("passages"))
+    return rounded(m.recall_strata(pairs(spark, d).join(counts, "row_id"), MODEL, "passages"))
+
+
+def _single_passage(spark: SparkSession, d: str) -> DataFrame:
+    """Change of recall over the records of one passage."""
+    one = table(spark, d, "fixture").where("row_id is not null").groupBy("row_id").agg(F.min_by("state", "ord").alias("state"))
+    one = one.where(F.size(text.evidence_lines(F.col("state"))) == 1).select("row_id")
+    return rounded(m.recall_change(both(spark, d).join(one, "row_id", "left_semi")))
+
+
+def _raw_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = raw_pairs(_gold(spark, d), _preds(spark, d), "verdict")
+    return rounded(rows.select("model", "row_id", "gold", "p_gold", dist.total(F.col("answer")).alias("mass")))
+
+
+def _verdicts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gold and two models' answers, cut to the keys that all of them have."""
+    gold, preds = _gold(spark, d).where("question_id = 'verdict'"), _preds(spark, d).where("question_id = 'verdict'")
+    a, b = (preds.where(F.col("model") == x) for x in (A, B))
+    keys = gold.select("row_id").join(a.select("row_id"), "row_id").join(b.select("row_id"), "row_id")
+    return tuple(x.join(keys, "row_id", "left_semi") for x in (gold, a, b))
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    """The error on keys of one side only is in the tests; here the keys are equal."""
+    rows = exact_three(*_verdicts(spark, d))
+    return rows.select("row_id", "gold", dist.argmax(F.col("raw_a")).alias("first_a"), dist.argmax(F.col("raw_b")).alias("first_b"))
+
+
+def _aligned_two(spark: SparkSession, d: str) -> DataFrame:
+    gold, a, _ = _verdicts(spark, d)
+    return rounded(exact_pairs(gold, a).select("row_id", "question_id", "gold", "confidence"))
+
+
+def _differences(spark: SparkSession, d: str) -> DataFrame:
+    gold = _gold(spark, d, "split").where("question_id = 'verdict' and lower(trim(split)) in ('val', 'validation', 'dev', 'test')")
+    return key_differences(gold, _preds(spark, d))
 
 
 QUERIES = {
     "j01_pairs": lambda s, d: rounded(pairs(s, d).select("model", "row_id", "question_id", "gold", "pred", "ok", "conf", "top")),
     "j02_coverage": _covered,
     "j03_side_by_side": lambda s, d: both(s, d).select("row_id", "question_id", "gold", "pred_a", "pred_b"),
+    "j02_exact_alignment": _aligned_two,
+    "j04_raw_pairs": _raw_pairs,
+    "j14_three_way": _aligned,
     "j15_regression": _regression,
+    "u04_key_differences": _differences,
+    "a11_ece_macro": _of(m.ece_macro),
+    "a14_recall_by_passages": _by_passages,
+    "a19_asymptotic": _asymptotic,
+    "a22_single_passage": _single_passage,
+    "a33_headroom": lambda s, d: m.headroom(both(s, d)),
     "p16_malformed": _malformed,
     "w02_last_predictions": lambda s, d: rounded(_preds(s, d).select("row_id", "question_id", "model", "confidence", "ord")),
     "a01_accuracy": _of(m.accuracy),
@@ -143,6 +216,7 @@ QUERIES = {
     "a36_policy_terms": _of(m.policy_terms),
     "f09_decision_rule": _decided,
     "f11_ensemble": _ensemble,
+    "f11_wordings": _wordings,
 }
 
 GOLD = """
@@ -220,6 +294,60 @@ LEFT JOIN (SELECT model, greatest(least(CAST(trunc(conf * 10) AS INTEGER), 9), 0
 UNION ALL SELECT model, CAST(i AS INTEGER), 0, NULL, NULL FROM (SELECT DISTINCT model FROM b) CROSS JOIN range(10) AS x(i)
 WHERE (model, i) NOT IN (SELECT (model, greatest(least(CAST(trunc(conf * 10) AS INTEGER), 9), 0)) FROM b)""",
     "a11_ece_one_vs_rest": BASE + _ece("t", "model, label", "q", "(gold = label)", _edges("q"), "ece"),
+    "j02_exact_alignment": f"""WITH {GOLD.strip()},{PRED}
+SELECT gg.row_id, gg.question_id, gold, round(a.confidence, 10) AS confidence FROM gg JOIN pr a ON a.row_id = gg.row_id AND a.question_id = 'verdict' AND a.model = '{A}'
+JOIN pr b ON b.row_id = gg.row_id AND b.question_id = 'verdict' AND b.model = '{B}' WHERE gg.question_id = 'verdict'""",
+    "j04_raw_pairs": f"""WITH {GOLD.strip()},{PRED}
+SELECT model, row_id, gold, round(coalesce(any_value(p) FILTER (label = gold), 0), 10) AS p_gold, round(sum(p), 10) AS mass FROM pl JOIN gg USING (row_id, question_id) WHERE question_id = 'verdict' GROUP BY ALL""",
+    "j14_three_way": f"""WITH {GOLD.strip()},{PRED},
+w AS (SELECT row_id, model, arg_min(label, pos) FILTER (p = mx) AS first FROM (SELECT *, max(p) OVER (PARTITION BY row_id, model) AS mx FROM pl WHERE question_id = 'verdict') GROUP BY ALL)
+SELECT gg.row_id, gold, a.first AS first_a, b.first AS first_b FROM gg JOIN w a ON a.row_id = gg.row_id AND a.model = '{A}' JOIN w b ON b.row_id = gg.row_id AND b.model = '{B}' WHERE question_id = 'verdict'""",
+    "j15_regression": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY row_id, question_id ORDER BY ord) AS i, row_number() OVER (PARTITION BY row_id, question_id ORDER BY ord DESC) AS j FROM predictions WHERE model = '{A}' AND row_id IS NOT NULL),
+l AS (SELECT row_id, question_id, i = 1 AS old, j = 1 AS new, pos, e.key AS label, e.value AS p FROM (SELECT *, unnest(map_entries(probs)) AS e, generate_subscripts(map_entries(probs), 1) AS pos FROM r WHERE i = 1 OR j = 1)),
+v AS (SELECT *, sum(p) OVER w AS s, max(p) OVER w AS mx, count(*) FILTER (WHERE p IS NULL OR isnan(p) OR isinf(p) OR p < 0) OVER w AS bad FROM l WINDOW w AS (PARTITION BY row_id, question_id, old, new)),
+k AS (SELECT row_id, question_id, old, new, map_from_entries(list((label, p / s) ORDER BY pos)) AS d, arg_min(label, pos) FILTER (p = mx) AS top FROM v WHERE bad = 0 AND s > 0 GROUP BY ALL),
+b AS (SELECT x.d AS dx, y.d AS dy, x.top <> y.top AS moved FROM k x JOIN k y USING (row_id, question_id) WHERE x.old AND y.new),
+z AS (SELECT moved, list_max(list_transform(map_entries(dx), lambda e: abs(e.value - coalesce(dy[e.key], 0)))) AS delta FROM b)
+SELECT count(*) AS n, round(max(delta), 10) AS max_delta, count(*) FILTER (moved) AS moved, count(*) FILTER (moved) = 0 AND max(delta) < 1e-6 AS passed FROM z""",
+    "u04_key_differences": f"""WITH {GOLD.strip()},{PRED},
+w AS (SELECT DISTINCT row_id, question_id FROM gg WHERE question_id = 'verdict' AND lower(trim(split)) IN ('val', 'validation', 'dev', 'test')),
+d AS (SELECT m.model, 'missing' AS side, row_id || '/' || question_id AS key FROM w, (SELECT DISTINCT model FROM pr) m WHERE (m.model, row_id, question_id) NOT IN (SELECT (model, row_id, question_id) FROM pr)
+  UNION ALL SELECT DISTINCT model, 'extra', row_id || '/' || question_id FROM pr WHERE (row_id, question_id) NOT IN (SELECT (row_id, question_id) FROM w))
+SELECT model, side, count(*) AS n, array_to_string(list(key ORDER BY key)[1:3], ' ') AS sample FROM d GROUP BY ALL""",
+    "p16_malformed": f"""WITH {GOLD.strip()},{PRED},
+s AS (SELECT row_id, question_id, list(label ORDER BY label) AS space FROM gn GROUP BY ALL),
+h AS (SELECT row_id, question_id, model, list(label ORDER BY label) AS have, count(*) FILTER (p IS NULL OR isnan(p) OR isinf(p)) AS odd, count(*) FILTER (NOT isnan(p) AND p < 0) AS neg, sum(p) AS total FROM pl GROUP BY ALL),
+x AS (SELECT pr.model, pr.row_id, pr.question_id, concat_ws(',', CASE WHEN have IS NULL THEN 'missing' END, CASE WHEN have <> space THEN 'labels' END, CASE WHEN odd > 0 THEN 'not_finite' END, CASE WHEN neg > 0 THEN 'negative' END,
+    CASE WHEN total <= 0 THEN 'no_mass' END, CASE WHEN abs(total - 1) > 1e-6::DOUBLE THEN 'sum' END, CASE WHEN pr.confidence IS NULL OR isnan(pr.confidence) THEN 'no_confidence' END,
+    CASE WHEN pr.confidence < -1e-9::DOUBLE OR (NOT isnan(pr.confidence) AND pr.confidence > 1 + 1e-9::DOUBLE) THEN 'confidence_range' END) AS problems
+  FROM pr JOIN s USING (row_id, question_id) LEFT JOIN h ON h.row_id = pr.row_id AND h.question_id = pr.question_id AND h.model = pr.model)
+SELECT * FROM x WHERE problems <> ''""",
+    "a11_ece_macro": BASE + "SELECT model, round(avg(ece), 10) AS ece_macro FROM (" + _ece("t", "model, label", "q", "(gold = label)", _edges("q"), "ece").replace(", 10) AS ece", ", 15) AS ece") + ") GROUP BY model",
+    "a12_confidence_gap": BASE + """, k AS (SELECT * FROM b WHERE confidence IS NOT NULL AND NOT isnan(confidence)),
+g AS (SELECT model, count(*) AS n, round(max(abs(confidence - top)), 10) AS max_gap, round(avg(abs(confidence - top)), 10) AS mean_gap FROM k GROUP BY model),
+x AS (""" + _ece("k", "model", "confidence", "ok", _edges("confidence"), "ece_stored") + "), y AS (" + _ece("k", "model", "top", "ok", _edges("top"), "ece_top") + ") SELECT * FROM g JOIN x USING (model) JOIN y USING (model)",
+    "a14_recall_by_passages": BASE + f""", np AS (SELECT row_id, CAST(CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' AND json_type(state, '$.evidence') = 'ARRAY' THEN json_array_length(state, '$.evidence') ELSE 0 END AS INTEGER) AS passages FROM f)
+SELECT model, passages, gold AS label, count(*) AS n, round(avg(ok), 10) AS recall FROM b JOIN np USING (row_id) GROUP BY GROUPING SETS ((model, passages), (model, passages, gold))""",
+    "a19_asymptotic": BASE + """, d AS (SELECT count(*) AS n, count(*) FILTER (ok_a = 1 AND ok_b = 0) AS x, count(*) FILTER (ok_a = 0 AND ok_b = 1) AS y FROM ab), z AS (SELECT n, abs(x - y) / sqrt(x + y) AS z FROM d)
+SELECT n, round(z, 10) AS z, round(1 - 2 / sqrt(pi()) * (SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z.z / sqrt(2) * i / 2000, 2))) FROM range(2001) AS r(i)) * (z.z / sqrt(2) / 2000) / 3, 10) AS p FROM z""",
+    "a22_single_passage": BASE + """SELECT gold, count(*) AS n, round(avg(ok_a), 10) AS recall_a, round(avg(ok_b), 10) AS recall_b, round(avg(ok_b) - avg(ok_a), 10) AS delta, CAST(sum(ok_b) - sum(ok_a) AS BIGINT) AS "rows"
+FROM ab JOIN f USING (row_id) WHERE CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' AND json_type(state, '$.evidence') = 'ARRAY' THEN json_array_length(state, '$.evidence') END = 1 GROUP BY gold""",
+    "a33_headroom": BASE + "SELECT count(*) AS n, count(*) FILTER (ok_a = 1) AS right_a, count(*) FILTER (ok_b = 1) AS right_b, count(*) FILTER (ok_a + ok_b > 0) AS either, count(*) FILTER (ok_a + ok_b = 0) AS neither FROM ab",
+    "a30_cost": """WITH l AS (SELECT line->>'$.key' AS key, try_cast(line->>'$.answer.usage.input_tokens' AS INT) AS tokens, ord FROM cache_lines WHERE json_valid(line)),
+k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) > 1 AS cached FROM l WHERE key IS NOT NULL)
+SELECT count(*) FILTER (NOT cached) AS live, count(*) FILTER (cached) AS cached, CAST(sum(CASE WHEN cached THEN 0 ELSE coalesce(tokens, 450) END) AS BIGINT) AS tokens, round(sum(CASE WHEN cached THEN 0 ELSE coalesce(tokens, 450) END) * (0.042::DOUBLE / 1e6), 10) AS usd FROM k""",
+    "a36_policy_terms": BASE + """, y AS (SELECT *, avg(ok) OVER (PARTITION BY model) AS base FROM b)
+SELECT model, round(avg(-least(greatest(ok - base, -1), 1) * ln(greatest(top, 1e-15))), 10) AS loss, round(any_value(base), 10) AS baseline, round(stddev_pop(ok), 10) AS reward_std, stddev_pop(ok) = 0 AS degenerate FROM y GROUP BY model""",
+    "f09_decision_rule": BASE + """, h AS (SELECT b.model, b.row_id, b.question_id, pn.label, pow(pn.pn, 1 / 1.5::DOUBLE) * CASE pn.label WHEN 'not_enough_info' THEN 1.2::DOUBLE WHEN 'refuted' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS x FROM b JOIN pn USING (model, row_id, question_id))
+SELECT model, row_id, question_id, label, round(x / sum(x) OVER (PARTITION BY model, row_id, question_id), 10) AS p FROM h""",
+    "f11_wordings": BASE + """, c AS (SELECT row_id, coalesce(CASE WHEN json_valid(state) THEN state->>'$.claim' END, state) AS claim, questions['verdict'].instructions AS wording FROM f),
+v AS (SELECT b.model AS m, b.row_id AS r, claim, wording FROM b JOIN c ON c.row_id = b.row_id WHERE b.question_id = 'verdict' AND wording IS NOT NULL),
+k AS (SELECT m, claim, wording, count(DISTINCT r) AS n FROM v GROUP BY ALL), y AS (SELECT m, claim, count(*) AS n FROM k GROUP BY ALL),
+x AS (SELECT v.m, v.claim, v.wording, pn.label, round(sum(pn.pn) / any_value(k.n), 10) AS p FROM v JOIN pn ON pn.model = v.m AND pn.row_id = v.r AND pn.question_id = 'verdict'
+  JOIN k ON k.m = v.m AND k.claim = v.claim AND k.wording = v.wording GROUP BY ALL)
+SELECT x.m AS model, md5(x.claim) AS claim, label, round(sum(p) / any_value(y.n), 8) AS p FROM x JOIN y ON y.m = x.m AND y.claim = x.claim GROUP BY x.m, x.claim, label""",
+    "f11_ensemble": BASE + """, w AS (SELECT b.row_id, b.question_id, b.gold, pn.label, round(sum(pn.pn) / count(DISTINCT b.model), 10) AS p FROM b JOIN pn USING (model, row_id, question_id) GROUP BY ALL)
+SELECT row_id, question_id, gold, arg_min(label, label) FILTER (p = mx) AS pred, round(max(mx), 10) AS top FROM (SELECT *, max(p) OVER (PARTITION BY row_id, question_id) AS mx FROM w) GROUP BY ALL""",
     "a13_selective_risk": BASE + """, k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY conf DESC) AS rk, count(*) OVER (PARTITION BY model) AS n FROM b)
 SELECT model, c AS target_coverage, round(min(conf), 10) AS threshold, count(*) AS selected, round(count(*) / max(n), 10) AS coverage, round(1 - avg(ok), 10) AS risk
 FROM k CROSS JOIN (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) AS v(c) WHERE rk <= ceil(c * n) GROUP BY model, c""",
