@@ -97,15 +97,15 @@ def _folded(sizes: DataFrame, key: str, seed: int, most: int, fold, schema: str,
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             rows, after = fold(pdf.sort_values(["h", "k"]), at)
-            end = pd.DataFrame([{"_state": None if after is None else [float(x) for x in after]}])
-            return pd.concat([rows.assign(_state=None), end], ignore_index=True)
-
-        done = materialize(part.drop("p").groupBy().applyInPandas(run, schema + ", _state array<double>"), "folded")
-        yield done.where("_state is null").drop("_state")
-        last = done.where("_state is not null").select("_state").first()
-        if last is None:
-            if part.isEmpty():
-                continue
+            end = pd.DataFrame([{"_end": True, "_state": None if after is None else [float(x) for x in after]}])
+            return pd.concat([rows.assign(_end=False, _state=None), end], ignore_index=True)
+
+        done = materialize(part.drop("p").groupBy().applyInPandas(run, schema + ", _end boolean, _state array<double>"), "folded")
+        yield done.where("not _end").drop("_end", "_state")
+        last = done.where("_end").select("_state").first()
+        if last is None:  # an empty range
+            continue
+        if last[0] is None:
             return
         state = list(last[0])
 

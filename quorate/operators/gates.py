@@ -144,7 +144,7 @@ def count_gate(rows: DataFrame, split: Column, expected: dict[str, int]) -> Data
     return both.select(F.concat(F.lit("count_"), "s").alias("code"), "n", F.col("want").cast("string").alias("sample"))
 
 
-def plan_gate(plan: DataFrame, allowed: list[str], eval_pairs: DataFrame, eval_states: DataFrame, share: tuple[float, float] = (0.1, 0.6)) -> DataFrame:
+def plan_gate(plan: DataFrame, allowed: list[str], eval_pairs: DataFrame, eval_states: DataFrame, share: tuple[float, float] = (0.1, 0.6), tolerance: float = 1e-6) -> DataFrame:
     """Failures of a labelled plan (state_key, schema_id, target): wordings not allowed, (state, wording) pairs or states of the evaluation, sums off 1, label balance."""
     from ..functions import dist
 
@@ -154,7 +154,7 @@ def plan_gate(plan: DataFrame, allowed: list[str], eval_pairs: DataFrame, eval_s
         _bad(plan.where(~F.col("schema_id").isin(allowed)), "wording_not_allowed", F.col("schema_id")),
         _bad(plan.join(eval_pairs.select("state_key", "schema_id").distinct(), ["state_key", "schema_id"], "left_semi"), "evaluated_pair", F.col("state_key")),
         _bad(plan.join(eval_states.select("state_key").distinct(), "state_key", "left_semi"), "evaluated_state", F.col("state_key")),
-        _bad(plan.where(F.abs(dist.total(F.col("target")) - 1) > 1e-6), "sum", F.col("state_key")),
+        _bad(plan.where(F.abs(dist.total(F.col("target")) - 1) > tolerance), "sum", F.col("state_key")),
         _bad(top.where(~F.col("share").between(*share)), "label_share", F.col("label")),
     ])
 

@@ -42,16 +42,16 @@ def accuracy(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("ok").cast("double")).alias("accuracy"))
 
 
-def ensemble(answers: DataFrame, by: list[str], voter: str) -> DataFrame:
+def ensemble(answers: DataFrame, by: list[str], voter: str, digits: int | None = 10) -> DataFrame:
     """(by, answer): the mean of the voters' answers (wordings of a question, or models), label by label; labels in their order by name.
 
-    A label that a voter doesn't have counts as 0 there.
+    A label that a voter doesn't have counts as 0 there. Rounded to digits, so that equal sums tie.
     """
     n = F.size(F.collect_set(voter)).alias("_n")
     voters = answers.groupBy(*by).agg(n)  # a few voters each
     long = answers.select(*by, F.explode("answer").alias("e")).groupBy(*by, F.col("e.label").alias("label")).agg(F.sum("e.p").alias("p"))
-    long = long.join(voters, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("label", F.round(F.col("p") / F.col("_n"), 10).alias("p")))).alias("answer"))
-    return long
+    mean = F.col("p") / F.col("_n") if digits is None else F.round(F.col("p") / F.col("_n"), digits)
+    return long.join(voters, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("label", mean.alias("p")))).alias("answer"))
 
 
 def losses(pairs: DataFrame, by: list[str]) -> DataFrame:

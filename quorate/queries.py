@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .registry import building, functions, metrics, nested, serving
+from .registry import building, functions, inputs, metrics, nested, serving
 
-AREAS = (nested, metrics, building, serving, functions)
+AREAS = (nested, metrics, building, serving, functions, inputs)
 
 
 def queries() -> dict:

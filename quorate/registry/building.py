@@ -11,10 +11,10 @@ from ..operators import chat, etl, gates, scoring
 from ..operators.metrics import accuracy
 from ..operators.pairing import first_by
 from ..plans import planning
-from ..plans.runtime import scratch_path, table
+from ..plans.runtime import materialize, scratch_path, table
 from ..sources import jsonl
 from ..streaming import caches
-from .metrics import BASE, GOLD, pairs, rounded
+from .metrics import BASE, GOLD, _ece, _edges, pairs, rounded
 from .nested import _EVIDENCE
 
 SPACE = ["supported", "refuted", "not_enough_info"]
@@ -32,7 +32,7 @@ def _one(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def _written(spark: SparkSession, d: str) -> DataFrame:
     """Rows written as JSON lines and read again, strictly."""
     path = scratch_path(spark, "rows")
-    rows = _fixture(spark, d).where("split is not null")
+    rows = _fixture(spark, d).where("split is not null")  # a row without a split is no decision row: reading it is an error
     jsonl.write_rows(rows, path)
     back = jsonl.read_rows(spark, path)
     space = F.array_join(F.map_keys(F.try_element_at("labels", F.lit("verdict"))), ",")
@@ -72,27 +72,6 @@ def _straddling(spark: SparkSession, d: str) -> DataFrame:
     return gates.straddling(_fixture(spark, d), "group_id", F.when(s.isin("dev", "validation"), "val").otherwise(s))
 
 
-def _pool(spark: SparkSession, d: str) -> DataFrame:
-    user = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
-    return table(spark, d, "sft_rows").select("row_id", "split", user.alias("user"), "group_id", F.get_json_object("meta", "$.gt_row_id").alias("gt_row_id"))
-
-
-def _gate(spark: SparkSession, d: str) -> DataFrame:
-    return gates.train_eval_gate(_pool(spark, d), _one(spark, d, "split", "state", "group_id"))
-
-
-def _audit(spark: SparkSession, d: str) -> DataFrame:
-    from .metrics import _gold, _preds
-
-    gold = _gold(spark, d, "split").where("question_id = 'verdict' and lower(trim(split)) in ('val', 'validation', 'dev', 'test')")
-    return gates.audit_input_gate(gold, _preds(spark, d).where("model = 'clf-large'"))
-
-
-def _chat_gate(spark: SparkSession, d: str) -> DataFrame:
-    val = _fixture(spark, d).where("lower(trim(split)) in ('val', 'test')")
-    return gates.chat_gate(table(spark, d, "sft_rows"), val.select("row_id"), table(spark, d, "sft_rows").where("false"), ["fc-c7"])
-
-
 def _plan(spark: SparkSession, d: str) -> DataFrame:
     rows = _one(spark, d, "state", "label_source", "labels").withColumn("label", dist.argmax(dist.from_map(F.try_element_at("labels", F.lit("verdict")))))
     states = rows.select(F.coalesce(F.get_json_object("state", "$.claim"), "state").alias("state_key"), "label", F.coalesce(F.lower(F.trim("label_source")) == "synthetic_oracle", F.lit(False)).alias("synthetic"))
@@ -102,7 +81,10 @@ def _plan(spark: SparkSession, d: str) -> DataFrame:
 
 def _calibrated(spark: SparkSession, d: str) -> DataFrame:
     rows = pairs(spark, d).where("model = 'clf-small'")
-    return rounded(cal.report(rows, {"verdict": cal.isotonic_knots(rows, "verdict")}, cal.fit_temperature(rows)))
+    rows = materialize(rows.select("row_id", "question_id", "gold", "target", "answer"), "pairs")  # read by the fits and three reports
+    grid = [0.5, 0.75, 1.0, 1.5, 2.0, 4.0]
+    best = min(cal.grid_losses(rows, [], grid).collect(), key=lambda r: (r.loss, r.t)).t
+    return rounded(cal.report(cal.refreshed(rows), {"verdict": cal.isotonic_knots(rows, "verdict")}, best))
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -211,9 +193,6 @@ QUERIES = {
     "m16_centroid_eval": centroid_eval,
     "j06_recovered_states": _recovered,
     "j09_without_carve": lambda s, d: etl.without_carve(table(s, d, "sft_rows"), etl.carve(_one(s, d, "group_id")), _fixture(s, d).where("lower(trim(split)) = 'val'")).select("row_id", "question_id"),
-    "g01_train_eval_gate": _gate,
-    "g02_audit_gate": _audit,
-    "g03_chat_gate": _chat_gate,
     "g05_straddling": _straddling,
     "g07_prompt_alignment": _same_prompts,
     "x01_event_windows": lambda s, d: rounded(caches.event_counts(table(s, d, "events"))),
@@ -243,6 +222,8 @@ q AS (SELECT vec_id, h.label AS gold, m.label AS label, -sum((x - m.m) * (x - m.
 s AS (SELECT vec_id, gold, label, exp(z - max(z) OVER (PARTITION BY vec_id)) AS x FROM q),
 a AS (SELECT vec_id, CAST(gold AS VARCHAR) AS gold, CAST(arg_max(label, x) AS VARCHAR) AS pred, round(max(x) / sum(x), 10) AS top FROM s GROUP BY vec_id, gold)"""
 SQL = {
+    "s01_jsonl_round_trip": """SELECT row_id, source, group_id, CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' THEN state->>'$.claim' END AS claim, coalesce(weight, 1.0) AS weight,
+  array_to_string(map_keys(labels['verdict']), ',') AS space, questions['verdict'].criteria IS NOT NULL AS criteria FROM (SELECT row_id, source, group_id, CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' THEN state ELSE '{}' END AS state, weight, labels, questions FROM fixture WHERE split IS NOT NULL)""",
     "s06_cache_last_write": _LAST,
     "s07_cache_stream": _LAST,
     "p02_question_text": f"""WITH {_ONE},
@@ -265,7 +246,8 @@ WHERE lower(trim(split)) = 'train'""",
     "w01_deduplicated": f"""WITH {_ONE},
 r AS (SELECT row_id, ord, {_NORM("coalesce(state->>'$.claim', '')")} AS c FROM o WHERE CASE WHEN {_OBJECT} THEN state->>'$.claim' IS NOT NULL ELSE false END),
 t AS (SELECT row_id, string_agg(DISTINCT t, chr(1) ORDER BY t) AS t FROM (SELECT e.row_id, {_NORM('e.text')} AS t FROM ({_EVIDENCE}) e JOIN r ON r.row_id = e.row_id AND r.ord = e.ord WHERE e.text IS NOT NULL) GROUP BY row_id),
-k AS (SELECT r.row_id, r.ord, c || chr(2) || coalesce(t, '') || (t IS NULL)::VARCHAR AS k FROM r LEFT JOIN t USING (row_id))
+k AS (SELECT r.row_id, r.ord, c || chr(2) || coalesce(t, '') || (t IS NULL)::VARCHAR AS k FROM r LEFT JOIN t USING (row_id)
+  UNION ALL SELECT row_id, ord, chr(3) || coalesce(nullif({_NORM("coalesce(state, '')")}, ''), chr(4) || row_id) FROM o WHERE row_id NOT IN (SELECT row_id FROM r))
 SELECT arg_min(row_id, ord) AS row_id, count(*) AS dup_count, coalesce(array_to_string((list(row_id ORDER BY ord))[2:], ','), '') AS dropped FROM k GROUP BY k""",
     "w04_every_kth": f"WITH {_ONE} SELECT row_id, CAST(floor(i / 3) AS BIGINT) % 5 AS variant FROM (SELECT row_id, row_number() OVER (ORDER BY ord) - 1 AS i FROM o) WHERE i % 3 = 0",
     "w07_length_batches": f"""WITH {_ONE} SELECT chunk, CAST(floor(b / 16) AS BIGINT) AS batch, count(*) AS n, min(l) AS least, max(l) AS most
@@ -287,6 +269,46 @@ SELECT component, CASE s WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END A
 SELECT group_id, CASE WHEN i < floor(n * 0.8::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM g""",
     "m09_within_budget": """SELECT ord FROM (SELECT ord, coalesce(sum(t) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
   SELECT ord, coalesce(CASE WHEN json_valid(line) THEN try_cast(line->>'$.answer.usage.input_tokens' AS INT) END, 450) AS t FROM cache_lines)) WHERE (s + 450) * (0.042::DOUBLE / 1e6) <= 0.003::DOUBLE""",
+    "m03_capped_groups": f"""WITH RECURSIVE {_ONE}, z AS (SELECT group_id, count(*) AS n FROM o GROUP BY group_id),
+y AS (SELECT group_id, n, row_number() OVER (ORDER BY md5(concat_ws(':', '42', group_id)), group_id) AS i FROM z),
+f(i, group_id, taken, got) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, false
+  UNION ALL SELECT y.i, y.group_id, CASE WHEN f.taken > 0 AND f.taken + n > 700 THEN f.taken ELSE f.taken + n END, NOT (f.taken > 0 AND f.taken + n > 700) FROM f JOIN y ON y.i = f.i + 1 WHERE f.taken < 700)
+SELECT o.row_id, o.group_id FROM o JOIN f ON f.got AND f.group_id IS NOT DISTINCT FROM o.group_id ORDER BY ord LIMIT 700""",
+    "m08_quota_plan": f"""WITH RECURSIVE {_ONE},
+v AS (SELECT row_id, arg_min(label, pos) FILTER (p = mx) AS label FROM (SELECT row_id, pos, e.key AS label, e.value AS p, max(e.value) OVER (PARTITION BY row_id) AS mx FROM (
+  SELECT row_id, unnest(map_entries(labels['verdict'])) AS e, generate_subscripts(map_entries(labels['verdict']), 1) AS pos FROM o)) GROUP BY row_id),
+x AS (SELECT coalesce(CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' THEN state->>'$.claim' END, state) AS k, label, coalesce(lower(trim(label_source)) = 'synthetic_oracle', false) AS made FROM o LEFT JOIN v USING (row_id)),
+s AS (SELECT k, arg_min(label, (made, p)) AS label, arg_min(made, (made, p)) AS made FROM (SELECT *, list_position(['supported', 'refuted', 'not_enough_info'], label) AS p FROM x WHERE k IS NOT NULL) WHERE p IS NOT NULL GROUP BY k),
+q(i, label, open, wm, pm, wf, pf) AS (
+  SELECT 0, NULL::VARCHAR, (SELECT count(*) FROM x) // 3, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT
+  UNION ALL SELECT i + 1, n.label, q.open - a.m - b.f, a.m, least(3, greatest(1, ceil(a.m / greatest(n.made, 1))))::BIGINT, b.f, least(6, greatest(1, ceil((c.part - a.m) / greatest(n.found, 1))))::BIGINT
+  FROM q JOIN (SELECT list_position(['supported', 'refuted', 'not_enough_info'], label) AS p, label, count(*) FILTER (made) AS made, count(*) FILTER (NOT made) AS found FROM s GROUP BY label) n ON n.p = q.i + 1,
+    LATERAL (SELECT q.open // (3 - q.i) AS part) c, LATERAL (SELECT least(round_even(c.part * 0.1::DOUBLE, 0)::BIGINT, n.made * 3) AS m) a, LATERAL (SELECT least(c.part - a.m, n.found * 6) AS f) b),
+w AS (SELECT label, true AS made, wm AS want, pm AS per FROM q WHERE i > 0 UNION ALL SELECT label, false, wf, pf FROM q WHERE i > 0),
+r AS (SELECT s.k, s.label, s.made, want, per, row_number() OVER (PARTITION BY s.label, s.made ORDER BY md5('42:' || s.k), s.k) - 1 AS i FROM s JOIN w USING (label, made))
+SELECT label, made AS synthetic, 'fc-c' || ((i + j) % 6) AS schema_id, count(*) AS n FROM r, range(6) AS t(j) WHERE j < per AND i * per + j < want GROUP BY ALL""",
+    "m11_cached_answers": f"""WITH {_ONE} SELECT question_id, question_id = 'backed' AS cached, count(*) AS n, count(*) AS whole FROM (SELECT row_id, e.key AS question_id FROM (SELECT row_id, state, unnest(map_entries(questions)) AS e FROM o)) GROUP BY ALL""",
+    "m14_calibration": BASE + """, pt AS (SELECT b.row_id, b.question_id, pn.label, pn.pos, pn.pn AS p, coalesce(gn.yn, 0) AS y FROM b JOIN pn ON pn.model = b.model AND pn.row_id = b.row_id AND pn.question_id = b.question_id
+  LEFT JOIN gn ON gn.row_id = b.row_id AND gn.question_id = b.question_id AND gn.label = pn.label WHERE b.model = 'clf-small'),
+gl2 AS (SELECT gn.row_id, gn.question_id, gn.label, gn.yn FROM gn JOIN b USING (row_id, question_id) WHERE b.model = 'clf-small'),
+hot AS (SELECT row_id, question_id, label, v.t, pow(greatest(p, 1e-15), 1 / v.t) AS x FROM pt, (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) AS v(t)),
+hn AS (SELECT *, x / sum(x) OVER (PARTITION BY row_id, question_id, t) AS q FROM hot),
+ce AS (SELECT t, -sum(g.yn * ln(greatest(coalesce(hn.q, 0), 1e-15))) AS ce FROM gl2 g JOIN hn USING (row_id, question_id, label) GROUP BY t),
+best AS (SELECT arg_min(t, (ce, t)) AS t FROM ce),
+s1 AS (SELECT round(p * 4096) / 4096 AS x, sum(y) AS y, count(*) AS n FROM pt WHERE question_id = 'verdict' AND p > 0 GROUP BY ALL),
+s2 AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM s1), c2 AS (SELECT *, sum(y) OVER (ORDER BY i) AS cy, sum(n) OVER (ORDER BY i) AS cn FROM s2),
+v2 AS (SELECT a.i AS j, z.i AS k, (z.cy - a.cy + a.y) / (z.cn - a.cn + a.n) AS v FROM c2 a JOIN c2 z ON z.i >= a.i), m2 AS (SELECT j, k, min(v) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM v2),
+fit AS (SELECT x, max(m) AS y, s2.i FROM s2 JOIN m2 ON m2.k = s2.i AND m2.j <= s2.i GROUP BY ALL),
+lo AS (SELECT pt.*, f.x AS x0, f.y AS y0, f.i FROM pt ASOF LEFT JOIN fit f ON pt.p >= f.x WHERE question_id = 'verdict'),
+mp AS (SELECT row_id, question_id, label, pos, lo.y AS y, CASE WHEN p <= 0 THEN p WHEN x0 IS NULL THEN (SELECT arg_min(y, x) FROM fit) WHEN h.x IS NULL THEN y0 ELSE y0 + (h.y - y0) * (p - x0) / (h.x - x0) END AS q, p FROM lo LEFT JOIN (SELECT i - 1 AS i, x, y FROM fit) h USING (i)),
+al AS (SELECT 'none' AS method, row_id, question_id, pos, y, p AS q FROM pt
+  UNION ALL SELECT 'temperature', row_id, question_id, pos, y, pow(p, 1 / best.t) FROM pt, best
+  UNION ALL SELECT 'isotonic', row_id, question_id, pos, y, CASE WHEN sum(q) OVER w > 0 THEN q ELSE (p > 0)::INT END FROM mp WINDOW w AS (PARTITION BY row_id) UNION ALL SELECT 'isotonic', row_id, question_id, pos, y, p FROM pt WHERE question_id <> 'verdict'),
+an AS (SELECT *, q / sum(q) OVER w AS z FROM al WINDOW w AS (PARTITION BY method, row_id, question_id)),
+tp AS (SELECT method, row_id, question_id, max(z) AS top, arg_min(y, pos) FILTER (z = mx) AS mass FROM (SELECT *, max(z) OVER (PARTITION BY method, row_id, question_id) AS mx FROM an) GROUP BY ALL)
+""" + _ece("tp", "method", "top", "mass", _edges("top", True), "ece_soft"),
+    "x01_event_window_stream": """SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 10) AS total FROM events GROUP BY ALL
+HAVING time_bucket(INTERVAL '1 hour', any_value(ts)) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes'""",
     "m12_temperature_grid": BASE + """, hot AS (SELECT model, row_id, question_id, label, v.t, pow(greatest(pn, 1e-15), 1 / v.t) AS x FROM pn CROSS JOIN (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE), (4.0::DOUBLE)) AS v(t)),
 hn AS (SELECT *, x / sum(x) OVER (PARTITION BY model, row_id, question_id, t) AS q FROM hot),
 ce AS (SELECT t.model, t.row_id, t.question_id, hn.t, -sum(yn * ln(greatest(hn.q, 1e-15))) AS ce FROM t JOIN hn ON hn.model = t.model AND hn.row_id = t.row_id AND hn.question_id = t.question_id AND hn.label = t.label GROUP BY ALL)

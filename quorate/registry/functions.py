@@ -241,6 +241,7 @@ tree AS (SELECT row_id, string_agg(fullkey || '=' || coalesce(atom::VARCHAR, typ
   UNION ALL SELECT row_id, state FROM st WHERE j IS NULL)
 SELECT min(row_id) AS row_id, count(*) AS n FROM tree GROUP BY key HAVING count(*) > 1"""
 SQL = {
+    "p05_state_text": f"WITH {STATES} SELECT row_id, sha256(text) AS text FROM tx",
     "p05_premise": f"WITH {STATES} SELECT row_id, md5(coalesce(premise, '')) AS premise FROM tx WHERE claim IS NOT NULL",
     "p06_option_texts": f"WITH {OPTIONS} SELECT row_id, question_id, CAST(i - 1 AS INTEGER) AS place, md5(trim(t) || chr(10) || label || coalesce(': ' || nullif(d, ''), '')) AS text FROM op",
     "p10_claim_evidence": f"""WITH {STATES}, tt AS (SELECT row_id, CASE json_type(e) WHEN 'OBJECT' THEN e->>'$.text' WHEN 'VARCHAR' THEN e->>'$' END AS t, i FROM el)

@@ -57,10 +57,10 @@ def _wordings(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "fixture").where("row_id is not null").groupBy("row_id").agg(F.min_by(F.struct("state", "questions"), "ord").alias("r"))
     rows = rows.select("row_id", F.coalesce(F.get_json_object("r.state", "$.claim"), "r.state").alias("claim"), F.try_element_at("r.questions", F.lit("verdict"))["instructions"].alias("wording"))
     answers = pairs(spark, d).where("question_id = 'verdict'").join(rows.where("wording is not null"), "row_id")
-    per = m.ensemble(answers, ["model", "claim", "wording"], "row_id").withColumn("answer", F.col("answer"))
-    mean = m.ensemble(per, ["model", "claim"], "wording")
+    per = m.ensemble(answers, ["model", "claim", "wording"], "row_id", None)
+    mean = m.ensemble(per, ["model", "claim"], "wording", None)
     out = mean.select("model", F.md5("claim").alias("claim"), F.explode("answer").alias("e"))
-    return rounded(out.select("model", "claim", "e.label", F.round("e.p", 8).alias("p")))
+    return rounded(out.select("model", "claim", "e.label", F.round("e.p", 10).alias("p")))
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
@@ -343,9 +343,9 @@ SELECT model, row_id, question_id, label, round(x / sum(x) OVER (PARTITION BY mo
     "f11_wordings": BASE + """, c AS (SELECT row_id, coalesce(CASE WHEN json_valid(state) THEN state->>'$.claim' END, state) AS claim, questions['verdict'].instructions AS wording FROM f),
 v AS (SELECT b.model AS m, b.row_id AS r, claim, wording FROM b JOIN c ON c.row_id = b.row_id WHERE b.question_id = 'verdict' AND wording IS NOT NULL),
 k AS (SELECT m, claim, wording, count(DISTINCT r) AS n FROM v GROUP BY ALL), y AS (SELECT m, claim, count(*) AS n FROM k GROUP BY ALL),
-x AS (SELECT v.m, v.claim, v.wording, pn.label, round(sum(pn.pn) / any_value(k.n), 10) AS p FROM v JOIN pn ON pn.model = v.m AND pn.row_id = v.r AND pn.question_id = 'verdict'
+x AS (SELECT v.m, v.claim, v.wording, pn.label, sum(pn.pn) / any_value(k.n) AS p FROM v JOIN pn ON pn.model = v.m AND pn.row_id = v.r AND pn.question_id = 'verdict'
   JOIN k ON k.m = v.m AND k.claim = v.claim AND k.wording = v.wording GROUP BY ALL)
-SELECT x.m AS model, md5(x.claim) AS claim, label, round(sum(p) / any_value(y.n), 8) AS p FROM x JOIN y ON y.m = x.m AND y.claim = x.claim GROUP BY x.m, x.claim, label""",
+SELECT x.m AS model, md5(x.claim) AS claim, label, round(sum(p) / any_value(y.n), 10) AS p FROM x JOIN y ON y.m = x.m AND y.claim = x.claim GROUP BY x.m, x.claim, label""",
     "f11_ensemble": BASE + """, w AS (SELECT b.row_id, b.question_id, b.gold, pn.label, round(sum(pn.pn) / count(DISTINCT b.model), 10) AS p FROM b JOIN pn USING (model, row_id, question_id) GROUP BY ALL)
 SELECT row_id, question_id, gold, arg_min(label, label) FILTER (p = mx) AS pred, round(max(mx), 10) AS top FROM (SELECT *, max(p) OVER (PARTITION BY row_id, question_id) AS mx FROM w) GROUP BY ALL""",
     "a13_selective_risk": BASE + """, k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY conf DESC) AS rk, count(*) OVER (PARTITION BY model) AS n FROM b)

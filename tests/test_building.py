@@ -163,8 +163,12 @@ def test_loaders(spark, label_map):
 def test_deduplication(fixture_rows, state):
     rows = [{"row_id": "a", "state": state("The Claim!", "One.", "two")}, {"row_id": "b", "state": state("the  claim", "TWO", "one", "one")}, {"row_id": "c", "state": state("the claim", "one")}, {"row_id": "d", "state": state("The claim", "two", "ONE")}]
     for table in (fixture_rows(rows), fixture_rows(rows).repartition(5)):
-        out = {r.row_id: (r.dup_count, r.dropped_row_ids) for r in etl.deduplicated(table, etl.dedupe_key(F.col("state"))).collect()}
+        out = {r.row_id: (r.dup_count, r.dropped_row_ids) for r in etl.deduplicated(table, etl.dedupe_key(F.col("state"), F.col("row_id"))).collect()}
         assert out == {"a": (3, ["b", "d"]), "c": (None, None)}
+    same = [dict(rows[0], row_id=r, ord=o) for r, o in (("y", 1), ("x", 1), ("z", 2))]  # equal order: one survivor, by id
+    blank = [{"row_id": f"n{k}", "state": s, "ord": 9} for k, s in enumerate([None, "", "?!", "Some Text", "some  text"])]
+    got = {r.row_id: r.dropped_row_ids for r in etl.deduplicated(fixture_rows(same + blank), etl.dedupe_key(F.col("state"), F.col("row_id"))).collect()}
+    assert got == {"x": ["y", "z"], "n0": None, "n1": None, "n2": None, "n3": ["n4"]}
 
 
 def test_splits_and_caps(spark):
@@ -173,7 +177,9 @@ def test_splits_and_caps(spark):
     total = {s: sum(1 + k % 5 for k in range(60) if split[f"g{k}"] == s) for s in ("train", "val", "test")}
     assert len(split) == 60 and abs(total["train"] - 144) <= 5 and abs(total["val"] - 18) <= 5
     rows = spark.createDataFrame([(f"g{k}", k * 10 + j) for k in range(20) for j in range(1 + k % 4)], "group_id string, ord long")
+    assert {r.component: r.split for r in etl.greedy_splits(sizes, most=7).collect()} == split  # in nine ranges, each of seven or so
     capped = etl.capped_groups(rows, 17).collect()
+    assert sorted(etl.capped_groups(rows, 17, at_once=3).collect()) == sorted(capped)
     assert len(capped) <= 17 and all(sum(r.group_id == g for r in capped) == 1 + int(g[1:]) % 4 for g in {r.group_id for r in capped})
     assert etl.capped_groups(rows, 1000).count() == rows.count()
     big = spark.createDataFrame([("g", k) for k in range(9)], "group_id string, ord long")
@@ -189,10 +195,11 @@ def test_planning(spark):
     s = planning.schema_splits(schemas)
     assert [x for x in s if s[x] == "val"] == ["c6"] and [x for x in s if s[x] == "test"] == ["c7"]
     states = spark.createDataFrame([(f"{label}{k}", label, k % 4 == 0) for label, n in (("a", 8), ("b", 100), ("c", 100)) for k in range(n)], "state_key string, label string, synthetic boolean")
-    plan, stats = planning.quota_plan(states, ["s1", "s2", "s3"], ["a", "b", "c"], 150)
-    got = plan.collect()
-    assert len(got) == len({(r.state_key, r.schema_id) for r in got}) == sum(x["planned"] for x in stats)
-    assert stats[0]["planned"] < 50 and stats[1]["quota"] == (150 - stats[0]["planned"]) // 2 and sum(x["planned"] for x in stats) == 150
+    twice = spark.createDataFrame([("a1", "b", False), ("b1", "b", True), ("b1", "c", False)], states.schema)  # under two labels, found and synthetic
+    got = planning.quota_plan(states.unionByName(twice), ["s1", "s2", "s3"], ["a", "b", "c"], 150).collect()
+    assert len(got) == len({(r.state_key, r.schema_id) for r in got}) == 150
+    planned = [sum(r.label == x for r in got) for x in "abc"]
+    assert planned[0] < 50 and planned[1] == (150 - planned[0]) // 2
     rows = spark.createDataFrame([(k, 100) for k in range(50)], "ord long, tokens int")
     kept = planning.within_budget(rows, 1000.0, price=1.0, block=7)
     assert sorted(r.ord for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
@@ -226,9 +233,9 @@ def test_train_eval_gate(gate, state):
     assert run([{"group_id": "ge"}]) == {"same_group"} and run([{"gt": "e1"}]) == {"same_ground_truth_row"} and run([{"row_id": "e1"}]) == {"same_ground_truth_row"}
     assert run([]) == {"empty_pool"} and run([{}], base[1:]) == {"no_protected_rows"}
     assert run([{"split": "val"}]) == {"not_train"} and run([{"user": "no state"}]) == {"unparsed_prompt"}
-    assert run([{}], base + [{"row_id": "e3", "split": "val", "state": "nothing"}]) == {"unparsed_state"}
-    assert run([{}], base + [{"row_id": "e3", "split": "dump", "state": state("x", "y")}]) == {"unknown_split"}
-    assert run([{}], base + [{"row_id": "e3", "split": "test", "state": state("no evidence")}]) == set()
+    assert run([{}], base + [{"row_id": "e3", "split": "val", "group_id": "g3", "state": "nothing"}]) == {"unparsed_state"}
+    assert run([{}], base + [{"row_id": "e3", "split": "dump", "group_id": "g3", "state": state("x", "y")}]) == {"unknown_split"}
+    assert run([{}], base + [{"row_id": "e3", "split": "test", "group_id": "g3", "state": state("no evidence")}]) == set()
     with pytest.raises(ValueError, match="x: 1"):
         gates.check(SparkLike())
 
@@ -295,3 +302,48 @@ def test_every_record_meets_every_extra_question(spark):
     assert found.columns == ["row_id", "state", "schema_id", "kind", "instructions", "criteria"]
     assert found.distinct().count() == 2400
     assert chat.multi_question(rows, schemas.where("false")).count() == 0
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps({"row_id": f"b{k}", "question_id": "q", "probs": {"x": 1.0}}) for k in range(50)) + "\n")
+    (tmp_path / "a.jsonl").write_text("\n" + json.dumps({"row_id": "a0", "question_id": "q", "probs": {"x": 1.0}}) + "\n")
+    found = jsonl.lines(spark, [str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")]).orderBy("ord").collect()
+    assert [(r.file, r.line) for r in found] == [("a.jsonl", 2)] + [("b.jsonl", k + 1) for k in range(50)]
+    assert [r.row_id for r in jsonl.read_predictions(spark, str(tmp_path / "*.jsonl")).orderBy("ord").limit(2).collect()] == ["a0", "b0"]
+    (tmp_path / "c.jsonl").write_text("\n\nnot json\n")
+    with pytest.raises(Exception, match="c.jsonl:3:not json"):
+        jsonl.read_predictions(spark, str(tmp_path / "c.jsonl")).collect()
+
+
+def test_budgets_are_checked_before_and_after(spark, tmp_path):
+    rows = spark.createDataFrame([(k, 100) for k in range(50)], "ord long, tokens int")
+    assert planning.affordable(rows, 1.0).count() == 50
+    with pytest.raises(ValueError, match="budget"):
+        planning.affordable(rows, 1e-9)
+    with pytest.raises(ValueError, match="6 of 50"):
+        planning.written_within_budget(rows, str(tmp_path / "out"), 1000.0, price=1.0)
+    assert not (tmp_path / "out").exists()
+    assert planning.written_within_budget(rows, str(tmp_path / "out"), 10000.0, price=1.0) == 50
+    history = spark.createDataFrame([(h,) for h in ([3.0, 2.0, 2.0, 2.0], [1.0], [], [1.0, 0.5, 0.49999, 0.6, 0.4], [1.0, 2.0, 2.0, 0.1])], "h array<double>")
+    got = [r[0] for r in history.select(planning.stopping_epoch(F.col("h"), 2)).collect()]
+    assert got == [planning.stopped_at(r.h, 2) for r in history.collect()] == [3, None, None, 3, 2]
+
+
+def test_shared_folder_is_never_local_on_a_cluster(spark, monkeypatch):
+    from quorate.plans import runtime
+
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Fake)
+    import os
+
+    with runtime.scratch_scope():
+        path = runtime.materialize(spark.range(3), "scoped").inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

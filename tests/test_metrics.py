@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quorate.functions import dist
 from quorate.operators import calibration as cal
 from quorate.operators import metrics as m
+from quorate.operators import pairing, reports
 from quorate.operators import significance as sig
 from quorate.operators.pairing import coverage, exact_pairs, gold_labels, last_predictions, paired, problems, strict_unique
 
@@ -162,3 +163,29 @@ def test_calibration(make):
     got = {r.method: r.ece_soft for r in cal.report(rows, {"v": knots}, t).collect()}
     assert got["temperature"] < got["none"] and got["isotonic"] < got["none"]
     assert cal.isotonic_knots(rows.where("false"), "v") == [(0.0, 0.0), (1.0, 1.0)] and cal.fit_temperature(rows.where("false")) in (1.0, 1)
+
+
+def test_duplicate_answers_and_keys_of_one_side_are_errors(spark):
+    gold = spark.createDataFrame([("a", "q", [("x", 1.0), ("y", 0.0)], "x")], "row_id string, question_id string, target array<struct<label:string,p:double>>, gold string")
+    form = "row_id string, question_id string, model string, raw array<struct<label:string,p:double>>, confidence double"
+    one, other = ("a", "q", "m", [("x", 0.5), ("y", 0.5)], None), ("b", "q", "m", [("x", 1.0)], None)
+    assert pairing.paired(gold, spark.createDataFrame([one], form)).count() == 1
+    with pytest.raises(Exception, match="duplicate answer"):  # even if no gold asks for it
+        pairing.paired(gold, spark.createDataFrame([one, other, other], form)).count()
+    assert pairing.exact_three(gold, spark.createDataFrame([one], form), spark.createDataFrame([one], form)).count() == 1
+    with pytest.raises(Exception, match="answer without gold: b"):
+        pairing.exact_three(gold, spark.createDataFrame([one], form), spark.createDataFrame([one, other], form)).collect()
+    with pytest.raises(Exception, match="duplicate arm"):
+        reports.arms(spark.createDataFrame([("x/preds_a.jsonl",), ("y/a.json",)], "file string")).collect()
+
+
+def test_running_sums_equal_a_sort(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [("m", round(rng.random() ** 3, 4), rng.randint(0, 1)) for _ in range(3000)] + [("k", 0.5, 1)]
+    per = spark.createDataFrame(rows, "model string, v double, ok int").groupBy("model", "v").agg(F.count(F.lit(1)).alias("m"), F.sum("ok").alias("hits"))
+    got = m.below(per, ["model"], "v", ["m", "hits"], ranges=16).collect()
+    for r in got:
+        own = [(v, ok) for g, v, ok in rows if g == r.model]
+        assert (r.below_m, r.below_hits, r.all_m) == (sum(v < r.v for v, _ in own), sum(ok for v, ok in own if v < r.v), len(own))
