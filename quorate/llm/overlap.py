@@ -1,4 +1,4 @@
-"""Cross-split overlaps: an index of the evaluation records' rarest words, an exact prefix filter and an exact check."""
+"""Cross-split overlaps: a compressed full-text index of the evaluation records, searched backwards for maximal matches."""
 
 from __future__ import annotations
 
@@ -18,15 +18,14 @@ from .text import WordHash, content_of, words_of
 class Params:
     """threshold: least Jaccard similarity of the distinct words.
 
-    min_match: words of a maximal match at least, in the report of a pair; it takes no part in
-    finding pairs. shard_words: words of evaluation text in one index. hits: places looked at
-    together, a bound on memory only. bits has no effect any more: it was the size of a filter.
+    min_match: words of a maximal match at least to be counted in the report of a pair.
+    shard_words: words of evaluation text in one index. hits: places looked at together, a
+    bound on memory only.
     """
 
     threshold: float = 0.6
     min_match: int = 8
     shard_words: int = 3_000_000
-    bits: int = 27
     hits: int = 500_000
 
 
@@ -92,14 +91,14 @@ def rarest(rec: np.ndarray, word: np.ndarray, often: np.ndarray, sizes: np.ndarr
     return rec[keep], word[keep], left[keep], sizes[rec[keep]]
 
 
-def build_index(ids: list[str], docs: list[np.ndarray], p: Params, runs: bool = True) -> dict[str, np.ndarray]:
+def build_index(ids: list[str], docs: list[np.ndarray], p: Params) -> dict[str, np.ndarray]:
     """The arrays of one index; records of equal word sequences share a text and are listed in `owners`.
 
-    Symbols 0..D-1 end the D texts, the others are words in the order of `vocab`. `post_*`
-    lists, by word and size of the text, the texts that have the word among their rarest, and
-    the distinct words of the text from it on. With runs, `occ` holds, symbol by symbol, the
-    places of each word in the Burrows-Wheeler transform, ascending and delta-coded: with the
-    symbol's first suffix it is all that a backward step over runs of words needs.
+    Symbols 0..D-1 end the D texts, the others are words in the order of `vocab`. `occ` holds,
+    symbol by symbol, the places of each word in the Burrows-Wheeler transform, ascending and
+    delta-coded; neither the texts nor their suffixes are kept. `row_doc` is the text of each
+    suffix. `post_*` lists, for each word's range of suffixes, the texts that have the word
+    among their rarest, by size, and the distinct words of the text from it on.
     """
     by: dict[bytes, list[int]] = {}
     for k, x in enumerate(docs):
@@ -112,45 +111,50 @@ def build_index(ids: list[str], docs: list[np.ndarray], p: Params, runs: bool =
     start = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
     text = np.zeros(start[-1], np.int64)
     ends = start[1:] - 1
-    word = np.ones(len(text), bool)
-    word[ends] = False
-    text[word] = symbols + d
+    inner = np.ones(len(text), bool)
+    inner[ends] = False
+    text[inner] = symbols + d
     text[ends] = np.arange(d)
+    sa = suffix_array(text).astype(np.int64)
+    bwt = text[sa - 1]
+    order = np.argsort(bwt, kind="stable")
+    occ = order[bwt[order] >= d]
+    row_doc = np.repeat(np.arange(d, dtype=np.int32), sizes + 1)[sa]
     keys = np.unique((np.repeat(np.arange(d), sizes).astype(np.int64) << 32) | symbols)
-    made = {}
-    if runs:
-        sa = suffix_array(text)
-        bwt = text[sa.astype(np.int64) - 1]
-        order = np.argsort(bwt, kind="stable")
-        occ = order[bwt[order] >= d]
-        made = {"sa": sa, "occ": np.diff(occ, prepend=0).astype(np.int32)}
     doc, word = keys >> 32, keys & 0xFFFFFFFF
     doc, word, left, size = rarest(doc, word, np.bincount(word, minlength=len(vocab)), np.bincount(doc, minlength=d), p.threshold)
     order = np.lexsort((size, word))
     return {
-        "vocab": vocab, "text": text.astype(np.uint32), "start": start,
-        "set_doc": (keys >> 32).astype(np.int32), "set_word": (keys & 0xFFFFFFFF).astype(np.int32),
+        "vocab": vocab, "counts": np.bincount(symbols, minlength=len(vocab)).astype(np.int64), "occ": np.diff(occ, prepend=0).astype(np.int32), "row_doc": row_doc,
+        "set_size": np.bincount(keys >> 32, minlength=d).astype(np.int32), "often": np.bincount(keys & 0xFFFFFFFF, minlength=len(vocab)).astype(np.int32),
         "post_word": word[order].astype(np.int32), "post_doc": doc[order].astype(np.int32), "post_left": left[order].astype(np.int32),
         "owner_doc": np.repeat(np.arange(d, dtype=np.int32), [len(v) for v in by.values()]) if d else np.zeros(0, np.int32),
-        "owners": np.array([ids[k] for v in by.values() for k in v], object), **made,
+        "owners": np.array([ids[k] for v in by.values() for k in v], object),
     }
 
 
 class Index:
-    """A loaded index: symbol lookup, texts by their rarest words and, where it was built with runs, backward search."""
+    """A loaded index: ranges of suffixes by backward steps, texts by their rarest words, and steps back from single suffixes."""
 
     def __init__(self, a: dict[str, np.ndarray]):
-        self.vocab, self.start, self.text = a["vocab"], a["start"], a["text"]
-        self.docs = d = len(self.start) - 1
-        if "occ" in a:
-            counts = np.bincount(self.text, minlength=d + len(self.vocab))[d:]
-            self.keys = (np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(32)) | np.cumsum(a["occ"], dtype=np.int64).astype(np.uint64)
-            self.first = d + np.concatenate([[0], np.cumsum(counts)])
-        self.set_word = a["set_word"]
-        self.set_at = np.searchsorted(a["set_doc"], np.arange(d + 1))
-        self.often = np.bincount(self.set_word, minlength=len(self.vocab))
+        self.vocab, self.set_size, self.often = a["vocab"], a["set_size"], a["often"]
+        self.docs = d = len(self.set_size)
+        counts, self.occ = a["counts"], np.cumsum(a["occ"], dtype=np.int64)
+        #: The suffixes that begin with word s are first[s] .. first[s + 1].
+        self.first = d + np.concatenate([[0], np.cumsum(counts)])
+        rows = d + len(self.occ)
+        # One step back from a suffix: the word before it, and the suffix that begins with that word.
+        self.before = np.full(rows, -1, np.int32)
+        self.before[self.occ] = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.back = np.zeros(rows, np.int32)
+        self.back[self.occ] = np.arange(d, rows, dtype=np.int32)
+        # The suffixes of a word in one text: those of the word's range, by text.
+        word = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+        key = word << 32 | a["row_doc"][d:].astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        self.in_doc, self.in_doc_row = key[order], (order + d).astype(np.int32)
         self.post_doc, self.post_left = a["post_doc"], a["post_left"]
-        self.post_size = np.diff(self.set_at)[self.post_doc]
+        self.post_size = self.set_size[self.post_doc].astype(np.int64)
         self.post_key = a["post_word"].astype(np.int64) << 32 | self.post_size
         self.owners, self.owner_at = a["owners"], np.searchsorted(a["owner_doc"], np.arange(d + 1))
 
@@ -163,8 +167,9 @@ class Index:
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the suffixes that start with symbol followed by those of [lo, hi)."""
-        s = symbol.astype(np.uint64) << np.uint64(32)
-        return self.docs + np.searchsorted(self.keys, s | lo.astype(np.uint64)), self.docs + np.searchsorted(self.keys, s | hi.astype(np.uint64))
+        key = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first)) << 32 | self.occ
+        s = symbol.astype(np.int64) << 32
+        return self.docs + np.searchsorted(key, s | lo), self.docs + np.searchsorted(key, s | hi)
 
 
 def _flat_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +182,7 @@ def _flat_ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Batch:
     """Records to be searched for: what doesn't depend on an index is computed once."""
 
+
     def __init__(self, values: np.ndarray, offsets: np.ndarray):
         self.offsets, self.sizes, n = offsets, np.diff(offsets), len(offsets) - 1
         self.rec = np.repeat(np.arange(n, dtype=np.int64), self.sizes)
@@ -184,22 +190,27 @@ class Batch:
         self.distinct_key = np.unique((self.rec << 32) | self.word)
         self.distinct = np.bincount(self.distinct_key >> 32, minlength=n)
 
+
 def search(index: Index, batch: Batch, p: Params):
-    """Verified pairs of the batch's records with the texts of one index.
+    """Pairs of the batch's records with the texts of one index that reach the threshold.
 
-    Returns record, text, similarity, and of the pair's maximal matches the number, the words
-    covered after merging, and the longest. Two sets of the threshold share one of the rarest
-    words of each, and from their first common word on both have as many words left as they
-    must share; all texts that meet this are verified, however many hold the word. A record
-    can only have a partner where the index knows enough of its words.
+    Returns record, text, similarity, and of the pair's maximal matches of min_match words or
+    more the number, the words covered after merging, and the longest.
+
+    Two sets of the threshold share one of the rarest words of each, and from their first
+    common word on both have as many words left as they must share. So the search starts at
+    the suffixes of a record's rarest words; all texts in their ranges that meet this are
+    candidates, however many. From every word that record and candidate share the search goes
+    on backwards to maximal matches; the distinct words under the merged matches are what the
+    two have in common. A record can only have a partner where the index knows enough of its words.
     """
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if not len(batch.word) or not index.docs:
         return none
+    t = p.threshold
     symbol = index.symbols(batch.vocab)
     known = np.bincount(batch.distinct_key >> 32, weights=symbol[batch.distinct_key & 0xFFFFFFFF] >= 0, minlength=len(batch.sizes))
-    able = known >= p.threshold * batch.distinct - 1e-9
-    t = p.threshold
+    able = known >= t * batch.distinct - 1e-9
     rec, word = batch.distinct_key >> 32, symbol[batch.distinct_key & 0xFFFFFFFF]
     keep = (word >= 0) & able[rec]
     rec, word, left, size = rarest(rec[keep], word[keep], index.often, batch.distinct, t)
@@ -216,56 +227,55 @@ def search(index: Index, batch: Batch, p: Params):
         keep = np.minimum(index.post_left[flat], left[own]) >= least_common(t, index.post_size[flat], size[own])
         pairs.append(np.unique(rec[own[keep]] << 32 | index.post_doc[flat[keep]]))
     pair = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-    out = [_verify(index, batch, symbol, pair[k : k + 50_000], p) for k in range(0, len(pair), 50_000)]
-    if not out:
-        return none
-    r, d, similarity = (np.concatenate(x) for x in zip(*out))
-    return r, d, similarity, *_maximal(index, batch, symbol, r, d, p.min_match)
-
-
-def _verify(index: Index, batch: Batch, symbol: np.ndarray, pair: np.ndarray, p: Params):
     r, d = pair >> 32, pair & 0xFFFFFFFF
-    distinct = batch.distinct
-    size = index.set_at[d + 1] - index.set_at[d]
-    ok = np.minimum(size, distinct[r]) >= p.threshold * np.maximum(size, distinct[r]) - 1e-9
-    r, d, size = r[ok], d[ok], size[ok]
-    first = np.searchsorted(batch.distinct_key, r << 32)
-    flat, own = _flat_ranges(first, first + distinct[r])
-    sym = symbol[batch.distinct_key[flat] & 0xFFFFFFFF]
-    own, sym = own[sym >= 0], sym[sym >= 0]
-    docs, at = np.unique(d, return_inverse=True)
-    flat, of = _flat_ranges(index.set_at[docs], index.set_at[docs + 1])
-    have = of.astype(np.int64) << 32 | index.set_word[flat]
-    key = at[own].astype(np.int64) << 32 | sym
-    place = np.minimum(np.searchsorted(have, key), max(0, len(have) - 1))
-    common = np.bincount(own, weights=have[place] == key, minlength=len(r)) if len(have) else np.zeros(len(r))
-    similarity = common / (distinct[r] + size - common)
-    ok = similarity >= p.threshold
-    return r[ok], d[ok], similarity[ok]
-
-
-def _maximal(index: Index, batch: Batch, symbol: np.ndarray, r: np.ndarray, d: np.ndarray, m: int):
-    """Of each verified pair: maximal matches of at least m words, words of the record they cover, the longest."""
-    count, covered, longest = (np.zeros(len(r), np.int64) for _ in range(3))
-    for k in range(len(r)):
-        x = symbol[batch.word[batch.offsets[r[k]] : batch.offsets[r[k] + 1]]] + index.docs
-        y = index.text[index.start[d[k]] : index.start[d[k] + 1] - 1]
-        by: dict[int, list[int]] = {}
-        for j, w in enumerate(y.tolist()):
-            by.setdefault(w, []).append(j)
-        spans, before = [], {}
-        for i, w in enumerate(x.tolist()):
-            now = {j: before.get(j - 1, 0) + 1 for j in by.get(w, ())}
-            spans += [(i, n) for j, n in before.items() if n >= m and j + 1 not in now]
-            before = now
-        spans += [(len(x), n) for n in before.values() if n >= m]
-        seen = np.zeros(len(x) + 1, np.int64)
-        for e, n in spans:
-            seen[e - n] += 1
-            seen[e] -= 1
-            longest[k] = max(longest[k], n)
-        count[k], covered[k] = len(spans), int((np.cumsum(seen) > 0).sum())
-    return count, covered, longest
+    ok = np.minimum(index.set_size[d], batch.distinct[r]) >= t * np.maximum(index.set_size[d], batch.distinct[r]) - 1e-9
+    r, d = r[ok], d[ok]
+    words = np.cumsum(batch.sizes[r])
+    cuts = np.unique(np.append(np.searchsorted(words, np.arange(0, words[-1] if len(words) else 0, p.hits)), len(r)))
+    out = [_matched(index, batch, symbol, r[a:b], d[a:b], p) for a, b in zip(cuts[:-1], cuts[1:])]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else none
+
+
+def _matched(index: Index, batch: Batch, symbol: np.ndarray, r: np.ndarray, d: np.ndarray, p: Params):
+    """Of candidate pairs those of the threshold, with similarity and maximal matches, by backward search from every shared word."""
+    flat, own = _flat_ranges(batch.offsets[r], batch.offsets[r + 1])
+    s = symbol[batch.word[flat]]
+    key = s.astype(np.int64) << 32 | d[own]
+    lo = np.where(s >= 0, np.searchsorted(index.in_doc, key), 0)
+    hi = np.where(s >= 0, np.searchsorted(index.in_doc, key, "right"), 0)
+    shared = hi > lo
+    # What merged matches of any length cover: the record's words that the text has.
+    common = np.bincount(np.unique(own[shared] << 32 | batch.word[flat[shared]]) >> 32, minlength=len(r))
+    similarity = common / (batch.distinct[r] + index.set_size[d] - common)
+    fine = similarity >= p.threshold
+    number = np.cumsum(fine) - 1
+    use = np.flatnonzero(fine[own] & shared)
+    at, of = _flat_ranges(lo[use], hi[use])
+    end = use[of]  # the place (in flat) where the match ends
+    row, j = index.in_doc_row[at].astype(np.int64), flat[end]
+    first = batch.offsets[r[own[end]]]
+    length = np.ones(len(end), np.int64)
+    live = np.arange(len(end))
+    while len(live):  # one word further back, for all that still match
+        j[live] -= 1
+        inside = j[live] >= first[live]
+        live = live[inside]
+        live = live[index.before[row[live]] == symbol[batch.word[j[live]]]]
+        row[live] = index.back[row[live]]
+        length[live] += 1
+    # The longest match that ends at each place; it is maximal if none goes on from it by one word.
+    longest = np.zeros(len(flat), np.int64)
+    np.maximum.at(longest, end, length)
+    after = np.where(np.append(own[1:], -1) == own, np.append(longest[1:], 0), 0)
+    span = np.flatnonzero((longest >= p.min_match) & (after <= longest) & fine[own])
+    n = int(fine.sum())
+    seen = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(seen, span - longest[span] + 1, 1)
+    np.add.at(seen, span + 1, -1)
+    under = (np.cumsum(seen[:-1]) > 0) & fine[own]
+    top = np.zeros(n, np.int64)
+    np.maximum.at(top, number[own[span]], longest[span])
+    return r[fine], d[fine], similarity[fine], np.bincount(number[own[span]], minlength=n), np.bincount(number[own[under]], minlength=n), top
 
 
 FIELDS = "row_id_eval string, row_id_train string, similarity double, matches int, words_covered int, longest int"
@@ -299,7 +309,7 @@ def cross_split_overlaps(
         column = pa.concat_arrays(table.column("words").chunks)
         offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False).view(np.uint32)
         words = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-        made = build_index([ids[k] for k in unique], [words[k] for k in unique], p, runs=False)
+        made = build_index([ids[k] for k in unique], [words[k] for k in unique], p)
         names = [k for k in made if k != "owners"]
         return pa.table(
             {

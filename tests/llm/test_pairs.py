@@ -100,9 +100,9 @@ def test_overlaps_equal_brute_force(fixture_rows, rows):
     split = {k: {"train": "train", "TRAIN": "train", " Test": "test", "test": "test", "dev": "val", "val": "val"}.get(r["split"]) for k, r in one.items()}
     want = {p for p in want if {split[p[0]], split[p[1]]} in ({"train", "test"}, {"train", "val"})}
     for shard in (3_000_000, 400):
-        params = ov.Params(shard_words=shard, bits=16)
+        params = ov.Params(shard_words=shard)
         assert {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), params).collect()} == want
-    report = ov.overlap_report(fixture_rows(rows), ov.Params(bits=16)).collect()
+    report = ov.overlap_report(fixture_rows(rows), ov.Params()).collect()
     assert sum(r.pairs for r in report) == len(want)
 
 
@@ -117,7 +117,7 @@ def test_overlaps_of_texts_with_an_edit_every_few_words(fixture_rows, gap):
         rows += [{"row_id": f"{x}{k}", "state": " ".join(w), "split": s} for x, w, s in (("a", words, "test"), ("b", edited, "train"), ("c", mixed, "train"))]
     want = {p for p in truth(rows)[0] if p[0][0] == "a"}
     assert len(want) == (12 if gap > 4 else 6 + sum(jaccard(rows[3 * k]["state"], rows[3 * k + 1]["state"]) >= 0.6 for k in range(6)))
-    assert {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params(bits=16)).collect()} == want
+    assert {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params()).collect()} == want
 
 
 def test_overlaps_of_a_family_of_many_evaluation_texts(fixture_rows):
@@ -127,7 +127,7 @@ def test_overlaps_of_a_family_of_many_evaluation_texts(fixture_rows):
     texts = [[w if i != j else f"e{k}" for i, w in enumerate(variants[k % 12])] for k in range(90) for j in [rng.randrange(60)]]
     rows = [{"row_id": f"{'t' if k < 6 else 'e'}{k:02d}", "state": " ".join(x), "split": "train" if k < 6 else "test"} for k, x in enumerate(texts)]
     want = {p for p in truth(rows)[0] if p[0][0] != p[1][0]}
-    assert len(want) > 400 and {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params(bits=16)).collect()} == want
+    assert len(want) > 400 and {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params()).collect()} == want
 
 
 def test_overlaps_of_nothing(fixture_rows, rows):
@@ -135,10 +135,34 @@ def test_overlaps_of_nothing(fixture_rows, rows):
     assert ov.cross_split_overlaps(fixture_rows([r for r in rows if r["split"] == "train"])).count() == 0
 
 
+def maximal_matches(x, y, least):
+    """(number, words of x covered, longest) of the maximal matches, by all pairs of places."""
+    ends = {}
+    for i in range(len(x)):
+        for j in range(len(y)):
+            n = 0
+            while i - n >= 0 and j - n >= 0 and x[i - n] == y[j - n]:
+                n += 1
+            ends[i] = max(ends.get(i, 0), n)
+    spans = [(i, n) for i, n in ends.items() if n >= least and ends.get(i + 1, 0) <= n]
+    return len(spans), len({k for i, n in spans for k in range(i - n + 1, i + 1)}), max((n for _, n in spans), default=0)
+
+
+@pytest.mark.parametrize("shard", [3_000_000, 300])
+def test_maximal_matches_equal_brute_force(fixture_rows, rows, shard):
+    one = truth(rows)[1]
+    found = ov.cross_split_overlaps(fixture_rows(rows), ov.Params(min_match=4, shard_words=shard)).where("row_id_eval <> 'long'").collect()
+    assert len(found) > 10
+    for r in found:
+        x, y = words_of(content_of(one[r.row_id_train]["state"])), words_of(content_of(one[r.row_id_eval]["state"]))
+        assert (r.matches, r.words_covered, r.longest) == maximal_matches(x, y, 4)
+        assert abs(r.similarity - jaccard(one[r.row_id_train]["state"], one[r.row_id_eval]["state"])) < 1e-9
+
+
 def test_backward_search_counts_occurrences():
     rng = np.random.default_rng(3)
     docs = [rng.integers(0, 5, rng.integers(1, 40)).astype(np.uint32) for _ in range(30)]
-    index = ov.Index(ov.build_index([str(k) for k in range(30)], docs, ov.Params(bits=12)))
+    index = ov.Index(ov.build_index([str(k) for k in range(30)], docs, ov.Params()))
     unique = {x.tobytes(): x for x in docs}.values()
     for pattern in itertools.product(range(5), repeat=3):
         lo, hi = index.first[pattern[2]], index.first[pattern[2] + 1]
