@@ -93,7 +93,7 @@ def letter_words(text: str) -> list[str]:
 class Pieces:
     """The vocabulary's word pieces, looked up along a word."""
 
-    CHUNK = 40
+    LONG = 40
     STEP = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, path: str):
@@ -120,15 +120,8 @@ class Pieces:
         self.hashes, self.rows = h[order], np.fromiter(known.values(), np.int64, len(known))[order]
 
     def arcs(self, words: list[str]):
-        """(word, from, to, row) of all pieces in the words, sorted by end and word; lengths; the words' chunks.
-
-        A word begins with the word mark; one above CHUNK characters is cut into chunks.
-        """
-        cut, of = [], []
-        for k, word in enumerate(words):
-            for c in range(0, len(word) + 1, self.CHUNK):
-                cut.append(("▁" + word)[c : c + self.CHUNK])
-                of.append(k)
+        """(word, from, to, row) of all pieces in the words, and the words' lengths. A word begins with the word mark."""
+        cut = ["▁" + word for word in words]
         lengths = np.fromiter((len(t) for t in cut), np.int64, len(cut))
         codes = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         me = np.repeat(np.arange(len(cut)), lengths)
@@ -150,7 +143,7 @@ class Pieces:
                 go = hit & (room[at] > size)
                 at, h = at[go], h[go]
         arcs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-        return arcs, lengths, np.array(of, np.int64)
+        return arcs, lengths
 
 
 def _forward(arcs: np.ndarray, lengths: np.ndarray, prob: np.ndarray, backward: bool = False) -> np.ndarray:
@@ -183,13 +176,36 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """log P(word | language), summed over the word's segmentations."""
         out = np.zeros((len(words), self.prob.shape[1]))
-        for k in range(0, len(words), 20_000):
-            arcs, lengths, of = self.pieces.arcs(words[k : k + 20_000])
-            if len(lengths):
-                alpha = _forward(arcs, lengths, self.prob)
-                np.add.at(out, k + of, np.log(alpha[np.arange(len(lengths)), lengths] + 1e-300))
+        long = [k for k, w in enumerate(words) if len(w) > self.pieces.LONG]
+        short = sorted((k for k, w in enumerate(words) if len(w) <= self.pieces.LONG), key=lambda k: len(words[k]))  # alike lengths make small tables
+        for a in range(0, len(short), 5_000):
+            part = short[a : a + 5_000]
+            arcs, lengths = self.pieces.arcs([words[k] for k in part])
+            alpha = _forward(arcs, lengths, self.prob)
+            out[part] = np.log(alpha[np.arange(len(lengths)), lengths] + 1e-300)
+        for k in long:
+            out[k] = self.long_score(words[k])
         return out
 
+    def long_score(self, word: str) -> np.ndarray:
+        """The same for a word of any length: place by place, each language rescaled where its sum gets small."""
+        arcs, lengths = self.pieces.arcs([word])
+        arcs = arcs[np.argsort(arcs[:, 2], kind="stable")]
+        cuts = np.searchsorted(arcs[:, 2], np.arange(int(lengths[0]) + 2))
+        reach = int((arcs[:, 2] - arcs[:, 1]).max())
+        ring = np.zeros((reach + 1, self.prob.shape[1]))  # the last places
+        ring[0], scale = 1.0, np.zeros(self.prob.shape[1])
+        for j in range(1, int(lengths[0]) + 1):
+            part = arcs[cuts[j] : cuts[j + 1]]
+            now = (ring[part[:, 1] % (reach + 1)] * self.prob[part[:, 3]]).sum(0)
+            ring[j % (reach + 1)] = now
+            small = now < 1e-100
+            if small.any():
+                by = np.where(small, np.maximum(now, 1e-300), 1.0)
+                ring /= by
+                scale += np.log(by)
+        return np.log(ring[int(lengths[0]) % (reach + 1)] + 1e-300) + scale
+
 
 def _totals(words: list[list[str]], model: Model, cache: dict[str, int], scores: list[np.ndarray]) -> np.ndarray:
     """Summed word scores of lists of words; words seen before are taken from the cache."""
@@ -213,7 +229,8 @@ def fit(documents: DataFrame, params: Params = Params()) -> Model:
     Of each language up to `sample` documents, the first in order of a hash of their id, come
     to the driver. Expectation-maximisation over all segmentations gives the pieces' expected
     counts; then each sentence gets the language that the model finds, which puts right what
-    labels have wrong, and the counts are taken again. Each language's pieces are drawn
+    labels have wrong, and the counts are taken again. Words above 40 characters take no part
+    in the fit (they are scored whole all the same). Each language's pieces are drawn
     towards those of all languages, which count alike. A language without a labelled document
     is never found.
     """
@@ -226,7 +243,7 @@ def fit(documents: DataFrame, params: Params = Params()) -> Model:
     words, labels = [], []
     for r in rows.select("text", "code").collect():
         for start, end, _ in sentences(r.text):
-            found = letter_words(r.text[start:end])
+            found = [w for w in letter_words(r.text[start:end]) if len(w) <= Pieces.LONG]
             if len(found) >= p.words:
                 words.append(found)
                 labels.append(LANGUAGES.index(r.code))
@@ -237,7 +254,7 @@ def fit(documents: DataFrame, params: Params = Params()) -> Model:
         return model
     distinct = list(dict.fromkeys(w for ws in words for w in ws))
     number = {w: k for k, w in enumerate(distinct)}
-    arcs, lengths, of = pieces.arcs(distinct)
+    arcs, lengths = pieces.arcs(distinct)
     which = np.array(labels)
     for turn in range(p.rounds + 1):
         if turn:
@@ -251,7 +268,7 @@ def fit(documents: DataFrame, params: Params = Params()) -> Model:
             whole = alpha[np.arange(len(lengths)), lengths]
             share = alpha[arcs[:, 0], arcs[:, 1]] * model.prob[arcs[:, 3]] * beta[arcs[:, 0], arcs[:, 2]] / (whole[arcs[:, 0]] + 1e-300)
             expected = np.zeros_like(model.prob)
-            np.add.at(expected, arcs[:, 3], share * counts[of[arcs[:, 0]]])
+            np.add.at(expected, arcs[:, 3], share * counts[arcs[:, 0]])
             expected[-1] = expected.sum(axis=1)[-1] / n  # a character without a piece speaks for no language
             size = expected.sum(0)
             pool = (expected[:, size > 0] / size[size > 0]).mean(1) + 1e-7

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +19,20 @@ from .text import WORD, mix64
 class Params:
     """window: words of a passage. max_edits: word insertions, deletions and replacements
     within a window. samples: places of an embedding in a key; repeats: embeddings with keys
-    of their own. A window with no edit is always found; of those with one, 0.98 are at these
-    values (measured against all pairs of windows). min_share: part of an item that
-    matched windows must cover where none is without edits, as a few words in a row are also
-    shared by chance. item_words: words of items that are held in one pass over the corpus;
-    more items take more passes.
+    of their own. A window with no edit is always found, one with an edit with a chance of at
+    least 0.95 at these values, which the tests measure on planted windows; a longer passage
+    has many windows. An item of fewer words is one window of its own length, with edits from
+    least_edited words on. min_share: part of an item that matched windows must cover where
+    none is without edits; by default every verified window is reported. item_words: words of
+    items that are held in one pass over the corpus; more items take more passes.
     """
 
     window: int = 12
     max_edits: int = 1
-    samples: int = 10
-    repeats: int = 6
-    min_share: float = 0.8
+    samples: int = 6
+    repeats: int = 8
+    least_edited: int = 8
+    min_share: float = 0.0
     item_words: int = 2_000_000
     seed: int = 41
 
@@ -82,7 +84,10 @@ def embedding_keys(words: np.ndarray, starts: np.ndarray, p: Params, repeat: int
 
 
 def edit_distances(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Edit distances of the rows of x and y, exact up to most and most + 1 beyond it."""
+    """Least edit distance of each row of x (w words) to the first w - most .. w + most words of the row of y (w + most words).
+
+    Exact up to most, and most + 1 beyond it.
+    """
     n, w = x.shape
     big = most + 1
     before = np.full((n, 2 * most + 3), big, np.int16)  # column c stands for j = i + c - most - 1
@@ -91,21 +96,33 @@ def edit_distances(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
         now = np.full_like(before, big)
         for c in range(1, 2 * most + 2):
             j = i + c - most - 1
-            if j < 0 or j > w:
+            if j < 0:
                 continue
             if j == 0:
                 now[:, c] = i
                 continue
             now[:, c] = np.minimum(np.minimum(before[:, c] + (x[:, i - 1] != y[:, j - 1]), before[:, c + 1] + 1), now[:, c - 1] + 1)
         before = now
-    return np.minimum(before[:, most + 1], big)
+    return np.minimum(before[:, 1 : 2 * most + 2].min(axis=1), big)
+
+
+def by_window(ids: list[int], texts: list[list[str]], p: Params) -> list[Items]:
+    """The items in groups of one window size: all of at least p.window words, and those of each smaller number of words."""
+    sizes = sorted({min(len(t), p.window) for t in texts} - {0})
+    groups = []
+    for w in sizes:
+        own = [k for k, t in enumerate(texts) if min(len(t), p.window) == w]
+        edits = p.max_edits if w >= p.least_edited else 0
+        groups.append(Items([ids[k] for k in own], [texts[k] for k in own], replace(p, window=w, samples=min(p.samples, w), repeats=p.repeats if w == p.window else 3 * p.repeats, max_edits=edits)))
+    return groups
 
 
 class Items:
-    """The windows of the items and, by repeat, their sorted keys."""
+    """The windows of items and, by repeat, their sorted keys."""
 
     def __init__(self, ids: list[int], texts: list[list[str]], p: Params):
-        hashed = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in t), np.uint64, len(t)) for t in texts]
+        self.params = p
+        hashed = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in t), np.uint64, len(t)) for t in texts]
         keep = [k for k, t in enumerate(hashed) if len(t) >= p.window]
         self.ids = np.array([ids[k] for k in keep], np.int64)
         sizes = np.array([len(hashed[k]) for k in keep], np.int64)
@@ -131,15 +148,28 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 def leaks_of(items: Items, words: np.ndarray, sizes: np.ndarray, p: Params):
     """(document, item, least edits, item words covered) for documents given by their words' hashes."""
-    w = p.window
+    w, e = p.window, p.max_edits
+    # Behind each document stand e words that no text has, so that a passage with words left out can end it.
+    first = np.cumsum(sizes + e) - sizes - e
+    padded = np.zeros(len(words) + e * len(sizes), np.uint64)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    padded[first[doc] + np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = words
+    words, sizes = padded, sizes + e
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(words)) - first[doc]
     at = np.minimum(np.searchsorted(items.known, words), len(items.known) - 1)
     strange = np.concatenate([[0], np.cumsum(items.known[at] != words)])
     start = np.flatnonzero(place + w <= sizes[doc])
     # Each word that no item has costs at least one edit.
-    start = start[strange[start + w] - strange[start] <= p.max_edits]
-    span = np.arange(w)
+    start = start[strange[start + w] - strange[start] <= e]
+    span, ahead = np.arange(w), np.arange(w + e)
+    last = len(words) - 1
+
+    def doc_words(starts: np.ndarray) -> np.ndarray:
+        """w + e words from each start on; blanks behind the document's end."""
+        where = np.minimum(starts[:, None] + ahead, last)
+        return np.where(doc[where] == doc[starts][:, None], words[where], np.uint64(0))
+
     met = []
     for r, (keys, order) in enumerate(items.keys):
         key = embedding_keys(words, start, p, r)
@@ -153,19 +183,18 @@ def leaks_of(items: Items, words: np.ndarray, sizes: np.ndarray, p: Params):
     kept = []
     for k in range(0, len(pair), 200_000):
         part = pair[k : k + 200_000]
-        x, y = words[(part >> 32)[:, None] + span], items.words[items.start[part & 0xFFFFFFFF][:, None] + span]
-        # A cheap bound first: words that the other window doesn't have cost an edit each.
+        x, y = items.words[items.start[part & 0xFFFFFFFF][:, None] + span], doc_words(part >> 32)
+        # A cheap bound first: words of the item that the document doesn't have here cost an edit each.
         near = np.zeros(len(part), np.int64)
         for j in range(w):
-            near += (x == y[:, j : j + 1]).any(1)
-        part, x, y = (z[near >= w - p.max_edits] for z in (part, x, y))
-        kept.append(part[edit_distances(x, y, p.max_edits) <= p.max_edits])
+            near += (y == x[:, j : j + 1]).any(1)
+        part, x, y = (z[near >= w - e] for z in (part, x, y))
+        kept.append(part[edit_distances(x, y, e) <= e])
     seen = np.concatenate(kept) if kept else np.zeros(0, np.int64)
     if not len(seen):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     window = seen & 0xFFFFFFFF
-    x, y = words[(seen >> 32)[:, None] + span], items.words[items.start[window][:, None] + span]
-    edits = edit_distances(x, y, p.max_edits).astype(np.int64)
+    edits = edit_distances(items.words[items.start[window][:, None] + span], doc_words(seen >> 32), e).astype(np.int64)
     d, i = doc[seen >> 32], items.item[window]
     order = np.lexsort((items.place[window], i, d))
     d, i, edits, where = d[order], i[order], edits[order], items.place[window][order]
@@ -176,19 +205,20 @@ def leaks_of(items: Items, words: np.ndarray, sizes: np.ndarray, p: Params):
     return d[first], i[first], least, np.add.reduceat(gap, first)
 
 
-FIELDS = "doc_id bigint, item_id bigint, edits int, words_covered int, share double"
+FIELDS = "doc_id bigint, item_id bigint, edits int, words_covered int, share double, window int"
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, params: Params = Params()) -> DataFrame:
-    """(doc_id, item_id, edits, words_covered, share): items of which a document holds passages.
+    """(doc_id, item_id, edits, words_covered, share, window): items of which a document holds passages.
 
     Items (item_id, text) are cut into all their windows, the corpus streams by them once and
     is not shuffled. Every window of a document is embedded and looked up by key, and what
     meets is verified by its exact edit distance. edits is the least of any window (0: the
     window's words stand in the document in a row), share the part of the item's words that
-    matched windows cover.
+    matched windows cover, window the words of a window (fewer than the parameter for items
+    that are shorter).
 
-    Null and empty texts, and items of fewer words than a window, leak nothing; null ids are
+    Null and empty texts, and items without words, leak nothing; null ids are
     left out; repeated rows give one; copies of an item each come out; other columns are
     ignored; empty tables give an empty result. Words are compared by 64-bit hashes.
     """
@@ -200,20 +230,20 @@ def leaked_items(documents: DataFrame, items: DataFrame, params: Params = Params
     out = None
     for k in range(passes):
         rows = own.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        index = Items([r.item_id for r in rows], [words_of(r.text) for r in rows], p)
+        index = by_window([r.item_id for r in rows], [words_of(r.text) for r in rows], p)
         found = _pass(docs, index, p)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("words_covered").alias("words_covered"), F.max("share").alias("share")).where((F.col("edits") == 0) | (F.col("share") >= p.min_share))
+    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("words_covered").alias("words_covered"), F.max("share").alias("share"), F.max("window").alias("window")).where((F.col("edits") == 0) | (F.col("share") >= p.min_share))
 
 
-def _pass(docs: DataFrame, index: Items, p: Params) -> DataFrame:
+def _pass(docs: DataFrame, index: list[Items], p: Params) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)  # of at most item_words words
 
     def run(batches):
-        items = shared.value
+        groups = shared.value
         hashes: dict[str, int] = {}
         for batch in batches:
-            if not len(items.ids):
+            if not groups:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
@@ -231,10 +261,10 @@ def _pass(docs: DataFrame, index: Items, p: Params) -> DataFrame:
                         flat.append(h)
                 if not flat:
                     continue
-                d, i, edits, covered = leaks_of(items, np.array(flat, np.uint64), np.array(sizes, np.int64), p)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[k : k + 2000][d]), pa.array(items.ids[i]), pa.array(edits.astype(np.int32)), pa.array(covered.astype(np.int32)), pa.array(covered / items.sizes[i])],
-                    names=["doc_id", "item_id", "edits", "words_covered", "share"],
-                )
+                words, counts = np.array(flat, np.uint64), np.array(sizes, np.int64)
+                for items in groups:
+                    d, i, edits, covered = leaks_of(items, words, counts, items.params)
+                    columns = [ids[k : k + 2000][d], items.ids[i], edits.astype(np.int32), covered.astype(np.int32), covered / items.sizes[i], np.full(len(d), items.params.window, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "item_id", "edits", "words_covered", "share", "window"])
 
     return docs.mapInArrow(run, FIELDS)

