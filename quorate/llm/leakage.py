@@ -24,16 +24,18 @@ class Params:
     has many windows. An item of fewer words is one window of its own length, with edits from
     least_edited words on. min_share: part of an item that matched windows must cover where
     none is without edits; by default every verified window is reported. item_words: words of
-    items that are held in one pass over the corpus; more items take more passes.
+    items that are held in one pass over the corpus; more items take more passes. hits:
+    windows compared together, a bound on memory only.
     """
 
     window: int = 12
     max_edits: int = 1
-    samples: int = 6
-    repeats: int = 8
+    samples: int = 8
+    repeats: int = 10
     least_edited: int = 8
     min_share: float = 0.0
     item_words: int = 2_000_000
+    hits: int = 1_000_000
     seed: int = 41
 
 
@@ -170,27 +172,36 @@ def leaks_of(items: Items, words: np.ndarray, sizes: np.ndarray, p: Params):
         where = np.minimum(starts[:, None] + ahead, last)
         return np.where(doc[where] == doc[starts][:, None], words[where], np.uint64(0))
 
-    met = []
+    met, kept = [np.zeros(0, np.int64)], []
+
+    def verify(pair: np.ndarray) -> None:
+        for k in range(0, len(pair), 200_000):
+            part = pair[k : k + 200_000]
+            x, y = items.words[items.start[part & 0xFFFFFFFF][:, None] + span], doc_words(part >> 32)
+            # A cheap bound first: words of the item that the document doesn't have here cost an edit each.
+            near = np.zeros(len(part), np.int64)
+            for j in range(w):
+                near += (y == x[:, j : j + 1]).any(1)
+            part, x, y = (z[near >= w - e] for z in (part, x, y))
+            kept.append(part[edit_distances(x, y, e) <= e])
+
     for r, (keys, order) in enumerate(items.keys):
         key = embedding_keys(words, start, p, r)
         lo = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = np.flatnonzero(keys[lo] == key)
         lo = lo[hit]
         n = np.searchsorted(keys, key[hit], side="right") - lo
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        met.append(np.repeat(start[hit], n) << 32 | order[flat])
-    pair = distinct(np.concatenate(met)) if met else np.zeros(0, np.int64)
-    kept = []
-    for k in range(0, len(pair), 200_000):
-        part = pair[k : k + 200_000]
-        x, y = items.words[items.start[part & 0xFFFFFFFF][:, None] + span], doc_words(part >> 32)
-        # A cheap bound first: words of the item that the document doesn't have here cost an edit each.
-        near = np.zeros(len(part), np.int64)
-        for j in range(w):
-            near += (y == x[:, j : j + 1]).any(1)
-        part, x, y = (z[near >= w - e] for z in (part, x, y))
-        kept.append(part[edit_distances(x, y, e) <= e])
-    seen = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        total = np.cumsum(n)
+        cuts = np.unique(np.append(np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, p.hits)), len(n)))
+        for a, b in zip(cuts[:-1], cuts[1:]):  # as many at once as memory holds; what met before is met once
+            m = n[a:b]
+            flat = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[a:b], m)
+            met = [distinct(np.concatenate([*met, np.repeat(start[hit[a:b]], m) << 32 | order[flat]]))]
+            if len(met[0]) > p.hits:
+                verify(met[0])
+                met = [np.zeros(0, np.int64)]
+    verify(met[0])
+    seen = distinct(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
     if not len(seen):
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     window = seen & 0xFFFFFFFF
