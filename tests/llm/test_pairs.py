@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ import pytest
 from quorate.llm import near_duplicates as nd
 from quorate.llm import overlap as ov
 from quorate.llm.text import content_of, words_of
+from quorate.plans import runtime
 
 
 def jaccard(a, b):
@@ -135,6 +137,26 @@ def test_overlaps_of_nothing(fixture_rows, rows):
     assert ov.cross_split_overlaps(fixture_rows([r for r in rows if r["split"] == "train"])).count() == 0
 
 
+@pytest.mark.parametrize("params", [{"posts": 1}, {"posts": 1, "block": 8, "hits": 50}, {"posts": 2, "depths": ((12, 3), (20, 2)), "small": 0, "width": 64}])
+def test_overlaps_of_texts_of_few_frequent_words(fixture_rows, params):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(24)]
+    rows = [{"row_id": f"{'et'[k % 2]}{k:03d}", "state": " ".join(rng.sample(words, rng.choice([1, 2, 3, 5, 8, 11, 14, 20]))), "split": ["test", "train"][k % 2]} for k in range(240)]
+    want = {p for p in truth(rows)[0] if p[0][0] != p[1][0]}
+    assert len(want) > 250 and {tuple(r) for r in ov.overlap_pairs(fixture_rows(rows), ov.Params(**params)).collect()} == want
+
+
+def test_records_go_to_the_shards_of_their_candidates_only(spark, fixture_rows):
+    rows = [{"row_id": f"e{k:03d}", "state": " ".join(f"e{k}x{i}" for i in range(20)), "split": "test"} for k in range(300)]
+    rows += [{"row_id": f"t{k:03d}", "state": " ".join(f"e{k}x{i}" for i in range(1, 20)) if k < 2 else f"other{k} text{k}", "split": "train"} for k in range(100)]
+    base = runtime.shared_dir(spark).removeprefix("file://")
+    before = set(Path(base).glob("index-*"))
+    found = ov.overlap_pairs(fixture_rows(rows), ov.Params(shard_words=20)).collect()
+    assert {tuple(r) for r in found} == {("e000", "t000"), ("e001", "t001")}
+    shards = [x for path in set(Path(base).glob("index-*")) - before for x in path.glob("shard=*")]
+    assert 1 <= len(shards) <= 2  # not the index of 300 texts, of which every training record once searched every shard
+
+
 def maximal_matches(x, y, least):
     """(number, words of x covered, longest) of the maximal matches, by all pairs of places."""
     ends = {}
